@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from quaystone.llm import quality_rules, sharding
+from quaystone.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.query,
+    "op2_mixing": mixing.query,
+    "op3_decontamination": decontaminate.query,
     "op7_quality_rules": quality_rules.query,
     "op10_sharding": sharding.query,
 }
-ORACLES = {"op7_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
