@@ -148,16 +148,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contain a benchmark item; its columns stay as
     they are. Texts are judged where they are read, so nothing is shuffled."""
     for block in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+        docs = docs.where(~_leaks(docs.sparkSession.sparkContext.broadcast(block))(F.col("text")))
+    return docs
 
-        @F.arrow_udf(T.BooleanType())
-        def leaks(texts: pa.Array, sent=sent) -> pa.Array:
-            hit = np.zeros(len(texts), bool)
-            hit[sorted({row for row, *_ in sent.value.search(texts)})] = True
-            return pa.array(hit)
 
-        docs = docs.where(~leaks(F.col("text")))
-    return docs
+def _leaks(sent):
+    @F.arrow_udf(T.BooleanType())
+    def leaks(texts: pa.Array) -> pa.Array:
+        hit = np.zeros(len(texts), bool)
+        hit[sorted({row for row, *_ in sent.value.search(texts)})] = True
+        return pa.array(hit)
+
+    return leaks
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
