@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quaystone.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
+from quaystone.llm import decontaminate, mixing, ngram_join, quality_rules, secrets, sharding, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
     "op2_mixing": mixing.query,
     "op3_decontamination": decontaminate.query,
+    "op4_warc": warc.query,
+    "op5_secret_scan": secrets.query,
     "op7_quality_rules": quality_rules.query,
     "op10_sharding": sharding.query,
 }
-ORACLES = {"op2_mixing": mixing.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
+ORACLES = {"op2_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
