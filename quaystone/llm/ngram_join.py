@@ -40,7 +40,7 @@ SHINGLE = 5
 PERCENT = 80
 HOT = 32
 BLOCK = 1024
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 MATCHES = (1, 2, 3, 4, 6, 8)
 #: Cost of verifying a candidate, in scanned postings, for each token of the set.
 VERIFY = 0.05
