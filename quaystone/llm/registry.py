@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaystone.llm import decontaminate, mixing, ngram_join, quality_rules, secrets, sharding, warc
+from quaystone.llm import context_tree, decontaminate, mixing, ngram_join, quality_rules, secrets, sharding, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc": warc.query,
     "op5_secret_scan": secrets.query,
     "op7_quality_rules": quality_rules.query,
+    "op9_lm_scoring": context_tree.query,
     "op10_sharding": sharding.query,
 }
 ORACLES = {"op2_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op7_quality_rules": quality_rules.ORACLE}
