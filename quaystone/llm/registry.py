@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaystone.llm import context_tree, decontaminate, mixing, ngram_join, quality_rules, secrets, sharding, warc
+from quaystone.llm import context_tree, decontaminate, language, mixing, ngram_join, quality_classifier, quality_rules, secrets, sharding, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_decontamination": decontaminate.query,
     "op4_warc": warc.query,
     "op5_secret_scan": secrets.query,
+    "op6_language_id": language.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_quality_classifier": quality_classifier.query,
     "op9_lm_scoring": context_tree.query,
     "op10_sharding": sharding.query,
 }
