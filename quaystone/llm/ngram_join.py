@@ -16,7 +16,7 @@ How it is laid out:
 * Tokens below HOT sets give candidate pairs directly, at most HOT / 2 a
   posting, kept if they share enough prefix tokens. Hot tokens tie their sets
   to one hub. Connected candidates form clusters.
-* A cluster is verified in sub-blocks of BLOCK sets, two at a time, so a large
+* A cluster is verified in sub-blocks, two at a time, so a large
   one is many tasks. Inside, sets are compared through inverted indexes, first
   on prefixes, then, where enough prefix tokens match, on whole sets. Out come
   link counts and a spanning forest of the links, never all pairs.
@@ -39,7 +39,11 @@ from quaystone.session import table
 SHINGLE = 5
 PERCENT = 80
 HOT = 32
-BLOCK = 1024
+#: Sets of a sub-block: the root of SPREAD times the cluster's, within bounds.
+#: Larger ones move less (a set goes to as many tasks as there are sub-blocks),
+#: smaller ones spread a cluster over more tasks.
+BLOCK = (128, 1024)
+SPREAD = 16
 FLUSH = 1_000_000
 MATCHES = (1, 2, 3, 4, 6, 8)
 #: Cost of verifying a candidate, in scanned postings, for each token of the set.
@@ -408,7 +412,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     cluster = connected_components(pairs.where("shared >= need").select("src", "dst").union(tied)).select(F.col("node").alias("sig"), F.col("component").alias("comp"))
 
     sizes = cluster.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
-    blocked = cluster.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocked = cluster.join(sizes, "comp").withColumn("blocks", F.ceil(F.col("size") / F.least(F.lit(BLOCK[1]), F.greatest(F.lit(BLOCK[0]), F.sqrt(F.col("size") * SPREAD)))).cast("int"))
     own = prefix.groupBy("sig").agg(F.collect_list("tok").alias("prefix"), F.first("l").alias("l"))
     members = written(blocked.join(sets, "sig").join(own, "sig"), "members")
     n_members = members.count()
