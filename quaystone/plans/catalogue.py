@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaystone.plans import shipments
+from quaystone.plans import reporting, shipments
 
-QUERIES = {**shipments.QUERIES}
-ORACLES = {**shipments.ORACLES}
+QUERIES = {**shipments.QUERIES, **reporting.QUERIES}
+ORACLES = {**shipments.ORACLES, **reporting.ORACLES}
