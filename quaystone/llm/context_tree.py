@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.llm import textscan
-from quaystone.llm.shared import width, written
+from quaystone.llm.shared import bounded_batches, width, written
 from quaystone.llm.textscan import mix
 from quaystone.session import table
 
@@ -352,6 +352,7 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
     repeated rows count and are scored each; an empty table gives an empty
     result; without training rows every decision costs a bit.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
     counted = docs.where("not held_out").select("text").mapInArrow(_count(depth), "kind int, key long, n long")
     counted = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaystone.llm import textscan
+from quaystone.llm.shared import bounded_batches
 from quaystone.llm.textscan import distinct, shingle_hashes
 from quaystone.session import table
 
@@ -125,6 +126,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("n_item", T.LongType()), T.StructField("n_shared", T.LongType())])
     out = spark.createDataFrame([], schema)
     for block in blocks(benchmark):
@@ -147,6 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contain a benchmark item; its columns stay as
     they are. Texts are judged where they are read, so nothing is shuffled."""
+    bounded_batches(docs.sparkSession)
     for block in blocks(benchmark):
         docs = docs.where(~_leaks(docs.sparkSession.sparkContext.broadcast(block))(F.col("text")))
     return docs

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaystone.llm import textscan
+from quaystone.llm.shared import bounded_batches
 from quaystone.session import table
 
 #: Cost of a change of language, in nats.
@@ -31,7 +32,7 @@ SWITCH = 12.0
 #: Share of a language's words that a script must have to admit it.
 SCRIPT_SHARE = 0.005
 BITS = 16
-MERGE = 4_000_000
+MERGE = 1_500_000
 #: The lowest score of a word against the best language for it.
 FLOOR = -15.0
 BARRED = -40.0
@@ -279,6 +280,7 @@ def identify(docs: DataFrame, learns: Column, switch: float = SWITCH, spans: boo
     language has gets the most frequent language with score 0. Repeated rows
     are labelled each; a column of docs named language is replaced.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, learns))
     return docs.withColumn("language", _udf(sent, switch, spans)(F.coalesce("text", F.lit(""))))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.llm import textscan
-from quaystone.llm.shared import connected_components, small, width, written
+from quaystone.llm.shared import bounded_batches, connected_components, small, width, written
 from quaystone.llm.textscan import distinct, mix
 from quaystone.session import table
 
@@ -395,6 +395,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     back as often as they were given; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = width(spark)
     signed = written(docs.mapInArrow(_signed, "doc_id long, n long, sig long"), "signed")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaystone.llm import textscan
+from quaystone.llm.shared import bounded_batches
 from quaystone.session import table
 
 #: Labelled rows to fit on.
@@ -197,6 +198,7 @@ def classify(docs: DataFrame, labels: DataFrame, learns: Column) -> DataFrame:
     one class near that class. Repeated rows are scored each; a column of docs
     named score is replaced.
     """
+    bounded_batches(docs.sparkSession)
     declared = F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)) if "n_chars" in docs.columns else F.lit(-1.0)
     text = F.coalesce("text", F.lit(""))
     slim = docs.select("doc_id", text.alias("text"), declared.alias("declared"))

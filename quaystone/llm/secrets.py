@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaystone.llm import textscan
+from quaystone.llm.shared import bounded_batches
 from quaystone.session import table
 
 
@@ -419,6 +420,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     A null or empty text has none. Repeated rows are scanned each; an empty
     table gives an empty result; a column of docs named found is replaced.
     """
+    bounded_batches(docs.sparkSession)
     return docs.withColumn("found", _finder(rules)(F.coalesce("text", F.lit(""))))
 
 

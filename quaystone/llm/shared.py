@@ -3,6 +3,7 @@ broadcasts, shuffle width, connected components."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of a join is broadcast after it was counted (at
 #: most 32 bytes a row here, so 32 MB); a shuffle join is used beyond it.
 BROADCAST_ROWS = 1_000_000
+#: The largest Arrow batch sent to a Python worker.
+BATCH_ROWS = 1_000
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +44,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Limits the Arrow batches of whole texts that go to Python: by default a
+    batch is 10,000 rows, which long texts make hundreds of megabytes."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = int(re.sub(r"[^0-9-]", "", spark.conf.get(key, "0")) or 0)
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
+
+
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -99,6 +99,7 @@ def chunks(texts: pa.Array | pa.ChunkedArray, size: int = CHUNK) -> Iterator[Chu
         end = min(end, n)
         yield Chunk(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:

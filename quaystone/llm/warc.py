@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.shared import new_folder, small, written
+from quaystone.llm.shared import bounded_batches, new_folder, small, written
 from quaystone.session import table
 
 #: Payloads of at least so many bytes are stored once.
@@ -97,6 +97,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
     page_id an empty id and is never referred to. Repeated rows are repeated
     records. No file comes from an empty table.
     """
+    bounded_batches(pages.sparkSession)
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
     return written(deduplicated(pages).mapInArrow(_writer(folder), "path string, bytes long, records long"), "warc-files")
