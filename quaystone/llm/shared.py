@@ -3,7 +3,6 @@ broadcasts, shuffle width, connected components."""
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -47,10 +46,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Limits the Arrow batches of whole texts that go to Python: by default a
     batch is 10,000 rows, which long texts make hundreds of megabytes."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        held = int(re.sub(r"[^0-9-]", "", spark.conf.get(key, "0")) or 0)
-        if not 0 < held <= most:
-            spark.conf.set(key, str(most))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    spark.conf.set(size, str(BATCH_BYTES))
 
 
 def width(spark: SparkSession) -> int:
