@@ -268,9 +268,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of the light tokens of one partition, with the number of
     tokens they share there and the number they need."""
-    t = pa.Table.from_batches(list(batches))
-    if not t.num_rows:
+    batches = list(batches)
+    if not sum(b.num_rows for b in batches):
         return
+    t = pa.Table.from_batches(batches)
     tok, sig, n, ell, hot = (t[c].to_numpy() for c in ("tok", "sig", "n", "l", "n_hot"))
     order = np.lexsort((sig, tok))
     tok, sig, n, ell, hot = tok[order], sig[order], n[order].astype(np.int64), ell[order], hot[order]
