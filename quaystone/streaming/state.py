@@ -105,9 +105,11 @@ def seconds_of(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp")) / 1e6
 
 
-def replay_stream(events: DataFrame, key: str, at: str, id_column: str, machine: Machine, idle: str = "24 hours") -> DataFrame:
+def replay_stream(events: DataFrame, key: str, at: str, id_column: str, machine: Machine, idle: str = "24 hours", delay: str = "24 hours") -> DataFrame:
     """The stream form of a machine with times as state and boolean first
-    result: key, id, passed. A key idle for that long is forgotten."""
+    result: key, id, passed. Events later than delay are dropped. A key whose
+    last event the watermark has passed by idle is forgotten; time is the
+    events' own, so a replay gives what the live stream gave."""
     kind = events.schema[key].dataType.simpleString()
     id_kind = events.schema[id_column].dataType.simpleString()
     ms = int(pd.Timedelta(idle).total_seconds() * 1000)
@@ -116,16 +118,18 @@ def replay_stream(events: DataFrame, key: str, at: str, id_column: str, machine:
         if state.hasTimedOut:
             state.remove()
             return
-        held = {"times": list(state.get[0])} if state.exists else {}
-        for pdf in batches:
-            pdf = pdf.sort_values(["_at", id_column])
-            passed = [machine(held, t)[0] for t in pdf["_at"]]
-            yield pd.DataFrame({id_column: pdf[id_column].to_numpy(), key: group_key[0], "passed": passed})
-        state.update((held.get("times", []),))
-        state.setTimeoutDuration(ms)
-
-    slim = events.select(id_column, key, seconds_of(F.col(at)).alias("_at"))
-    return slim.groupBy(key).applyInPandasWithState(run, f"{id_column} {id_kind}, {key} {kind}, passed boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        times, last = state.get if state.exists else ([], 0.0)
+        held = {"times": list(times)}
+        pdf = pd.concat(list(batches)).sort_values(["_at", id_column])
+        passed = [machine(held, t)[0] for t in pdf["_at"]]
+        last = max(last, float(pdf["_at"].max()))
+        state.update((held["times"], last))
+        state.setTimeoutTimestamp(max(int(last * 1000) + ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({id_column: pdf[id_column].to_numpy(), key: group_key[0], "passed": passed})
+
+    stamped = events.select(id_column, key, F.col(at).cast("timestamp").alias("_ts")).withWatermark("_ts", delay)
+    slim = stamped.select(id_column, key, "_ts", seconds_of(F.col("_ts")).alias("_at"))
+    return slim.groupBy(key).applyInPandasWithState(run, f"{id_column} {id_kind}, {key} {kind}, passed boolean", "times array<double>, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def once(messages: DataFrame, id_column: str, at: str, delay: str = "14 days") -> DataFrame:
