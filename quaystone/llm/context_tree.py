@@ -8,16 +8,18 @@ its code length is the negative logarithm. A text ends with a zero byte and
 begins after zero bytes. Where a context was never seen, the mix ends at the
 deepest one that was.
 
-Training counts all training texts: grams of DEPTH + 1 bytes are counted
-within tasks, then summed by Spark. Everything below two bytes of context is a
-tree of its own, so trees are weighted in parallel; only sums over one byte of
-context (at most 256 x 255 rows) reach the driver. For scoring, the mixed
-probability at every node is put into tables of 2**SLOT_BITS slots a depth, a
-fixed size whatever the corpus; nodes that meet in a slot are averaged by count.
-
-The base score, unigrams with one added, needs exact counts of all words.
-Words with at least N / 2**HEAD_BITS occurrences (so at most 2**HEAD_BITS of
-them) are broadcast; the others are joined by shuffle.
+Grams of DEPTH + 1 bytes of all texts are counted within tasks, then summed by
+Spark, those of training texts apart. Everything below two bytes of context is
+a tree of its own, so trees are weighted in parallel; only sums over one byte
+of context (at most 256 x 255 rows) reach the driver. Each tree gives the code
+length of every gram that any text has, so the model grows with the corpus and
+nothing is merged or left out.
+
+To score, grams with at least a 2**-GRAM_BITS share of all grams (so at most
+2**GRAM_BITS of them) are broadcast with their code lengths; the others are
+looked up by a shuffle join, in which no key is hot since each is rare. Words
+of the base score, unigrams with one added, go the same two ways, with
+2**HEAD_BITS as the bound.
 """
 
 from __future__ import annotations
@@ -26,21 +28,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.llm import textscan
 from quaystone.llm.shared import bounded_batches, width, written
-from quaystone.llm.textscan import mix
 from quaystone.session import table
 
-DEPTH = 4
-SLOT_BITS = 22
+DEPTH = 5
+GRAM_BITS = 23
 HEAD_BITS = 22
 #: Keys counted together before they are merged with a task's other counts.
 MERGE = 6_000_000
-MEMO_BITS = 21
+#: The largest direct table of frequent grams in a worker (2**INDEX_BITS places of 16 bytes).
+INDEX_BITS = 23
 _U = np.uint64
 _HALF = np.log(0.5)
 
@@ -72,11 +75,13 @@ def _summed(keys: list, counts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count(depth: int):
-    """(kind, key, n) of one task: grams (0), word hashes (1), texts (2)."""
+    """(kind, key, n) of one task: grams (0), word hashes (1) and texts (2) to
+    learn from, and grams of held-out texts (3)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = ([], []), ([], [])
-        raw: tuple = [], []
+        kinds = 0, 1, 3
+        held: tuple = ([], []), ([], []), ([], [])
+        raw: tuple = [], [], []
         weight, texts = 0, 0
 
         def merge() -> None:
@@ -87,18 +92,26 @@ def _count(depth: int):
                     key, count = _summed([*keys, key[start]], [*counts, np.diff(np.append(start, len(key)))])
                     keys[:], counts[:], new[:] = [key], [count], []
 
-        for batch in batches:
-            texts += batch.num_rows
-            for c in textscan.chunks(batch["text"]):
-                s, e, _ = c.words()
-                for new, x in zip(raw, (_grams(c, depth)[0], c.word_hashes(s, e)), strict=True):
-                    new.append(x)
-                    weight += len(x)
+        def count(text: pa.Array, learn: bool) -> None:
+            nonlocal weight
+            for c in textscan.chunks(text):
+                raw[0 if learn else 2].append(_grams(c, depth)[0])
+                weight += len(c.data) + c.n
+                if learn:
+                    s, e, _ = c.words()
+                    raw[1].append(c.word_hashes(s, e))
+                    weight += len(s)
                 if weight >= MERGE:
                     merge()
                     weight = 0
+
+        for batch in batches:
+            out = batch["held_out"]
+            texts += batch.num_rows - (out.true_count or 0)
+            count(batch["text"].filter(pc.invert(out)), True)
+            count(batch["text"].filter(out), False)
         merge()
-        for kind, (keys, counts) in enumerate(held):
+        for kind, (keys, counts) in zip(kinds, held, strict=True):
             for key, count in zip(keys, counts, strict=True):
                 for at in range(0, len(key), 1 << 18):
                     k = key[at : at + (1 << 18)].view(np.int64)
@@ -171,13 +184,9 @@ def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return (n1 + 0.5) / (n0 + n1 + 1)
 
 
-def slot(node: np.ndarray, depth: int) -> np.ndarray:
-    return (mix(node * _U(0x9E3779B97F4A7C15) + _U(depth)) & _U((1 << SLOT_BITS) - 1)).astype(np.int64)
-
-
-def _held(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    t = pa.Table.from_batches(list(batches))
-    return t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()
+def _held(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t = pa.Table.from_batches(batches)
+    return t["kind"].to_numpy(), t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()
 
 
 def _roots(depth: int):
@@ -187,132 +196,142 @@ def _roots(depth: int):
         batches = list(batches)
         if not batches:
             return
-        node, n0, n1, log_w, _ = _trees(*_held(batches), depth)[2]
+        _, key, n = _held(batches)
+        node, n0, n1, log_w, _ = _trees(key, n, depth)[2]
         up, which = np.unique(_parents(node, 2), return_inverse=True)
         yield pa.record_batch([pa.array(up.astype(np.int64)), *[pa.array(np.bincount(which.ravel(), x, len(up))) for x in (n0, n1, log_w)]], ["node", "n0", "n1", "below"])
 
     return run
 
 
-def _published(depth: int, top: dict):
-    """(depth, slot, p, n) of all nodes of two or more bytes of context."""
+def _top(one: list) -> dict:
+    """What the trees hang from: nodes of no and one byte of context with their
+    probabilities of a one, and what deeper estimates add to those of one byte
+    (mixed) and weigh (left)."""
+    node = np.array([r["node"] for r in one], np.uint64)
+    n0, n1, below = (np.array([r[c] for r in one], np.float64) for c in ("n0", "n1", "below"))
+    log_w, share = _weighted(n0, n1, below)
+    root, which = np.unique(node & _U(255), return_inverse=True)
+    which = which.ravel()
+    r0, r1, r_below = (np.bincount(which, x, len(root)) for x in (n0, n1, log_w))
+    _, r_share = _weighted(r0, r1, r_below)
+    r_kt, kt = _kt(r0, r1), _kt(n0, n1)
+    mixed, left = (r_share * r_kt)[which], (1 - r_share)[which]
+    return {"known": [(root, r_kt), (node, mixed + left * kt)], "mixed": mixed + left * share * kt, "left": left * (1 - share)}
+
+
+def _code(gram: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log2 of the probability of each gram's byte after its context; known:
+    sorted nodes and their probabilities of a one, by depth."""
+    total = np.zeros(len(gram))
+    byte, context = gram & _U(255), gram >> _U(8)
+    for level in range(8):
+        decision = _U(1 << level) | byte >> _U(8 - level)
+        p, todo = np.full(len(gram), 0.5), np.arange(len(gram))
+        for d in range(len(known) - 1, -1, -1):
+            names, values = known[d]
+            if not len(todo) or not len(names):
+                continue
+            node = (context[todo] & _U((1 << 8 * d) - 1)) << _U(8) | decision[todo]
+            at = np.minimum(np.searchsorted(names, node), len(names) - 1)
+            hit = names[at] == node
+            p[todo[hit]] = values[at[hit]]
+            todo = todo[~hit]
+        total += np.log2(np.where(byte >> _U(7 - level) & _U(1), p, 1 - p))
+    return total
+
+
+def _codes(depth: int, sent):
+    """(key, n, code) of all grams of some two bytes of context: how often all
+    texts have it, and log2 of its probability."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
         if not batches:
             return
-        trees = _trees(*_held(batches), depth)
-        names, mixed, left = top["node"], top["mixed"], top["left"]
-        for d in range(2, depth + 1):
-            node, n0, n1, _, share = trees[d]
-            at = np.searchsorted(names, _parents(node, d))
-            before, rest, kt = mixed[at], left[at], _kt(n0, n1)
-            p, n = before + rest * kt, n0 + n1
-            for a in range(0, len(node), 1 << 18):
-                b = slice(a, a + (1 << 18))
-                yield pa.record_batch([pa.array(np.full(len(node[b]), d, np.int32)), pa.array(slot(node[b], d).astype(np.int32)), pa.array(p[b] * n[b]), pa.array(n[b])], ["depth", "slot", "pn", "n"])
-            names, mixed, left = node, before + rest * share * kt, rest * (1 - share)
+        kind, key, n = _held(batches)
+        top, known = sent.value, list(sent.value["known"])
+        learnt = kind == 0
+        if learnt.any():
+            trees = _trees(key[learnt], n[learnt], depth)
+            names, mixed, left = known[1][0], top["mixed"], top["left"]
+            for d in range(2, depth + 1):
+                node, n0, n1, _, share = trees[d]
+                at = np.searchsorted(names, _parents(node, d))
+                before, rest, kt = mixed[at], left[at], _kt(n0, n1)
+                known.append((node, before + rest * kt))
+                names, mixed, left = node, before + rest * share * kt, rest * (1 - share)
+        key, n = _summed([key], [n])
+        for at in range(0, len(key), 1 << 18):
+            b = slice(at, at + (1 << 18))
+            yield pa.record_batch([pa.array(key[b].view(np.int64)), pa.array(n[b]), pa.array(_code(key[b], known))], ["key", "n", "code"])
 
     return run
 
 
-class Model:
-    """Probabilities of a one at each node: exact for up to one byte of
-    context, by slot beyond; 0 marks a node that was not seen."""
+def gram_codes(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, n, code) of all grams, from counted (kind, key, n), a written table."""
+    grams = counted.where("kind in (0, 3)").repartition(width(counted.sparkSession), F.shiftright("key", 8).bitwiseAND(0xFFFF))
+    one = grams.where("kind = 0").mapInArrow(_roots(depth), "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("node").collect()
+    return written(grams.mapInArrow(_codes(depth, counted.sparkSession.sparkContext.broadcast(_top(one))), "key long, n long, code double"), "codes")
+
 
-    def __init__(self, depth: int, top: np.ndarray, deep: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth, self.top, self.deep = depth, top, deep
-        self.tables: list | None = None
+class Frequent:
+    """Code lengths of frequent grams: a direct table, in which the more
+    frequent of two that meet stays, and a sorted list of those that lost."""
+
+    def __init__(self, key: np.ndarray, code: np.ndarray):
+        """key: in ascending order of frequency."""
+        self.key, self.code, self.place = key, code, None
 
     def _load(self) -> None:
-        self.tables = []
-        for slots, p in self.deep:
-            t = np.zeros(1 << SLOT_BITS, np.float32)
-            t[slots] = p
-            self.tables.append(t)
-        self.seen = np.zeros(1 << MEMO_BITS, np.uint64)
-        self.known = np.zeros(1 << MEMO_BITS, bool)
-        self.value = np.zeros(1 << MEMO_BITS)
-
-    def code(self, gram: np.ndarray) -> np.ndarray:
-        """log2 of the probability of each gram's byte after its context."""
-        total = np.zeros(len(gram))
-        byte, context = gram & _U(255), gram >> _U(8)
-        for level in range(8):
-            decision = _U(1 << level) | byte >> _U(8 - level)
-            p = np.zeros(len(gram), np.float32)
-            for d in range(self.depth, -1, -1):
-                todo = np.flatnonzero(p == 0)
-                if not len(todo):
-                    break
-                node = (context[todo] & _U((1 << 8 * d) - 1)) << _U(8) | decision[todo]
-                if d > 1:
-                    p[todo] = self.tables[d - 2][slot(node, d)]
-                else:
-                    p[todo] = self.top[d, node.astype(np.int64)]
-            p = np.where(p == 0, 0.5, p.astype(np.float64))
-            total += np.log2(np.where(byte >> _U(7 - level) & _U(1), p, 1 - p))
-        return total
-
-    def __call__(self, gram: np.ndarray) -> np.ndarray:
-        """As code, with the values of recent grams kept."""
-        if self.tables is None:
+        self.shift = _U(64 - min(INDEX_BITS, max(10, int(len(self.key)).bit_length() + 2)))
+        size = 1 << (64 - int(self.shift))
+        self.place, self.value = np.full(size, ~_U(0)), np.zeros(size, np.float32)
+        at = self._at(self.key)
+        self.place[at], self.value[at] = self.key, self.code
+        lost = np.flatnonzero(self.place[at] != self.key)
+        lost = lost[np.argsort(self.key[lost])]
+        self.key, self.code = self.key[lost], self.code[lost]
+
+    def _at(self, gram: np.ndarray) -> np.ndarray:
+        return (gram * _U(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The code of each gram, 0 where it is not here, and where that is."""
+        if self.place is None:
             self._load()
-        at = (mix(gram) >> _U(64 - MEMO_BITS)).astype(np.int64)
+        at = self._at(gram)
         out = self.value[at]
-        miss = np.flatnonzero(~self.known[at] | (self.seen[at] != gram))
-        if len(miss):
-            new, which = np.unique(gram[miss], return_inverse=True)
-            value = self.code(new)
-            out[miss] = value[which.ravel()]
-            place = (mix(new) >> _U(64 - MEMO_BITS)).astype(np.int64)
-            self.seen[place], self.value[place], self.known[place] = new, value, True
-        return out
-
-
-def train(counted: DataFrame, depth: int = DEPTH) -> Model:
-    """The model from counted (kind, key, n), a written table."""
-    parts = width(counted.sparkSession)
-    grams = counted.where("kind = 0").select("key", "n").repartition(parts, F.shiftright("key", 8).bitwiseAND(0xFFFF))
-    one = grams.mapInArrow(_roots(depth), "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("node").collect()
-    top = np.zeros((2, 1 << 16), np.float32)
-    node = np.array([r["node"] for r in one], np.uint64)
-    n0, n1, below = (np.array([r[c] for r in one], np.float64) for c in ("n0", "n1", "below"))
-    if not len(node):
-        return Model(depth, top, [(np.zeros(0, np.int32), np.zeros(0, np.float32))] * (depth - 1))
-    log_w, share = _weighted(n0, n1, below)
-    root, which = np.unique(node & _U(255), return_inverse=True)
-    which = which.ravel()
-    r0, r1, r_below = (np.bincount(which, x, len(root)) for x in (n0, n1, log_w))
-    _, r_share = _weighted(r0, r1, r_below)
-    r_kt, kt = _kt(r0, r1), _kt(n0, n1)
-    top[0, root.astype(np.int64)] = r_kt
-    mixed, left = (r_share * r_kt)[which], (1 - r_share)[which]
-    top[1, node.astype(np.int64)] = mixed + left * kt
-    above = {"node": node, "mixed": mixed + left * share * kt, "left": left * (1 - share)}
-    sent = counted.sparkSession.sparkContext.broadcast(above)
-    rows = (
-        grams.mapInArrow(lambda batches: _published(depth, sent.value)(batches), "depth int, slot int, pn double, n double")
-        .groupBy("depth", "slot")
-        .agg((F.sum("pn") / F.sum("n")).cast("float").alias("p"))
-        .toArrow()
-    )
-    d, slots, p = (rows[c].to_numpy() for c in ("depth", "slot", "p"))
-    return Model(depth, top, [(slots[d == k], p[d == k]) for k in range(2, depth + 1)])
+        miss = np.flatnonzero(self.place[at] != gram)
+        out[miss] = 0
+        if len(miss) and len(self.key):
+            i = np.minimum(np.searchsorted(self.key, gram[miss]), len(self.key) - 1)
+            hit = self.key[i] == gram[miss]
+            out[miss[hit]] = self.code[i[hit]]
+            miss = miss[~hit]
+        return out, miss
+
 
+_SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, head double, head_known long, score double, n_bytes long, tail array<long>, grams array<long>"
 
-_SCORED = "uid long, doc_id long, held_out boolean, n_tokens long, head double, head_known long, score double, n_bytes long, tail array<long>"
 
+def _listed(owner: np.ndarray, key: np.ndarray, n: int) -> pa.ListArray:
+    """The keys of each of n texts; owner: ascending."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(key.view(np.int64)))
 
-def _scores(model, head):
+
+def _scores(depth: int, frequent, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        code, (words, counts) = model.value, head.value
+        code, (words, counts) = frequent.value, head.value
         logs = np.append(np.log10(counts + 1.0), 0.0)
         for batch in batches:
             for c in textscan.chunks(batch["text"]):
-                gram, row = _grams(c, code.depth)
-                score = np.bincount(row, code(gram), c.n) * np.log10(2)
+                gram, row = _grams(c, depth)
+                value, far = code(gram)
+                score = np.bincount(row, value, c.n)
+                grams = _listed(row[far], gram[far], c.n)
                 s, e, first = c.words()
                 h = c.word_hashes(s, e)
                 n = np.diff(first)
@@ -322,7 +341,7 @@ def _scores(model, head):
                 known = (words[at] == h) if len(words) else np.zeros(len(h), bool)
                 at[~known] = len(counts)
                 rest = np.flatnonzero(~known)
-                tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[rest], np.arange(c.n + 1)).astype(np.int32)), pa.array(h[rest].view(np.int64)))
+                tail = _listed(owner[rest], h[rest], c.n)
                 part = batch.slice(c.first, c.n)
                 yield pa.record_batch(
                     [
@@ -335,8 +354,9 @@ def _scores(model, head):
                         pa.array(score),
                         pa.array(np.diff(c.offsets)),
                         tail,
+                        grams,
                     ],
-                    ["uid", "doc_id", "held_out", "n_tokens", "head", "head_known", "score", "n_bytes", "tail"],
+                    ["uid", "doc_id", "held_out", "n_tokens", "head", "head_known", "score", "n_bytes", "tail", "grams"],
                 )
                 uid += c.n
 
@@ -346,29 +366,40 @@ def _scores(model, head):
 def score_texts(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and
     code_length (bits a byte, ends included) of each row of docs, by a model of
-    the rows for which the column held_out is false.
+    the rows for which the column held_out is not true.
 
     A null or empty text is its end alone. A null doc_id is carried along;
     repeated rows count and are scored each; an empty table gives an empty
     result; without training rows every decision costs a bit.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    counted = docs.where("not held_out").select("text").mapInArrow(_count(depth), "kind int, key long, n long")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    counted = docs.select("text", "held_out").mapInArrow(_count(depth), "kind int, key long, n long")
     counted = written(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    words, kinds, texts = counted.agg(F.sum(F.when(F.col("kind") == 1, F.col("n"))), F.count_if(F.col("kind") == 1), F.sum(F.when(F.col("kind") == 2, F.col("n")))).first()
+    kind = F.col("kind")
+    words, kinds, texts, all_grams = counted.agg(F.sum(F.when(kind == 1, F.col("n"))), F.count_if(kind == 1), F.sum(F.when(kind == 2, F.col("n"))), F.sum(F.when(kind.isin(0, 3), F.col("n")))).first()
     texts = texts or 0
     n = (words or 0) + texts
     v = kinds + (texts > 0)
     least = max(1, -(-n // (1 << HEAD_BITS)))
-    frequent = counted.where((F.col("kind") == 1) & (F.col("n") >= least)).select("key", "n").toArrow()
-    key, count = frequent["key"].to_numpy().view(np.uint64), frequent["n"].to_numpy()
+    often = counted.where((kind == 1) & (F.col("n") >= least)).select("key", "n").toArrow()
+    key, count = often["key"].to_numpy().view(np.uint64), often["n"].to_numpy()
     order = np.argsort(key)
+    codes, least_gram = gram_codes(counted, depth), max(1, -(-(all_grams or 0) // (1 << GRAM_BITS)))
+    often = codes.where(F.col("n") >= least_gram).toArrow()
+    rank = np.argsort(often["n"].to_numpy(), kind="stable")
+    frequent = Frequent(often["key"].to_numpy().view(np.uint64)[rank], often["code"].to_numpy()[rank].astype(np.float32))
     context = docs.sparkSession.sparkContext
-    scored = written(docs.mapInArrow(_scores(context.broadcast(train(counted, depth)), context.broadcast((key[order], count[order]))), _SCORED), "scored")
-    rare = counted.where((F.col("kind") == 1) & (F.col("n") < least)).select(F.col("key").alias("word"), F.log10(F.col("n") + 1.0).alias("lg"))
-    tail = scored.select("uid", F.explode("tail").alias("word")).join(rare, "word").groupBy("uid").agg(F.sum("lg").alias("tail_log"), F.count("*").alias("tail_known"))
+    scored = written(docs.mapInArrow(_scores(depth, context.broadcast(frequent), context.broadcast((key[order], count[order]))), _SCORED), "scored")
+    rare = counted.where((kind == 1) & (F.col("n") < least)).select(kind, "key", F.log10(F.col("n") + 1.0).alias("x"))
+    rare = rare.unionByName(codes.where(F.col("n") < least_gram).select(F.lit(0).alias("kind"), "key", F.col("code").cast("float").cast("double").alias("x")))
+    far = scored.select("uid", F.lit(1).alias("kind"), F.explode("tail").alias("key")).unionByName(scored.select("uid", F.lit(0).alias("kind"), F.explode("grams").alias("key")))
+    is_word = F.col("kind") == 1
+    tail = far.join(rare, ["kind", "key"]).groupBy("uid").agg(
+        F.sum(F.when(is_word, F.col("x"))).alias("tail_log"), F.count_if(is_word).alias("tail_known"), F.sum(F.when(~is_word, F.col("x"))).alias("tail_code")
+    )
     base = F.col("head") + F.coalesce("tail_log", F.lit(0.0)) + float(np.log10(texts + 1.0)) - F.col("n_tokens") * float(np.log10(n + v + 1.0))
+    bits = F.col("score") + F.coalesce("tail_code", F.lit(0.0))
     return scored.join(tail, "uid", "left").select(
         "doc_id",
         "held_out",
@@ -376,8 +407,8 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + int(texts > 0)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
-        (-F.col("score") / float(np.log10(2)) / (F.col("n_bytes") + 1)).alias("code_length"),
+        (bits * float(np.log10(2))).alias("score"),
+        (-bits / (F.col("n_bytes") + 1)).alias("code_length"),
     )
 
 

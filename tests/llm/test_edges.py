@@ -2,6 +2,7 @@
 empty tables and clashing columns, against brute force where it is short."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -139,6 +140,58 @@ def test_context_tree_counts(docs):
     assert context_tree.score_texts(docs.limit(2), F.lit(True)).count() == 2
 
 
+def brute_tree_score(train, text, depth):
+    """log10 probability of text by a context tree held in dictionaries."""
+    counts = {}
+
+    def steps(t):
+        b = bytes(depth) + (t or "").encode() + b"\0"
+        for i in range(depth, len(b)):
+            for level in range(8):
+                decision = 1 << level | b[i] >> (8 - level)
+                yield [(b[i - d : i], decision) for d in range(depth + 1)], b[i] >> (7 - level) & 1
+
+    for t in train:
+        for path, bit in steps(t):
+            for node in path:
+                counts.setdefault(node, [0, 0])[bit] += 1
+    kt = lambda n: math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.log(math.pi) - math.lgamma(sum(n) + 1)
+    share, weight = {}, {}
+    for node in sorted(counts, key=lambda x: -len(x[0])):
+        own, (path, decision) = kt(counts[node]), node
+        if len(path) == depth:
+            share[node], weight[node] = 1.0, own
+            continue
+        below = sum(weight[x] for c in range(256) if (x := (bytes([c]) + path, decision)) in weight)
+        weight[node] = math.log(0.5) + max(own, below) + math.log1p(math.exp(-abs(own - below)))
+        share[node] = math.exp(math.log(0.5) + own - weight[node])
+    total = 0.0
+    for path, bit in steps(text):
+        p, left, seen = 0.0, 1.0, [x for x in path if x in counts]
+        for node in seen:
+            n0, n1 = counts[node]
+            s = 1.0 if node == seen[-1] else share[node]
+            p, left = p + left * s * (n1 + 0.5) / (n0 + n1 + 1), left * (1 - s)
+        p = p if seen else 0.5
+        total += math.log10(p if bit else 1 - p)
+    return total
+
+
+@pytest.mark.parametrize("gram_bits", [2, 23])
+def test_context_tree_is_brute_force(spark, monkeypatch, gram_bits):
+    """With few grams broadcast, most go through the join."""
+    monkeypatch.setattr(context_tree, "GRAM_BITS", gram_bits)
+    texts = ["the cat sat", "the cat ran off", "the hat", None, "", "the cot sat é", "zebra"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {5, 6}
+    out = {r["doc_id"]: r for r in context_tree.score_texts(rows, F.col("doc_id").isin(*held), 3).collect()}
+    train = [t for i, t in enumerate(texts) if i not in held]
+    for i, t in enumerate(texts):
+        want = brute_tree_score(train, t, 3)
+        assert out[i]["score"] == pytest.approx(want, rel=1e-5)
+        assert out[i]["code_length"] == pytest.approx(-want / math.log10(2) / (len((t or "").encode()) + 1), rel=1e-5)
+
+
 def test_shards_are_even_and_gapless(spark, docs):
     out = sharding.shard_documents(docs, 4)
     assert sorted(out.columns) == sorted({*docs.columns, "slot"}) and out.count() == len(TEXTS)
