@@ -181,9 +181,9 @@ def content_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest vectors above 0.2 of every twentieth vector."""
+    """The three nearest vectors above 0.2 of every fiftieth vector."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return retrieval.match(v, queries, 0.2, 3).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("similarity", 5).alias("similarity"))
 
 
@@ -227,6 +227,12 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.replay(e, "user_id", "ts", "failed", "event_id", state.breaker(2, 3 * 86400.0), ("tried", "after"), ("boolean", "string"))
 
 
+def bounded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as keys of a user's store of two, held for a week."""
+    found = state.replay(_events(spark, sf_dir), "user_id", "ts", "event_type", "event_id", state.store(7 * 86400.0, 2), ("hit", "held"), ("boolean", "long"))
+    return found.select("event_id", "user_id", "hit", "held")
+
+
 def give_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second error of each user."""
     e = _events(spark, sf_dir).where("event_type = 'error'")
@@ -255,7 +261,7 @@ QUERIES = {
     for f in (
         weight_normalise, container_sizes, name_port_normalise, label_align, txt_reader, edi_reader, vocabulary, untrusted_values, agreement, hand_label_accuracy,
         latency_summary, resume_todo, stratified_sample, keyword_category, shipment_refs, intents, html_text, pii_mask, pii_roundtrip, exact_dedupe, content_upsert,
-        cosine_topk, chase_list, sliding_window_count, failure_runs, limiter_exact, report_suppression, circuit_breaker, give_up, dedup_stream, newest_reports,
+        cosine_topk, chase_list, sliding_window_count, failure_runs, limiter_exact, report_suppression, circuit_breaker, bounded_store, give_up, dedup_stream, newest_reports,
     )
 }
 
@@ -293,7 +299,7 @@ SELECT doc_id, md5(x) AS text_md5, len(regexp_extract_all(x, '<EMAIL_ADDRESS>'))
     "content_upsert": """WITH d AS (SELECT source, doc_id, sha256(coalesce(source, '') || chr(10) || text) AS content_hash FROM documents WHERE text IS NOT NULL),
 s AS (SELECT DISTINCT source, content_hash FROM d WHERE doc_id % 2 = 0), f AS (SELECT DISTINCT source, content_hash FROM d WHERE source IN ('src1', 'src2') AND doc_id % 3 = 0)
 SELECT source, content_hash FROM s WHERE source NOT IN (SELECT source FROM f) OR content_hash IN (SELECT content_hash FROM f) UNION SELECT source, content_hash FROM f""",
-    "cosine_topk": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 20 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    "cosine_topk": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS s FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s WHERE s > 0.2)
 SELECT query_id, vec_id, rank, round(s, 5) AS similarity FROM r WHERE rank <= 3""",
     "chase_list": """WITH r AS (SELECT user_id, ts FROM events e WHERE event_type = 'signup' AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_type = 'purchase' AND a.user_id = e.user_id AND a.ts > e.ts))
@@ -301,6 +307,11 @@ SELECT user_id::VARCHAR AS domain, count(*) AS n_requests, strftime(min(ts), '%Y
     "sliding_window_count": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS recent FROM events",
     "failure_runs": """WITH g AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)
 SELECT user_id, count(*) AS length, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id FROM g WHERE event_type = 'error' GROUP BY user_id, g HAVING count(*) >= 2""",
+    "bounded_store": """WITH e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+l AS (SELECT e.event_id, o.event_type = e.event_type AS own, max(o.i) AS i, max(o.ts) >= e.ts - INTERVAL 7 DAY AS fresh FROM e JOIN e o ON o.user_id = e.user_id AND o.i < e.i GROUP BY e.event_id, e.ts, e.event_type, o.event_type),
+m AS (SELECT event_id, max(i) FILTER (own AND fresh) AS mine, count(*) FILTER (fresh AND NOT own) AS others FROM l GROUP BY 1),
+n AS (SELECT event_id, count(*) FILTER (NOT own AND i > mine) AS newer FROM l JOIN m USING (event_id) GROUP BY 1)
+SELECT event_id, user_id, mine IS NOT NULL AND newer < 2 AS hit, least(2, 1 + coalesce(others, 0)) AS held FROM e LEFT JOIN m USING (event_id) LEFT JOIN n USING (event_id)""",
     "give_up": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') WHERE n = 2",
     "dedup_stream": "SELECT event_id, user_id FROM events",
     "newest_reports": "WITH n AS (SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 200) SELECT event_id, user_id, c_name FROM n LEFT JOIN customer ON c_custkey = user_id",

@@ -83,6 +83,23 @@ def give_up(after: int) -> Machine:
     return step
 
 
+def store(seconds: float, most: int) -> Machine:
+    """Keeps a key for so many seconds after its last use, and the most
+    recently used keys only. Events (key). Gives (was held, keys held after)."""
+
+    def step(state: dict, at: float, key=None) -> tuple:
+        held = state.setdefault("held", {})  # in order of last use
+        used = held.pop(key, None)
+        held[key] = at
+        old = [k for i, (k, t) in enumerate(held.items()) if at - t > seconds or i < len(held) - most]
+        known = used is not None and at - used <= seconds
+        for k in old:
+            del held[k]
+        return known, len(held)
+
+    return step
+
+
 def replay(events: DataFrame, key: str, at: str, value: str | None, id_column: str, machine: Machine, names: tuple[str, str], kinds: tuple[str, str]) -> DataFrame:
     """The machine over each key's events in order of time and id: key, id and
     the machine's two results. Each key's history is one group; keys hold what

@@ -31,6 +31,11 @@ def test_give_up_once():
     assert [x[0] for x in drive(state.give_up(2), [(0, True), (1, False), (2, True), (3, True)])] == [False, False, True, False]
 
 
+def test_store_forgets_by_age_and_by_use():
+    got = drive(state.store(10, 2), [(0, "a"), (1, "b"), (2, "a"), (3, "c"), (4, "b"), (14, "b"), (25, "b"), (36, "c")])
+    assert got == [(False, 1), (False, 2), (True, 2), (False, 2), (False, 2), (True, 1), (False, 1), (False, 1)]
+
+
 def test_streams(spark, data):
     schema = spark.read.parquet(f"{data}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{data}/events.parquet*")
