@@ -52,10 +52,21 @@ def iban_valid(code: Column) -> Column:
     return (F.length(x) >= 15) & (rest == 1)
 
 
+def _with(x: Column, f) -> Column:
+    """f(x), with x computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def replace_valid(x: Column, pattern: str, valid, token: str) -> Column:
-    """x with the matches of pattern that pass valid replaced by token."""
-    found = F.array_distinct(F.regexp_extract_all(x, F.lit(f"({pattern})"), 1))
-    return F.aggregate(F.filter(found, valid), x, lambda a, m: F.replace(a, m, F.lit(token)))
+    """x with the matches of pattern that pass valid replaced by token, each
+    where it stands: a longer match that holds the same characters stays."""
+
+    def replaced(y: Column) -> Column:
+        gaps, found = F.split(y, pattern, -1), F.regexp_extract_all(y, F.lit(pattern), 0)
+        joined = F.zip_with(gaps, found, lambda g, m: F.concat(g, F.when(m.isNull(), "").when(valid(m), token).otherwise(m)))
+        return F.when(F.size(found) == 0, y).otherwise(F.array_join(joined, ""))
+
+    return _with(x, replaced)
 
 
 def mask_bank(x: Column) -> Column:
@@ -80,7 +91,7 @@ def is_protected_line(line: Column) -> Column:
 def mask_text(x: Column) -> Column:
     """x with personal data masked; a line that begins with a protected label
     loses bank details only."""
-    masked = F.transform(F.split(x, "\n"), lambda line: F.when(is_protected_line(line), mask_bank(line)).otherwise(mask_contacts(mask_bank(line))))
+    masked = F.transform(F.split(x, "\n"), lambda line: _with(mask_bank(line), lambda y: F.when(is_protected_line(y), y).otherwise(mask_contacts(y))))
     return F.array_join(masked, "\n")
 
 

@@ -161,6 +161,14 @@ def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.select("doc_id", F.md5("t").alias("text_md5"), F.regexp_count("t", F.lit("<EMAIL_ADDRESS>")).cast("long").alias("n_emails"), F.regexp_count("t", F.lit("<PHONE_NUMBER>")).cast("long").alias("n_phones"))
 
 
+def pii_mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts and bank details masked in every document, protected lines
+    losing bank details only; a digest of the text and counts."""
+    masked = table(spark, sf_dir, "documents").select("doc_id", privacy.mask_text(F.coalesce("text", F.lit(""))).alias("t"))
+    counts = [F.regexp_count("t", F.lit(f"<{kind}>")).cast("long").alias(name) for kind, name in (("EMAIL_ADDRESS", "n_emails"), ("PHONE_NUMBER", "n_phones"), ("BANK_DETAILS", "n_bank"))]
+    return masked.select("doc_id", F.md5("t").alias("text_md5"), *counts)
+
+
 def pii_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     hidden = table(spark, sf_dir, "documents").select("doc_id", "text", privacy.anonymize("text").alias("a"))
     same = privacy.deanonymize(F.col("a.text"), F.col("a.tokens")).eqNullSafe(F.col("text"))
@@ -260,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         weight_normalise, container_sizes, name_port_normalise, label_align, txt_reader, edi_reader, vocabulary, untrusted_values, agreement, hand_label_accuracy,
-        latency_summary, resume_todo, stratified_sample, keyword_category, shipment_refs, intents, html_text, pii_mask, pii_roundtrip, exact_dedupe, content_upsert,
+        latency_summary, resume_todo, stratified_sample, keyword_category, shipment_refs, intents, html_text, pii_mask, pii_mask_text, pii_roundtrip, exact_dedupe, content_upsert,
         cosine_topk, chase_list, sliding_window_count, failure_runs, limiter_exact, report_suppression, circuit_breaker, bounded_store, give_up, dedup_stream, newest_reports,
     )
 }
