@@ -152,6 +152,12 @@ def intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as text with the core entities resolved, as its SQL has it."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(documents.html_core_text(F.coalesce("html", F.lit("")))).alias("text_md5"))
+
+
+def html_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as text with all entities resolved and the ends stripped."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(documents.html_to_text(F.coalesce("html", F.lit("")))).alias("text_md5"))
 
 
@@ -268,7 +274,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         weight_normalise, container_sizes, name_port_normalise, label_align, txt_reader, edi_reader, vocabulary, untrusted_values, agreement, hand_label_accuracy,
-        latency_summary, resume_todo, stratified_sample, keyword_category, shipment_refs, intents, html_text, pii_mask, pii_mask_text, pii_roundtrip, exact_dedupe, content_upsert,
+        latency_summary, resume_todo, stratified_sample, keyword_category, shipment_refs, intents, html_text, html_full_text, pii_mask, pii_mask_text, pii_roundtrip, exact_dedupe, content_upsert,
         cosine_topk, chase_list, sliding_window_count, failure_runs, limiter_exact, report_suppression, circuit_breaker, bounded_store, give_up, dedup_stream, newest_reports,
     )
 }

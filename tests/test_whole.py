@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from html import unescape
 
 from quaystone.functions import privacy
 from quaystone.plans import catalogue
@@ -53,3 +54,20 @@ def test_masking_is_brute_force(spark, data, tmp_path):
     spark.createDataFrame(list(enumerate(BANK)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert check_masked(spark, str(tmp_path)) == 10
     assert check_masked(spark, data)
+
+
+PAGES = [
+    None, "", "<p> a &copy; b&nbsp;</p>\n", "&nbsp;&middot;&#xe9;&#233; &eacute &notit; &amp;lt; &lt;b&gt; &#39;&quot;&apos;", "&#128; &#x110000; &#xD800; &bogus; &NotEqualTilde; & &",
+    "<script>&copy;</script>x<br/>y<td>z</tr>&hellip;\u00a0 ",
+]
+
+
+def test_entities_are_brute_force(spark, data, tmp_path):
+    spark.createDataFrame(list(enumerate(PAGES)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    for folder in (str(tmp_path), data):
+        want = {}
+        for r in spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "html").collect():
+            x = re.sub(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>", "", r["html"] or "")
+            x = re.sub(r"<[^>]*>", "", re.sub(r"(?i)<br\s*/?>|</(?:p|div|tr)\s*>", "\n", x))
+            want[r["page_id"]] = hashlib.md5(unescape(x).strip().encode()).hexdigest()
+        assert {r["page_id"]: r["text_md5"] for r in catalogue.QUERIES["html_full_text"](spark, folder).collect()} == want
