@@ -14,7 +14,10 @@ text's best one by SWITCH, no change can pay.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ MERGE = 1_500_000
 FLOOR = -15.0
 BARRED = -40.0
 
-# First and last code point and name of the main scripts' blocks.
+# First and last code point and name of the main scripts' blocks; letters of all others go by their names.
 SCRIPTS = (
     (0x41, 0x5A, "Latin"), (0x61, 0x7A, "Latin"), (0xAA, 0xAA, "Latin"), (0xBA, 0xBA, "Latin"), (0xC0, 0x24F, "Latin"),
     (0x370, 0x3FF, "Greek"), (0x400, 0x52F, "Cyrillic"), (0x531, 0x58F, "Armenian"), (0x591, 0x5F4, "Hebrew"),
@@ -48,10 +51,30 @@ SCRIPTS = (
     (0x3400, 0x4DBF, "Han"), (0x4E00, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"), (0x20000, 0x2FA1F, "Han"),
 )
 NAMES = tuple(dict.fromkeys(x[2] for x in SCRIPTS))
-_LOW = np.array([x[0] for x in SCRIPTS])
-_HIGH = np.array([x[1] for x in SCRIPTS])
-_NAME = np.array([NAMES.index(x[2]) + 1 for x in SCRIPTS], np.uint8)
-_ASCII = np.zeros(256, np.uint8)
+# First words of letters' names that belong to a script above under another name.
+ALIASES = {"CJK": "Han", "IDEOGRAPHIC": "Han", "HIRAGANA": "Kana", "KATAKANA": "Kana", "HALFWIDTH": "Kana", "FULLWIDTH": "Latin", "MODIFIER": "Latin"}
+_CLASSES = 1 << 10
+
+
+@cache
+def _script_of_points() -> np.ndarray:
+    """1 + the script of each code point, 0 if it has none. A letter outside
+    the blocks above has the script that its Unicode name begins with."""
+    names = {name: i + 1 for i, name in enumerate(NAMES)}
+    script = np.zeros(sys.maxunicode + 1, np.uint16)
+    for low, high, name in SCRIPTS:
+        script[low : high + 1] = names[name]
+    for point in np.flatnonzero(script[0x80:] == 0) + 0x80:
+        if (x := chr(point)).isalpha():
+            word = unicodedata.name(x, "OTHER").split()[0].partition("-")[0]
+            name = ALIASES.get(word, word.title())
+            script[point] = names.setdefault(name, len(names) + 1)
+    if len(names) >= _CLASSES:
+        raise ValueError(f"{len(names)} scripts, at most {_CLASSES - 1} have a count")
+    return script
+
+
+_ASCII = np.zeros(256, np.uint16)
 _ASCII[65:91] = _ASCII[97:123] = NAMES.index("Latin") + 1
 _SPACED = textscan.LOWER.copy()
 _SPACED[textscan.GAP] = 32
@@ -66,11 +89,10 @@ def _script_of_words(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarr
         b0, b1, b2, b3 = (padded[lead + j] for j in range(4))
         low = lambda b: b & 0x3F
         point = np.where(b0 < 0xE0, (b0 & 0x1F) << 6 | low(b1), np.where(b0 < 0xF0, (b0 & 0x0F) << 12 | low(b1) << 6 | low(b2), (b0 & 7) << 18 | low(b1) << 12 | low(b2) << 6 | low(b3)))
-        at = np.searchsorted(_LOW, point, "right") - 1
-        script[lead] = np.where((at >= 0) & (point <= _HIGH[at]), _NAME[at], 0)
+        script[lead] = _script_of_points()[np.minimum(point, sys.maxunicode)]
     where = np.flatnonzero(script)
     if not len(where):
-        return np.zeros(len(s), np.uint8)
+        return np.zeros(len(s), np.uint16)
     first = np.minimum(np.searchsorted(where, s), len(where) - 1)
     found = where[first]
     return np.where((found >= s) & (found < e), script[found], 0)
@@ -136,7 +158,7 @@ class Model:
 
     def __init__(self, langs: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
         size = 1 << BITS
-        count = np.zeros((len(langs), 2 * size + len(NAMES) + 1))
+        count = np.zeros((len(langs), 2 * size + _CLASSES))
         count[lang, bucket] = n
         self.langs = langs
         tri, word = count[:, :size], count[:, size : 2 * size]
