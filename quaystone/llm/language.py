@@ -9,7 +9,10 @@ spans.
 
 Viterbi runs side by side over the texts of a chunk. It is skipped where its
 result is certain: if no stretch of words favours any other language over the
-text's best one by SWITCH, no change can pay.
+text's best one by SWITCH / 2, no change can pay. A path with m >= 2 stretches
+of other languages pays at least m - 1 changes and gains less than m / 2 of
+one each; a path with one such stretch and a change gains less than it pays,
+and no other language alone beats the text's best.
 """
 
 from __future__ import annotations
@@ -208,7 +211,7 @@ def viterbi(score: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
         here = run[1:] - before - drop - low
         if len(here):
             np.maximum(most, np.where(n > 0, np.maximum.reduceat(here, begin), 0), out=most)
-    open_texts = np.flatnonzero((most >= switch - 1e-3) & (n > 1))
+    open_texts = np.flatnonzero((most >= switch / 2 - 1e-3) & (n > 1))
     if not len(open_texts):
         return label
     order = open_texts[np.argsort(-n[open_texts], kind="stable")]
