@@ -24,18 +24,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names it. Documents
-    without words are in no group. Of rows that share an id, the kept id keeps
-    one row."""
-    found = written(ngram_join.jaccard_components(docs), "components")
-    dropped = found.where("doc_id <> component_id and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(small(written(dropped, "dropped")), "doc_id", "left_anti")
-    twice = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = written(twice, "twice")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    again = kept.join(small(twice), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(small(twice), "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    """One row of each group: that of the least id, null ids last; of rows that
+    share it, that of the least hash of the text. Documents without words are
+    in no group. Rows are told apart by a key written with them, not by id."""
+    rows = written(docs.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64("text")}), "rows")
+    found = written(ngram_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text")), "components")
+    linked = found.where("n_links > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    named = written(linked.join(rows.select("_row", "doc_id", "_hash"), "_row"), "named")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_hash", "_row")).alias("k")).select("k._row")
+    dropped = written(named.join(kept, "_row", "left_anti").select("_row"), "dropped")
+    return rows.join(small(dropped), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
