@@ -31,7 +31,6 @@ RANGE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
-_HEAD_LIMIT = 1 << 20
 _ID = "<urn:quaystone:page:{}>"
 
 
@@ -109,17 +108,18 @@ def _member(read, data: bytes, at: int, after: int) -> tuple[bytes | None, int]:
     z = zlib.decompressobj(31)
     out, fed = [], 0
     piece = memoryview(data)[at : at + 4096]
-    checked = False
+    start, last, checked = b"", b"", False
     try:
         while True:
             out.append(z.decompress(piece))
             fed += len(piece)
-            if not checked:
-                start = b"".join(out)
-                if not start.startswith(b"WARC/"[: len(start)]):
+            if not checked:  # a header may be of any length, as the writer's may
+                start += out[-1][: 5 - len(start)]
+                if not b"WARC/".startswith(start):
                     return None, 0
-                checked = b"\r\n\r\n" in start
-                if not checked and (len(start) > _HEAD_LIMIT or z.eof):
+                last = last[-3:] + out[-1]
+                checked = b"\r\n\r\n" in last
+                if not checked and z.eof:
                     return None, 0
             if z.eof:
                 return b"".join(out), fed - len(z.unused_data)
