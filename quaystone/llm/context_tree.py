@@ -40,6 +40,8 @@ from quaystone.session import table
 DEPTH = 5
 GRAM_BITS = 23
 HEAD_BITS = 22
+#: Distinct grams of a partition of trees, at most, where no tree is larger.
+GRAMS_A_PART = 2_000_000
 #: Keys counted together before they are merged with a task's other counts.
 MERGE = 6_000_000
 #: The largest direct table of frequent grams in a worker (2**INDEX_BITS places of 16 bytes).
@@ -271,7 +273,8 @@ def _codes(depth: int, sent):
 
 def gram_codes(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, n, code) of all grams, from counted (kind, key, n), a written table."""
-    grams = counted.where("kind in (0, 3)").repartition(width(counted.sparkSession), F.shiftright("key", 8).bitwiseAND(0xFFFF))
+    grams = counted.where("kind in (0, 3)")
+    grams = grams.repartition(width(counted.sparkSession, grams.count(), GRAMS_A_PART), F.shiftright("key", 8).bitwiseAND(0xFFFF))
     one = grams.where("kind = 0").mapInArrow(_roots(depth), "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("node").collect()
     return written(grams.mapInArrow(_codes(depth, counted.sparkSession.sparkContext.broadcast(_top(one))), "key long, n long, code double"), "codes")
 

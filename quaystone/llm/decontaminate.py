@@ -1,36 +1,45 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Containment of a short item in a long document is not a Jaccard question, so
-only the item is sketched: items are partitioned by the size of their set of
-5-word shingles, and an item of n shingles is represented by its bottom
+only the item is sketched, and what is asked of a document depends on the
+item's size: items are partitioned by the size of their set of 5-word
+shingles, and an item of n shingles is represented by its bottom
 n - ceil(0.8 n) + 1 MinHash values. A document that contains at least 80 % of
 the item must hold one of them, so a probe of all shingles of the whole
-document against the sketches misses nothing. A size class is probed only by
-documents large enough for it. Candidates are verified by exact containment of
-the item's whole set.
-
-The benchmark is the stated query set: it is taken in blocks of BLOCK items,
-each broadcast (its size is bounded by the block), against all documents.
+document against the sketches of the size classes it is large enough for
+misses nothing. Candidates are verified by exact containment of the item's
+whole set.
+
+The benchmark is the stated query set. Executors make its sets, which are
+written to the shared folder in blocks of about BLOCK_BYTES; a Python worker
+reads a block from there, keeps up to KEPT of them, and holds every batch of
+documents against all blocks, so the documents are scanned once and nothing of
+the benchmark passes through the driver.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaystone.llm import textscan
-from quaystone.llm.shared import bounded_batches
+from quaystone.llm.shared import bounded_batches, new_folder, small
 from quaystone.llm.textscan import distinct, shingle_hashes
 from quaystone.session import table
 
 SHINGLE = 5
 PERCENT = 80
-BLOCK = 20_000
+#: Shingles of a block of items, 8 bytes each; an item is never cut.
+BLOCK_BYTES = 32 << 20
+KEPT = 3
 _BITS = 20
 _U = np.uint64
 
@@ -38,7 +47,7 @@ _U = np.uint64
 class Sketches:
     """One block of items: MinHash sketches by size class, and whole sets."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray]):
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray]):
         self.ids = ids
         self.n = np.array([len(x) for x in sets], np.int64)
         least = -((-PERCENT * self.n) // 100)
@@ -48,15 +57,20 @@ class Sketches:
         self.tokens, self.items = tokens[order], item[order]
         self.classes = []
         size_class = np.ceil(np.log2(np.maximum(self.n, 1))).astype(int)
+        #: by the low bits of a value: the fewest shingles a document needs for any class that has it
+        self.needs = np.full(1 << _BITS, np.iinfo(np.int64).max)
         for c in np.unique(size_class[self.n > 0]):
             members = np.flatnonzero((size_class == c) & (self.n > 0))
             k = self.n[members] - least[members] + 1
             tok = np.concatenate([sets[i][:m] for i, m in zip(members, k, strict=True)])
             who = np.repeat(members, k)
             by = np.argsort(tok, kind="stable")
+            low = (tok & _U((1 << _BITS) - 1)).astype(np.int64)
             bits = np.zeros(1 << _BITS, bool)
-            bits[(tok & _U((1 << _BITS) - 1)).astype(np.int64)] = True
-            self.classes.append((int(least[members].min()), tok[by], who[by], bits))
+            bits[low] = True
+            size = int(least[members].min())
+            self.needs[low] = np.minimum(self.needs[low], size)
+            self.classes.append((size, tok[by], who[by], bits))
 
     def _postings(self, tokens: np.ndarray, items: np.ndarray, x: np.ndarray) -> np.ndarray:
         a, b = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
@@ -64,13 +78,6 @@ class Sketches:
         end = np.cumsum(c)
         return items[np.arange(end[-1]) + np.repeat(a - end + c, c)] if len(end) else items[:0]
 
-    def _maybe(self, h: np.ndarray) -> np.ndarray:
-        low = (h & _U((1 << _BITS) - 1)).astype(np.int64)
-        hit = np.zeros(len(h), bool)
-        for *_, bits in self.classes:
-            hit |= bits[low]
-        return hit
-
     def _contained(self, x: np.ndarray) -> Iterator[tuple[int, int]]:
         found = np.zeros(len(self.n), bool)
         low = (x & _U((1 << _BITS) - 1)).astype(np.int64)
@@ -82,39 +89,74 @@ class Sketches:
             for i in np.flatnonzero(found & (100 * shared >= PERCENT * self.n)):
                 yield int(i), int(shared[i])
 
-    def search(self, texts: pa.Array) -> Iterator[tuple[int, int, int]]:
-        """(row, item, shared shingles) of each contained item."""
-        for c in textscan.chunks(texts):
-            s, e, first = c.words()
-            words = c.word_hashes(s, e)
-            n = np.diff(first)
-            rows = set(np.flatnonzero((n > 0) & (n < SHINGLE)).tolist())
-            if len(words) >= SHINGLE:
-                hit = np.flatnonzero(self._maybe(shingle_hashes(words, SHINGLE)))
-                doc = np.searchsorted(first, hit, "right") - 1
-                rows |= set(np.unique(doc[hit + SHINGLE <= first[doc + 1]]).tolist())
-            for i in sorted(rows):
-                for item, shared in self._contained(distinct(shingle_hashes(words[first[i] : first[i + 1]], SHINGLE))):
-                    yield c.first + i, item, shared
-
-
-def blocks(benchmark: DataFrame, size: int = BLOCK) -> Iterator[Sketches]:
-    """The items (item_id, text) in blocks; items without words are left out."""
-    held: list = []
-
-    def built() -> Sketches:
-        texts = pa.array([x[1] for x in held], pa.string())
-        sets = [x for _, x in textscan.shingle_sets(texts, SHINGLE)]
-        keep = [i for i, x in enumerate(sets) if len(x)]
-        return Sketches([held[i][0] for i in keep], [sets[i] for i in keep])
-
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        held.append((row[0], row[1]))
-        if len(held) == size:
-            yield built()
-            held = []
-    if held:
-        yield built()
+    def search(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, shared shingles) of each contained item; text i has the
+        word hashes words[first[i]:first[i + 1]]."""
+        n = np.diff(first)
+        rows = set(np.flatnonzero((n > 0) & (n < SHINGLE)).tolist())
+        if len(words) >= SHINGLE:
+            h = shingle_hashes(words, SHINGLE)
+            doc = np.searchsorted(first, np.arange(len(h)), "right") - 1
+            hit = self.needs[(h & _U((1 << _BITS) - 1)).astype(np.int64)] <= n[doc] - SHINGLE + 1
+            hit &= np.arange(len(h)) + SHINGLE <= first[doc + 1]
+            rows |= set(np.unique(doc[hit]).tolist())
+        for i in sorted(rows):
+            for item, shared in self._contained(distinct(shingle_hashes(words[first[i] : first[i + 1]], SHINGLE))):
+                yield i, item, shared
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [x for _, x in textscan.shingle_sets(batch["text"], SHINGLE)]
+        out = pa.record_batch([batch["item"], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["item", "n", "tokens"])
+        yield out.filter(pa.array([len(x) > 0 for x in sets], pa.bool_()))
+
+
+class Benchmark:
+    """The items' sets in blocks in the shared folder: item (a number of the
+    row), its n shingles, its tokens. ids gives the item_id of each item."""
+
+    def __init__(self, benchmark: DataFrame):
+        spark = benchmark.sparkSession
+        self.folder = new_folder(spark, "benchmark")
+        rows = benchmark.select("item_id", "text").withColumn("item", F.monotonically_increasing_id())
+        rows.write.parquet(f"{self.folder}/items")
+        items = spark.read.parquet(f"{self.folder}/items")
+        self.ids = items.select("item", "item_id")
+        items.select("item", "text").mapInArrow(_sets, "item long, n long, tokens binary").write.parquet(f"{self.folder}/sets")
+        sets = spark.read.parquet(f"{self.folder}/sets")
+        self.n_blocks = -(-8 * (sets.agg(F.sum("n")).first()[0] or 0) // BLOCK_BYTES)
+        if self.n_blocks:
+            at = F.pmod(F.xxhash64("item"), F.lit(self.n_blocks)).cast("int")
+            sets.withColumn("block", at).repartition(self.n_blocks, "block").write.partitionBy("block").parquet(f"{self.folder}/blocks")
+
+
+_held: OrderedDict = OrderedDict()
+
+
+def _block(folder: str, i: int) -> Sketches:
+    """A block, read where it is needed and kept while it is among the KEPT
+    most recently used ones of this worker."""
+    key = folder, i
+    if key not in _held:
+        while len(_held) >= KEPT:
+            _held.popitem(last=False)
+        fs, root = pafs.FileSystem.from_uri(folder)
+        t = pads.dataset(f"{root}/blocks/block={i}", filesystem=fs, format="parquet").to_table(columns=["item", "tokens"]) if fs.get_file_info(f"{root}/blocks/block={i}").type else None
+        sets = [] if t is None else [np.frombuffer(x, np.uint64) for x in t["tokens"].to_pylist()]
+        _held[key] = Sketches(np.zeros(0, np.int64) if t is None else t["item"].to_numpy(), sets)
+    _held.move_to_end(key)
+    return _held[key]
+
+
+def _found(folder: str, n_blocks: int, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item, shingles of the item, shared shingles)."""
+    held = [(c.first, *(lambda s, e, first, c=c: (c.word_hashes(s, e), first))(*c.words())) for c in textscan.chunks(texts)]
+    for b in range(n_blocks):
+        block = _block(folder, b)
+        for start, words, first in held:
+            for i, item, shared in block.search(words, first):
+                yield start + i, int(block.ids[item]), int(block.n[item]), shared
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -122,44 +164,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     each row of docs and item of which it contains at least 80 %.
 
     Null or wordless texts and items contain and are contained in nothing; a
-    null id is carried along; repeated rows are reported each; an empty table
-    gives an empty result; other columns are ignored.
+    text or item of any length is taken whole; ids may be of any type; a null
+    id is carried along; repeated rows are reported each; an empty table gives
+    an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("n_item", T.LongType()), T.StructField("n_shared", T.LongType())])
-    out = spark.createDataFrame([], schema)
-    for block in blocks(benchmark):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            held = sent.value
-            for batch in batches:
-                found = list(held.search(batch["text"]))
-                rows, items = [x[0] for x in found], [x[1] for x in found]
-                yield pa.record_batch(
-                    [batch["doc_id"].take(pa.array(rows, pa.int64())), pa.array([held.ids[i] for i in items], pa.int64()), pa.array(held.n[items] if items else [], pa.int64()), pa.array([x[2] for x in found], pa.int64())],
-                    ["doc_id", "item_id", "n_item", "n_shared"],
-                )
-
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return out
+    bounded_batches(docs.sparkSession)
+    held = Benchmark(benchmark)
+    folder, n_blocks = held.folder, held.n_blocks
+    kind = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(zip(*_found(folder, n_blocks, batch["text"]), strict=True)) or [()] * 4
+            yield pa.record_batch([batch["doc_id"].take(pa.array(found[0], pa.int64())), *[pa.array(x, pa.int64()) for x in found[1:]]], ["doc_id", "item", "n_item", "n_shared"])
+
+    schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(x, T.LongType()) for x in ("item", "n_item", "n_shared")]])
+    hits = docs.select("doc_id", "text").mapInArrow(run, schema)
+    return hits.join(small(held.ids), "item").select("doc_id", "item_id", "n_item", "n_shared")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that contain a benchmark item; its columns stay as
-    they are. Texts are judged where they are read, so nothing is shuffled."""
+    they are, whatever their names. Texts are judged where they are read, so
+    nothing is shuffled. A null or wordless text contains nothing and stays."""
     bounded_batches(docs.sparkSession)
-    for block in blocks(benchmark):
-        docs = docs.where(~_leaks(docs.sparkSession.sparkContext.broadcast(block))(F.col("text")))
-    return docs
+    held = Benchmark(benchmark)
+    return docs.where(~_leaks(held.folder, held.n_blocks)(F.col("text")))
 
 
-def _leaks(sent):
+def _leaks(folder: str, n_blocks: int):
     @F.arrow_udf(T.BooleanType())
     def leaks(texts: pa.Array) -> pa.Array:
         hit = np.zeros(len(texts), bool)
-        hit[sorted({row for row, *_ in sent.value.search(texts)})] = True
+        hit[sorted({row for row, *_ in _found(folder, n_blocks, texts)})] = True
         return pa.array(hit)
 
     return leaks

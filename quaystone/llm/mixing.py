@@ -4,35 +4,51 @@ A source's target weight and its size give the mean number of copies of each
 of its documents. The number for one document inverts the Poisson distribution
 at a uniform value hashed from seed and doc_id: the same on every run, whatever
 the partitions. Documents are exploded by their counts and put in one global
-order by the hash of seed, doc_id and copy.
+order by the hash of seed, doc_id and copy: one exchange, since the hash is
+uniform and its ranges are known beforehand.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystone.llm.shared import small, written
+from quaystone.llm.shared import small, width, written
 from quaystone.session import table
 
 SEED = "mix-1"
 #: Without given weights a source weighs its bytes to this power.
 TEMPER = 0.7
+KEY_BITS = 60
+
 
+def _counts(rate: float, u: np.ndarray) -> np.ndarray:
+    """The Poisson distribution of this mean inverted at u: how many of its
+    cumulative probabilities are at most u. Values so far from the mean that
+    they hold no probability are left out, so the work follows the root of the
+    mean."""
+    if not rate > 0:
+        return np.zeros(len(u), np.int64)
+    reach = 12 * math.sqrt(rate) + 24
+    first = max(0, math.floor(rate - reach))
+    k = np.arange(first, math.ceil(rate + reach) + 1)
+    factorial = math.lgamma(first + 1) + np.append(0.0, np.cumsum(np.log(k[1:])))
+    return first + np.searchsorted(np.cumsum(np.exp(k * np.log(rate) - rate - factorial)), u, "right")
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _poisson_cdf(rates: pd.Series) -> pd.Series:
-    def cdf(rate: float) -> list[float]:
-        if not rate > 0:
-            return [1.0]
-        k = np.arange(0, int(np.ceil(rate + 12 * np.sqrt(rate) + 24)) + 1)
-        factorial = np.append(0.0, np.cumsum(np.log(k[1:])))
-        return np.cumsum(np.exp(k * np.log(rate) - rate - factorial)).tolist()
 
-    return rates.map(cdf)
+@F.pandas_udf(T.LongType())
+def _drawn(rate: pd.Series, u: pd.Series) -> pd.Series:
+    values, which = np.unique(rate.to_numpy(), return_inverse=True)
+    out = np.zeros(len(u), np.int64)
+    for i, x in enumerate(values):
+        rows = which.ravel() == i
+        out[rows] = _counts(float(x), u.to_numpy()[rows])
+    return pd.Series(out)
 
 
 def _hex_long(digits: int, *parts: Column | str) -> Column:
@@ -60,29 +76,39 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     """docs, each row as often as drawn, with _rate, _copies, _copy (from 1)
     and _key, the place in the global order; not yet ordered.
 
-    A null source is a source of its own, a null text counts one byte, a null
-    doc_id draws as an empty one; repeated rows draw the same count; an empty
-    table gives an empty result. Columns of docs with these names are dropped.
+    A null source is a source of its own; a null text counts one byte; a text
+    of any length is one record; a null doc_id draws by the hash of its text.
+    Repeated rows draw the same count; an empty table gives an empty result.
+    Columns of docs with these names are dropped.
     """
-    docs = docs.drop("_src", "_rate", "_copies", "_copy", "_key", "_cdf")
-    found = small(rates(docs, weights, epochs).withColumnRenamed("rate", "_rate").withColumn("_cdf", _poisson_cdf("_rate")))
-    uniform = _hex_long(13, F.col("doc_id").cast("string")).cast("double") / float(1 << 52)
-    drawn = docs.withColumn("_src", F.coalesce("source", F.lit(""))).join(found, "_src").withColumn("_u", uniform)
-    drawn = drawn.withColumn("_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))).where("_copies > 0").drop("_cdf", "_src", "_u")
-    drawn = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return drawn.withColumn("_key", _hex_long(15, F.col("doc_id").cast("string"), F.col("_copy").cast("string")))
+    docs = docs.drop("_src", "_rate", "_copies", "_copy", "_key", "_who")
+    found = small(rates(docs, weights, epochs).withColumnRenamed("rate", "_rate"))
+    who = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    drawn = docs.withColumns({"_src": F.coalesce("source", F.lit("")), "_who": who}).join(found, "_src").drop("_src")
+    uniform = _hex_long(13, F.col("_who")).cast("double") / float(1 << 52)
+    drawn = drawn.withColumn("_copies", _drawn("_rate", uniform)).where("_copies > 0")
+    drawn = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return drawn.withColumn("_key", _hex_long(KEY_BITS // 4, F.col("_who"), F.col("_copy").cast("string"))).drop("_who")
+
+
+def in_order(drawn: DataFrame) -> DataFrame:
+    """drawn in the order of _key, which is uniform: partition i holds the i-th
+    equal range of keys, so no sample has to be drawn first."""
+    n = width(drawn.sparkSession)
+    at = F.shiftright(F.shiftright("_key", KEY_BITS - 30) * F.lit(n), 30).cast("int")
+    return drawn.repartitionById(n, at).sortWithinPartitions("_key", "doc_id", "_copy")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
     """The mixture in its global order, with the columns of docs."""
-    return replicate(docs, weights, epochs).orderBy("_key", "doc_id", "_copy").drop("_rate", "_copies", "_copy", "_key")
+    return in_order(replicate(docs, weights, epochs)).drop("_rate", "_copies", "_copy", "_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the documents' mixture, without the texts."""
     drawn = replicate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
-    return drawn.orderBy("_key", "doc_id", "_copy").select(
-        "doc_id", "source", F.col("_copies").cast("long").alias("n_copies"), F.col("_copy").cast("long").alias("copy"), F.col("_key").alias("shuffle_key"), F.round("_rate", 6).alias("rate")
+    return in_order(drawn).select(
+        "doc_id", "source", F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_key").alias("shuffle_key"), F.round("_rate", 6).alias("rate")
     )
 
 

@@ -45,6 +45,8 @@ HOT = 32
 BLOCK = (128, 1024)
 SPREAD = 16
 FLUSH = 1_000_000
+#: Tokens of a partition of the token and the set exchange, at most.
+TOKENS_A_PART = 4_000_000
 MATCHES = (1, 2, 3, 4, 6, 8)
 #: Cost of verifying a candidate, in scanned postings, for each token of the set.
 VERIFY = 0.05
@@ -65,12 +67,13 @@ def _least(n: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's set: its size and signature; hash, of the text, stays."""
     for batch in batches:
         sig, n = [], []
         for _, tokens in textscan.shingle_sets(batch["text"], SHINGLE):
             n.append(len(tokens))
             sig.append(signature(tokens) if len(tokens) else None)
-        yield pa.record_batch([batch["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.int64())], ["doc_id", "n", "sig"])
+        yield pa.record_batch([batch["doc_id"], batch["hash"], pa.array(n, pa.int64()), pa.array(sig, pa.int64())], ["doc_id", "hash", "n", "sig"])
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -296,15 +299,20 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the set of each text; drops rows whose text has another set."""
+    """The set of each text, once a task; drops texts with another set."""
+    seen: set[int] = set()
     for batch in batches:
         sig = batch["sig"].to_pylist()
+        new = [i for i, x in enumerate(sig) if x not in seen and not seen.add(x)]
+        batch, sig = batch.take(pa.array(new, pa.int64())), [sig[i] for i in new]
         keep, tokens = [], []
         for i, x in textscan.shingle_sets(batch["text"], SHINGLE):
             keep.append(len(x) > 0 and signature(x) == sig[i])
             tokens.append(x.tobytes() if keep[-1] else None)
+            if not keep[-1]:
+                seen.discard(sig[i])  # another text with the same hash
         out = batch.drop_columns(["text"]).append_column("tokens", pa.array(tokens, pa.binary()))
-        yield out.filter(pa.array(keep))
+        yield out.filter(pa.array(keep, pa.bool_()))
 
 
 class _Index:
@@ -397,10 +405,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = width(spark)
-    signed = written(docs.mapInArrow(_signed, "doc_id long, n long, sig long"), "signed")
-    sets = written(signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n")), "sets")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    signed = written(docs.mapInArrow(_signed, "doc_id long, hash long, n long, sig long"), "signed")
+    grouped = signed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.min("hash").alias("hash"), F.count("*").alias("copies"), F.first("n").alias("n"))
+    sets = written(grouped, "sets")
+    parts = width(spark, sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], TOKENS_A_PART)
 
     packed = docs.select("text").mapInArrow(_postings(parts), _PACKED).repartitionById(parts, "part")
     told = packed.mapInArrow(_counted(parts), _PACKED).repartitionById(parts, "part")
@@ -418,8 +427,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     own = prefix.groupBy("sig").agg(F.collect_list("tok").alias("prefix"), F.first("l").alias("l"))
     members = written(blocked.join(sets, "sig").join(own, "sig"), "members")
     n_members = members.count()
-    text = docs.join(small(members.select("rep", "sig")), F.col("doc_id").eqNullSafe(F.col("rep"))).select("sig", "text")
-    whole = text.mapInArrow(_tokens, "sig long, tokens binary")
+    # by the hash of one of the set's texts; a text of many rows is one set a task, then one in all
+    text = docs.select("hash", "text").join(small(members.select("hash", "sig")), "hash").select("sig", "text")
+    whole = text.mapInArrow(_tokens, "sig long, tokens binary").groupBy("sig").agg(F.first("tokens").alias("tokens"))
     tasks = max(parts, n_members // 512)
     spread = (
         members.join(whole, "sig")

@@ -2,14 +2,17 @@
 
 The key of a record is (hash of its text, doc_id), so equal texts stand next
 to each other. Size-weighted samples of the keys give quantile boundaries of
-many fine ranges; ranges that turn out overfull are sampled again and cut
-within a text's group by doc_id. Runs of fine ranges become shards of nearly
-equal bytes, and exact row counts of the ranges give gapless slots. Only the
-sample, the boundaries and one count a range reach the driver.
+many fine ranges; ranges that turn out overfull are sampled again, until each
+is small enough or holds one key alone: first between texts, then within a
+text's group by doc_id, and a range of rows that are equal in both by a number
+of the row. Runs of fine ranges become shards of nearly equal bytes, and exact
+row counts of the ranges give gapless slots. Only the samples, the boundaries
+and one count a range reach the driver.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,20 +28,26 @@ N_SHARDS = 16
 RANGES_A_SHARD = 64
 ROWS_A_RANGE = 200_000
 SAMPLES_A_RANGE = 16
-ROUNDS = 6
+#: A range is overfull beyond so many times the size aimed at.
+OVERFULL = 1.5
 LEAST = -(2**63)
 
 
 @dataclass
 class Plan:
-    """Boundaries (hash, doc_id), sorted, and by fine range its shard, its
-    first slot and its rows and bytes."""
+    """Boundaries (hash, doc_id), sorted; by range the number of its pieces
+    and of the first; by piece its shard and its first slot."""
 
     hashes: np.ndarray
     ids: np.ndarray
+    pieces: np.ndarray
+    first_piece: np.ndarray
     shard: np.ndarray
     first_slot: np.ndarray
 
+    def splits_rows(self) -> bool:
+        return bool((self.pieces > 1).any())
+
 
 def _range_of(hashes: np.ndarray, ids: np.ndarray):
     """A column of the number of boundaries at or below (hash, doc_id)."""
@@ -58,66 +67,102 @@ def _range_of(hashes: np.ndarray, ids: np.ndarray):
     return find(F.col("_h"), F.col("_d"))
 
 
+def _piece_of(pieces: np.ndarray, first_piece: np.ndarray):
+    """A column of the piece of range _r that row number _n falls in."""
+
+    @F.pandas_udf(T.IntegerType())
+    def find(r: pd.Series, n: pd.Series) -> pd.Series:
+        r, n = r.to_numpy(), n.to_numpy()
+        return pd.Series((first_piece[r] + n % pieces[r]).astype(np.int32))
+
+    return find(F.col("_r"), F.pmod(F.xxhash64("_n"), F.lit(1 << 40)))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with _h, _d (the key) and _size: UTF-8 bytes plus 1."""
+    """docs with _h, _d (the key), _size (UTF-8 bytes plus 1) and _n, a row
+    number to tell rows of one key apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_h": F.xxhash64(text), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "_size": (F.octet_length(text) + 1).cast("long")})
+    n = {} if "_n" in docs.columns else {"_n": F.monotonically_increasing_id()}
+    return docs.withColumns({"_h": F.xxhash64(text), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "_size": (F.octet_length(text) + 1).cast("long"), **n})
 
 
-def _cut(samples: list, pieces: dict[int, int]) -> set[tuple[int, int]]:
+def _after(key: tuple[int, int]) -> tuple[int, int]:
+    """The next possible key."""
+    h, d = key
+    return (h, d + 1) if d < -LEAST - 1 else (min(h + 1, -LEAST - 1), LEAST)
+
+
+def _cut(samples: list, pieces: dict[int, int], within_texts: bool) -> set[tuple[int, int]]:
     """Quantile keys of the samples (range, hash, doc_id, weight), as many a
-    range as it needs pieces, less one."""
+    range as it needs pieces, less one. A key that takes several quantiles is
+    heavy: it is cut off on both sides, so that it ends up alone."""
     found: set[tuple[int, int]] = set()
     by: dict[int, list] = {}
     for r, h, d, w in samples:
-        by.setdefault(r, []).append((h, d, w))
+        by.setdefault(r, []).append((h, d if within_texts else LEAST, w))
     for r, rows in by.items():
         rows.sort()
         total = np.cumsum([w for _, _, w in rows])
         goal = total[-1] * np.arange(1, pieces[r]) / pieces[r]
-        found.update(rows[i][:2] for i in np.minimum(np.searchsorted(total, goal), len(rows) - 1))
+        taken = Counter(rows[i][:2] for i in np.minimum(np.searchsorted(total, goal), len(rows) - 1))
+        found.update(taken)
+        found.update(_after(k) if within_texts else (min(k[0] + 1, -LEAST - 1), LEAST) for k, times in taken.items() if times > 1)
     return found
 
 
+def _arrays(bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([h for h, _ in bounds], np.int64), np.array([d for _, d in bounds], np.int64)
+
+
 def plan_shards(keys: DataFrame, n_shards: int = N_SHARDS, seed: int = 11) -> Plan:
-    """Splitters for keys (columns _h, _d, _size). keys is read a few times."""
+    """Splitters for keys (columns _h, _d, _size, _n), a written table. It is
+    read twice a round; a round cuts every range that is overfull and holds
+    more than one key, and rounds go on until there is none."""
     rows, total = keys.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     n_ranges = max(n_shards * RANGES_A_SHARD, rows // ROWS_A_RANGE)
     goal = max(1.0, total / n_ranges)
     bounds: list[tuple[int, int]] = []
-    sizes: list[tuple[int, int, int]] = [(0, total, rows)]
-    uniform = (F.pmod(F.xxhash64("_h", "_d", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))).cast("double")
-    for at in range(ROUNDS):
-        over = {r: int(np.ceil(2 * b / goal)) if at else n_ranges for r, b, n in sizes if (not at or b > 1.5 * goal) and n > 1}
+    sizes: list[tuple] = [(0, total, rows, False)]
+    at = 0
+    while True:
+        over = {r: int(np.ceil(2 * b / goal)) if at else n_ranges for r, b, n, one in sizes if (not at or b > OVERFULL * goal) and n > 1 and not one}
         if not over:
             break
-        hashes, ids = np.array([h for h, _ in bounds], np.int64), np.array([d for _, d in bounds], np.int64)
-        ranged = keys.withColumn("_r", _range_of(hashes, ids) if bounds else F.lit(0))
+        uniform = (F.pmod(F.xxhash64("_h", "_d", "_n", F.lit(seed + at)), F.lit(1 << 40)) / F.lit(float(1 << 40))).cast("double")
+        ranged = keys.withColumn("_r", _range_of(*_arrays(bounds)) if bounds else F.lit(0))
         heavy = ranged.where(F.col("_r").isin(list(over))) if at else ranged
         expected = F.col("_size") * F.lit(SAMPLES_A_RANGE / goal)
         drawn = heavy.where(uniform < expected).select("_r", "_h", "_d", F.greatest(F.lit(1.0), expected)).collect()
-        cut = _cut([tuple(x) for x in drawn], over)
         # the first cuts keep a text's group whole; later ones go inside it
-        new = sorted(set(bounds) | ({(h, LEAST) for h, _ in cut} if not at else cut))
+        new = sorted(set(bounds) | _cut([tuple(x) for x in drawn], over, at > 0))
+        at += 1
         if new == bounds:
-            break
+            continue  # by chance nothing was drawn; the next round draws others
         bounds = new
-        hashes, ids = np.array([h for h, _ in bounds], np.int64), np.array([d for _, d in bounds], np.int64)
-        sizes = [tuple(x) for x in keys.groupBy(_range_of(hashes, ids).alias("_r")).agg(F.sum("_size"), F.count("*")).collect()]
+        one = (F.min(F.struct("_h", "_d")) == F.max(F.struct("_h", "_d"))).alias("one")
+        sizes = [tuple(x) for x in keys.groupBy(_range_of(*_arrays(bounds)).alias("_r")).agg(F.sum("_size"), F.count("*"), one).collect()]
     n = len(bounds) + 1
-    by_bytes, by_rows = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for r, b, c in sizes:
-        by_bytes[r], by_rows[r] = b or 0, c
+    pieces = np.ones(n, np.int64)
+    for r, b, c, one in sizes:
+        if one and c > 1 and b > OVERFULL * goal:
+            pieces[r] = min(c, int(np.ceil(b / goal)))
+    first_piece = np.cumsum(pieces) - pieces
+    hashes, ids = _arrays(bounds)
+    if pieces.max() > 1:
+        sizes = keys.withColumn("_r", _range_of(hashes, ids)).groupBy(_piece_of(pieces, first_piece).alias("_p")).agg(F.sum("_size"), F.count("*")).collect()
+    by_bytes, by_rows = np.zeros(pieces.sum(), np.int64), np.zeros(pieces.sum(), np.int64)
+    for p, b, c, *_ in sizes:
+        by_bytes[p], by_rows[p] = b or 0, c
     middle = np.cumsum(by_bytes) - by_bytes / 2
     shard = np.minimum(n_shards - 1, np.floor(middle * n_shards / max(1, total))).astype(np.int32)
     first = np.cumsum(by_rows) - by_rows
     first -= first[np.searchsorted(shard, shard, "left")]
-    return Plan(np.array([h for h, _ in bounds], np.int64), np.array([d for _, d in bounds], np.int64), shard, first)
+    return Plan(hashes, ids, pieces, first_piece, shard, first)
 
 
 def assign(keys: DataFrame, plan: Plan) -> DataFrame:
-    """keys with shard (int) and slot (long); drops _h, _d, _size. The window
-    runs over a fine range, never over a shard."""
+    """keys with shard (int) and slot (long); drops the key columns. The window
+    runs over a piece of a range, never over a shard."""
     shard, first = plan.shard, plan.first_slot
 
     @F.pandas_udf(T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType())]))
@@ -125,9 +170,11 @@ def assign(keys: DataFrame, plan: Plan) -> DataFrame:
         r = r.to_numpy()
         return pd.DataFrame({"shard": shard[r], "first": first[r]})
 
-    ranged = keys.withColumn("_r", _range_of(plan.hashes, plan.ids)).withColumn("_p", place("_r"))
-    at = F.row_number().over(Window.partitionBy("_r").orderBy("_h", "_d", "_size"))
-    return ranged.withColumns({"shard": F.col("_p.shard"), "slot": F.col("_p.first") + at - 1}).drop("_h", "_d", "_size", "_r", "_p")
+    ranged = keys.withColumn("_r", _range_of(plan.hashes, plan.ids))
+    if plan.splits_rows():
+        ranged = ranged.withColumn("_r", _piece_of(plan.pieces, plan.first_piece))
+    at = F.row_number().over(Window.partitionBy("_r").orderBy("_h", "_d", "_size", "_n"))
+    return ranged.withColumn("_p", place("_r")).withColumns({"shard": F.col("_p.shard"), "slot": F.col("_p.first") + at - 1}).drop("_h", "_d", "_size", "_n", "_r", "_p")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
@@ -135,12 +182,17 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
 
     Equal texts share a shard unless their group is larger than a fine range
     (a 64th of a shard). A null text counts as empty, a null doc_id sorts
-    first; repeated rows each get a slot; an empty table gives an empty
-    result; columns of docs named shard or slot are replaced.
+    first; a text of any length is one record; repeated rows each get a slot
+    and, where they are larger than a fine range, are split by a row number
+    (docs are then written once, so that the number holds); an empty table
+    gives an empty result; columns of docs named shard or slot are replaced.
     """
-    docs = docs.drop("shard", "slot", "_h", "_d", "_size", "_r", "_p")
-    keys = written(keyed(docs).select("_h", "_d", "_size"), "keys")
-    return assign(keyed(docs), plan_shards(keys, n_shards))
+    docs = docs.drop("shard", "slot", "_h", "_d", "_size", "_n", "_r", "_p")
+    plan = plan_shards(written(keyed(docs).select("_h", "_d", "_size", "_n"), "keys"), n_shards)
+    if plan.splits_rows():
+        docs = written(docs.withColumn("_n", F.monotonically_increasing_id()), "numbered")
+        plan = plan_shards(written(keyed(docs).select("_h", "_d", "_size", "_n"), "keys"), n_shards)
+    return assign(keyed(docs), plan)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,23 +9,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast after it was counted (at
-#: most 32 bytes a row here, so 32 MB); a shuffle join is used beyond it.
+#: Rows and bytes up to which a side of a join is broadcast after both were
+#: counted; a shuffle join is used beyond either.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 #: The largest Arrow batch sent to a Python worker.
 BATCH_ROWS = 1_000
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. Only a session without the setting, as
-    in tests, gets a temporary one."""
+    """The folder every executor sees. Only a local session without the
+    setting, as in tests, gets a temporary one; a cluster must name a folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     at = "file://" + tempfile.mkdtemp(prefix="quaystone-")
     spark.sparkContext.setCheckpointDir(at)
     return at
@@ -52,14 +55,21 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set(size, str(BATCH_BYTES))
 
 
-def width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def width(spark: SparkSession, units: int = 0, a_part: int = 1) -> int:
+    """Shuffle partitions: the session's number, or more where units, a count
+    of what is shuffled, would make a partition hold more than a_part."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units // a_part))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows allow it, else as it is.
-    df should be cheap to count, for instance already written."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows and bytes allow it, else as
+    it is. df should be cheap to count, for instance already written."""
+    long = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    each = F.lit(8 * len(df.columns)).cast("long")
+    for x in long:
+        each = each + x
+    n, total = df.agg(F.count("*"), F.sum(each)).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -38,9 +38,17 @@ _BYTE[GAP] = 0
 _POWERS = np.full(1 << 16, 0x5851F42D4C957F2D, np.uint64)
 _POWERS[0] = 1
 _POWERS = np.multiply.accumulate(_POWERS)
+_STEP = (_POWERS[-1:] * _POWERS[1])[0]
 _PLACE = mix(np.arange(11, 11 + 64, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
+def powers(base: np.uint64, exponent: np.ndarray) -> np.ndarray:
+    """base to each exponent, modulo 2**64."""
+    table = np.full(int(exponent.max()) + 1, base, np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)[exponent]
+
+
 class Chunk:
     """Whole texts, one after another: bytes, offsets (n + 1), first row."""
 
@@ -72,9 +80,10 @@ class Chunk:
         data = LOWER[self.data] if lower else self.data
         place = np.arange(s[0], len(data), dtype=np.int32)
         place -= np.repeat(s.astype(np.int32), np.diff(np.append(s, len(data))))
-        place &= 0xFFFF
         value = _BYTE[data[s[0] :]]
-        value *= _POWERS[place]
+        value *= _POWERS[place & 0xFFFF]
+        if (e - s).max() > len(_POWERS):  # weights go on as powers of the weight one table further
+            value *= powers(_STEP, place >> 16)
         h = np.add.reduceat(value, s - s[0])
         return mix(h ^ ((e - s).astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
 
