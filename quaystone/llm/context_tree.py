@@ -371,9 +371,10 @@ def score_texts(docs: DataFrame, held_out, depth: int = DEPTH) -> DataFrame:
     code_length (bits a byte, ends included) of each row of docs, by a model of
     the rows for which the column held_out is not true.
 
-    A null or empty text is its end alone. A null doc_id is carried along;
-    repeated rows count and are scored each; an empty table gives an empty
-    result; without training rows every decision costs a bit.
+    A null or empty text is its end alone; a text of any length is counted and
+    scored whole. A null doc_id is carried along; repeated rows count and are
+    scored each; an empty table gives an empty result; other columns, whatever
+    their names, are ignored; without training rows every decision costs a bit.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))

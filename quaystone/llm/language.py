@@ -302,8 +302,9 @@ def identify(docs: DataFrame, learns: Column, switch: float = SWITCH, spans: boo
 
     A text that is null, or without a letter, is `und` with score 0, and so is
     every text if no row has a lang to learn. A text whose scripts no learned
-    language has gets the most frequent language with score 0. Repeated rows
-    are labelled each; a column of docs named language is replaced.
+    language has gets the most frequent language with score 0. A text of any
+    length is labelled whole. Repeated rows are labelled each; an empty table
+    gives an empty result; a column of docs named language is replaced.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, learns))
@@ -326,5 +327,13 @@ def remainder(modulus: int) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6 over all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    labelled = identify(docs, remainder(4) != 2, spans=False)
-    return labelled.select("doc_id", (remainder(4) == 2).alias("held_out"), F.col("language.lang_pred").alias("lang_pred"), F.col("language.score").alias("score"))
+    labelled = identify(docs, remainder(4) != 2)
+    spans = F.transform("language.spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["lang"]))
+    return labelled.select(
+        "doc_id",
+        (remainder(4) == 2).alias("held_out"),
+        F.col("language.lang_pred").alias("lang_pred"),
+        F.col("language.score").alias("score"),
+        F.size(spans).cast("long").alias("n_spans"),
+        F.array_join(spans, ",").alias("spans"),
+    )

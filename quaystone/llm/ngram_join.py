@@ -401,7 +401,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     A null or wordless text has no shingles, links with nothing and is its own
     component. Rows with equal sets link. A null doc_id is carried along and
     never names a component unless no other id is there. Repeated rows come
-    back as often as they were given; an empty table gives an empty result.
+    back as often as they were given; a text of any length is taken whole; an
+    empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -165,9 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, learns: Column) -> Machine:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learns)
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     n = known.count()
-    # by hash: about SAMPLE rows of any larger number
+    # by hash: about SAMPLE ids of any larger number; of an id's rows one, so that repeated ids do not add to them
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, n))))
-    rows = docs.join(F.broadcast(drawn), "doc_id").select("y", "text", "declared").mapInArrow(_sampled, "y double, index array<int>, value array<float>").toArrow()
+    rows = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min_by(F.struct("text", "declared"), F.xxhash64("text", "declared")).alias("row"))
+    rows = rows.select("y", "row.*").mapInArrow(_sampled, "y double, index array<int>, value array<float>").toArrow()
     y = rows["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         machine = Machine(0.0 if not len(y) else 5.0 if y[0] else -5.0)
@@ -194,9 +195,10 @@ def classify(docs: DataFrame, labels: DataFrame, learns: Column) -> DataFrame:
     """docs with score, from 0 to 1, higher for likelier quality 1.
 
     A null text counts as empty and is scored by its statistics, a null or
-    missing n_chars as -1. Without labels all scores are 0.5, with labels of
-    one class near that class. Repeated rows are scored each; a column of docs
-    named score is replaced.
+    missing n_chars as -1; a text of any length is scored whole. Without labels
+    all scores are 0.5, with labels of one class near that class. Repeated rows
+    are scored each, and a repeated id is learned from once; an empty table
+    gives an empty result; a column of docs named score is replaced.
     """
     bounded_batches(docs.sparkSession)
     declared = F.coalesce(F.col("n_chars").cast("double"), F.lit(-1.0)) if "n_chars" in docs.columns else F.lit(-1.0)

@@ -1,11 +1,13 @@
 """Secret scans by one deterministic automaton for all rules.
 
-The rules' expressions are compiled on the driver: syntax tree, Thompson NFA,
-subset construction over byte classes, minimisation, transition array. The
-combined automaton reads every byte once and tells which rules find something
-in which text. Texts with a find are gone through again by the rule's own
-minimised automata, which give the exact leftmost, greedy, non-overlapping
-spans.
+The rules' expressions are compiled: syntax tree, Thompson NFA, subset
+construction over byte classes, minimisation, transition array. The combined
+automaton is that of all rules read backwards: it goes over every byte of a
+text once, from its end, and is in an accepting state for a rule exactly where
+a match of the rule begins. Taken from the left, each such place is the start
+of a span unless an earlier span of the rule covers it, and the rule's own
+automata, forwards over the span alone, give its end. So the work is linear in
+the text, whatever is in it.
 """
 
 from __future__ import annotations
@@ -52,12 +54,6 @@ ADDED = (
 RULES = BASE + ADDED
 
 
-#: Value bytes that the combined automaton asks for at most: it finds where a
-#: rule may hold, and counters of several rules multiply its states. The spans
-#: are held against the whole length.
-ASKED = 6
-
-
 class _Syntax:
     """A regular expression as a tree of ('set', bytes), ('cat', parts),
     ('or', parts), ('times', part, least, most or None)."""
@@ -275,15 +271,27 @@ def _minimised(classes: np.ndarray, step: np.ndarray, accepts: np.ndarray) -> Au
     return Automaton(classes.astype(np.uint8), merged, acc, first_accept, dead[0] if dead else -1, start)
 
 
+def _backwards(tree: tuple) -> tuple:
+    """The tree of the reversed texts."""
+    if tree[0] == "set":
+        return tree
+    if tree[0] == "times":
+        return ("times", _backwards(tree[1]), *tree[2:])
+    parts = [_backwards(x) for x in tree[1]]
+    return (tree[0], parts[::-1] if tree[0] == "cat" else parts)
+
+
 @lru_cache(4)
 def compiled(rules: tuple[Rule, ...]) -> tuple[Automaton, list[tuple[Automaton, Automaton | None]]]:
-    """The combined search automaton, and each rule's own for head and value."""
+    """The combined automaton, backwards, and each rule's own for head and
+    value. A match begins where a head and one value byte do, or, of a rule
+    without a head, where its least number of value bytes does."""
     heads = [_Syntax(r.head, r.either_case).parse() for r in rules]
     values = [_Syntax(r.value, r.either_case).parse() for r in rules]
-    asked = [min(max(1, r.least), ASKED) for r in rules]
+    asked = [1 if r.head else max(1, r.least) for r in rules]
     whole = [("cat", [h, ("times", v, n, n)]) if r.value else h for r, h, v, n in zip(rules, heads, values, asked, strict=True)]
     own = [(build([h], False), build([("times", v, 1, None)], False) if r.value else None) for r, h, v in zip(rules, heads, values, strict=True)]
-    return build(whole, True), own
+    return build([_backwards(x) for x in whole], True), own
 
 
 LANES = 2048
@@ -330,60 +338,45 @@ def _longest(auto: Automaton, steps: list, accept: int, data: bytes, at: int) ->
     return end
 
 
-def _starts(auto: Automaton) -> np.ndarray:
-    """Whether a match may begin with a byte."""
-    return auto.next[auto.start, auto.classes] != auto.dead
-
-
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         self.all, own = compiled(rules)
-        self.own, self.whole_runs = [], [not r.head for r in rules]  # without a head a match is a whole run
-        for head, value in own:
-            empty = bool(head.accepts[head.start])
-            begins = _starts(value) if empty and value else _starts(head)
-            parts = [(a, [list(map(int, row)) for row in a.next], a.first_accept) if a else None for a in (head, value)]
-            self.own.append((begins, *parts))
+        self.own = [[(a, [list(map(int, row)) for row in a.next], a.first_accept) if a else None for a in parts] for parts in own]
 
     def find(self, texts: pa.Array):
-        """(row, text bytes, rules with a find) of the texts that have any."""
+        """(row, text bytes, its spans by rule) of the texts that have any."""
         for c in textscan.chunks(texts):
             n = np.diff(c.offsets)
             classes = np.full(len(c.data) + c.n, self.all.next.shape[1] - 1, np.uint8)
             row = np.repeat(np.arange(c.n), n)
             classes[np.arange(len(c.data)) + row] = self.all.classes[c.data]
-            state = _run(self.all, classes)
+            state = _run(self.all, classes[::-1])[::-1]
             hit = np.flatnonzero(state >= self.all.first_accept)
             if not len(hit):
                 continue
-            rows = np.searchsorted(c.offsets[1:] + np.arange(c.n), hit, "left")
+            begin = c.offsets[:-1] + np.arange(c.n)
+            rows = np.searchsorted(begin, hit, "right") - 1
             which = self.all.accepts[state[hit]]
-            for i in np.unique(rows):
-                bits = int(np.bitwise_or.reduce(which[rows == i]))
-                yield c.first + int(i), c.data[c.offsets[i] : c.offsets[i + 1]], [k for k in range(len(self.rules)) if bits >> k & 1]
-
-    def spans(self, data: np.ndarray, k: int):
-        """(start, end) in bytes of rule k, leftmost and non-overlapping."""
-        begins, head, value = self.own[k]
-        raw, at = data.tobytes(), 0
-        may = begins[data]
-        if self.whole_runs[k]:
-            may[1:] &= ~may[:-1]
-        for s in np.flatnonzero(may).tolist():
-            if s < at:
-                continue
+            edge = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            for a, b in zip(edge, np.append(edge[1:], len(hit)), strict=True):
+                i = int(rows[a])
+                data = c.data[c.offsets[i] : c.offsets[i + 1]]
+                yield c.first + i, data, [list(self._spans(data.tobytes(), k, hit[a:b][which[a:b] >> k & 1 > 0] - begin[i])) for k in range(len(self.rules))]
+
+    def _spans(self, raw: bytes, k: int, starts: np.ndarray):
+        """(start, end) in bytes of rule k's matches, leftmost and apart, from
+        the places where one begins; those with too few value bytes drop."""
+        head, value = self.own[k]
+        at, i = 0, 0
+        while i < len(starts):
+            s = int(starts[i])
             mid = _longest(*head, raw, s)
-            if mid < 0:
-                continue
-            end = mid
-            if value:
-                end = _longest(*value, raw, mid)
-                if end <= mid:
-                    continue
+            end = _longest(*value, raw, mid) if value and mid >= 0 else mid
             at = max(end, s + 1)
-            if end - mid >= self.rules[k].least:
+            if end >= 0 and (not value or end > mid) and end - mid >= self.rules[k].least:
                 yield s, end
+            i = int(np.searchsorted(starts, at))
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -394,9 +387,9 @@ def _finder(rules: tuple[Rule, ...]):
     def find(texts: pa.Array) -> pa.Array:
         scanner = _scanner(rules)
         found: list[list] = [[] for _ in range(len(texts))]
-        for row, data, ks in scanner.find(texts):
+        for row, data, spans in scanner.find(texts):
             points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-            held = [(int(points[a]), k, int(points[b])) for k in ks for a, b in scanner.spans(data, k)]
+            held = [(int(points[a]), k, int(points[b])) for k, each in enumerate(spans) for a, b in each]
             found[row] = [{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(held)]
         return pa.array(found, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
@@ -417,8 +410,9 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with found: its secrets as an array of (kind, start, end), in code
     points, end exclusive, by start, then the rules' order.
 
-    A null or empty text has none. Repeated rows are scanned each; an empty
-    table gives an empty result; a column of docs named found is replaced.
+    A null or empty text has none; a text of any length is scanned whole.
+    Repeated rows are scanned each; an empty table gives an empty result; a
+    column of docs named found is replaced.
     """
     bounded_batches(docs.sparkSession)
     return docs.withColumn("found", _finder(rules)(F.coalesce("text", F.lit(""))))

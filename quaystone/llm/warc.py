@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.llm.shared import bounded_batches, new_folder, small, written
+from quaystone.llm.shared import BROADCAST_ROWS, bounded_batches, new_folder, written
 from quaystone.session import table
 
 #: Payloads of at least so many bytes are stored once.
@@ -83,9 +83,21 @@ def deduplicated(pages: DataFrame) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     pages = pages.select("page_id", "url", "html", F.sha1(payload.cast("binary")).alias("digest"))
     long = F.octet_length(payload) >= LEAST_REVISIT
-    groups = pages.where(long).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null").select("digest", "kept")
-    joined = pages.join(small(written(groups, "equal-payloads")), "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
+    groups = pages.where(long).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1 and kept is not null")
+    groups = written(groups, "equal-payloads")
+    # at most BROADCAST_ROWS groups have more than a BROADCAST_ROWS-th of the repeated rows: those are sent to
+    # the pages, so that no large group of pages is shuffled to one task; what is left are small groups
+    size = -(-(groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // BROADCAST_ROWS)
+    large = groups.where(F.col("n") > size).select("digest", F.col("kept").alias("kept_large"))
+    joined = pages.join(F.broadcast(large), "digest", "left")
+    rest = groups.where(F.col("n") <= size).select("digest", F.col("kept").alias("kept_small"))
+    if size > 1:  # else no group is left
+        alone = joined.where("kept_large is not null").withColumn("kept_small", F.lit(None).cast(groups.schema["kept"].dataType))
+        joined = joined.where("kept_large is null").join(rest, "digest", "left").unionByName(alone)
+        kept = F.coalesce("kept_large", "kept_small")
+    else:
+        kept = F.col("kept_large")
+    return joined.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(kept), kept).alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str) -> DataFrame:
@@ -94,7 +106,8 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
 
     A null html is an empty payload, a null url has no target header, a null
     page_id an empty id and is never referred to. Repeated rows are repeated
-    records. No file comes from an empty table.
+    records; a page of any length is one record; other columns, whatever their
+    names, are ignored. No file comes from an empty table.
     """
     bounded_batches(pages.sparkSession)
     fs, root = pafs.FileSystem.from_uri(folder)
@@ -133,44 +146,66 @@ def _member(read, data: bytes, at: int, after: int) -> tuple[bytes | None, int]:
         return None, 0
 
 
-def _records(member: bytes) -> Iterator[tuple[dict, bytes]]:
+def _records(member: bytes) -> Iterator[tuple[dict, bytes, bool]]:
+    """Header, block and whether the header tells its length of each record. A
+    record that does not, or tells more than there is, has all that is left."""
     at = 0
     while member.startswith(b"WARC/", at):
         end = member.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
         lines = member[at:end].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        n = int(head.get("content-length", 0))
-        yield head, member[end + 4 : end + 4 + n]
+        told = head.get("content-length", "")
+        sound = told.isascii() and told.isdigit() and end + 4 + int(told) <= len(member)
+        n = int(told) if sound else len(member) - end - 4
+        yield head, member[end + 4 : end + 4 + n], sound
         at = end + 4 + n
         while member.startswith(b"\r\n", at):
             at += 2
 
 
-_READ = "path string, offset long, length long, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
+_READ = "path string, offset long, length long, record_type string, record_id string, refers_to string, target_uri string, payload_bytes long, payload_digest string, declared_digest string, status string, payload binary"
+# Names of digests in a header.
+_DIGESTS = ("md5", "sha1", "sha224", "sha256", "sha384", "sha512")
+
+
+def _hex_digest(value: str, size: int) -> str | None:
+    """A digest of so many bytes written in base 16 or base 32, as lower-case hex."""
+    if re.fullmatch(f"[0-9a-fA-F]{{{2 * size}}}", value):
+        return value.lower()
+    bare = value.rstrip("=").upper()
+    if len(bare) == -(-8 * size // 5) and re.fullmatch("[A-Z2-7]*", bare):
+        return base64.b32decode(bare + "=" * (-len(bare) % 8)).hex()
+    return None
 
 
-def _parsed(head: dict, block: bytes) -> tuple:
+def _parsed(head: dict, block: bytes, sound: bool) -> tuple:
     kind = head.get("warc-type")
-    digest = head.get("warc-payload-digest", "").rpartition(":")[2]
-    digest = base64.b32decode(digest).hex() if re.fullmatch("[A-Z2-7]{32}", digest) else digest.lower()
+    declared = head.get("warc-payload-digest")
+    name, _, value = (declared or "").rpartition(":")
+    name = name.strip().lower().replace("-", "") or "sha1"
+    told = _hex_digest(value.strip(), hashlib.new(name).digest_size) if declared and name in _DIGESTS else None
     http, gap, payload = block.partition(b"\r\n\r\n")
     if not head.get("content-type", "").startswith("application/http") or not gap:
         http, payload = b"", block
     n = len(payload)
+    status = "ok" if declared is None or told else "unknown digest"
     if kind == "revisit":
-        m = re.search(rb"(?im)^content-length:\s*(\d+)", http)
-        n, payload = int(m[1]) if m else None, None
+        m = re.search(rb"(?im)^content-length:\s*([0-9]{1,18})\s*$", http)
+        n, payload, digest = int(m[1]) if m else None, None, told if name == "sha1" else None
     else:
-        found = hashlib.sha1(payload).hexdigest()
-        if digest and digest != found:
-            raise ValueError(f"payload of {head.get('warc-record-id')} has digest {found}, its header says {digest}")
-        digest = found
-    return kind, head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), n, digest, payload
+        digest = hashlib.sha1(payload).hexdigest()
+        if told and told != hashlib.new(name, payload).hexdigest():
+            status = "digest differs"
+    if not sound:
+        status = "malformed length"
+    return kind, head.get("warc-record-id"), head.get("warc-refers-to"), head.get("warc-target-uri"), n, digest, declared, status, payload
 
 
 def _reader(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+        schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("declared_digest", pa.string()), ("status", pa.string()), ("payload", pa.binary())])
         for batch in batches:
             for path, start, end in zip(*[batch[c].to_pylist() for c in ("path", "start", "end")], strict=True):
                 fs, name = pafs.FileSystem.from_uri(path)
@@ -181,8 +216,8 @@ def _reader(payloads: bool):
                     while 0 <= at < end - start:
                         member, n = _member(lambda offset, f=f: f.read_at(65536, offset), data, at, start + len(data))
                         if member is not None:
-                            for head, block in _records(member):
-                                kind, *rest, payload = _parsed(head, block)
+                            for head, block, sound in _records(member):
+                                kind, *rest, payload = _parsed(head, block, sound)
                                 held.append((path, start + at, n, kind, *rest, payload if payloads else None))
                                 weight += len(block) if payloads else 200
                             if weight > 8 << 20:
@@ -197,8 +232,14 @@ def _reader(payloads: bool):
 
 def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
     """The records of files (path, bytes). Bytes between members, and members
-    that are cut off or hold no WARC header, are passed over; a payload that
-    contradicts its digest raises."""
+    that are cut off or hold no WARC header, are passed over.
+
+    payload_digest is the SHA-1 of the payload, of a revisit that of its header
+    if it is one; declared_digest is the header's as it stands. status is ok,
+    unknown digest (one in a form that cannot be held against the payload),
+    digest differs, or malformed length (the record then has the rest of its
+    member); no record stops the job. A record of any length is read whole;
+    an empty table of files gives an empty result."""
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = files.select("path", "bytes", at.alias("start")).select("path", "start", F.least("bytes", F.col("start") + range_bytes).alias("end"))
     n = max(1, ranges.count())
