@@ -296,19 +296,19 @@ def learn(docs: DataFrame, learns: Column) -> Model:
     return Model(langs, *(t[c].to_numpy() for c in ("lang", "bucket", "n")))
 
 
-def identify(docs: DataFrame, learns: Column, switch: float = SWITCH, spans: bool = True) -> DataFrame:
-    """docs with language: its lang_pred, score (the share of its labelled
+def identify(docs: DataFrame, learns: Column, switch: float = SWITCH, spans: bool = True, name: str = "language") -> DataFrame:
+    """docs with a column of the given name: its lang_pred, score (the share of its labelled
     bytes in that language) and spans (code points, end exclusive).
 
     A text that is null, or without a letter, is `und` with score 0, and so is
     every text if no row has a lang to learn. A text whose scripts no learned
     language has gets the most frequent language with score 0. A text of any
     length is labelled whole. Repeated rows are labelled each; an empty table
-    gives an empty result; a column of docs named language is replaced.
+    gives an empty result; a column of docs of that name is replaced.
     """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, learns))
-    return docs.withColumn("language", _udf(sent, switch, spans)(F.coalesce("text", F.lit(""))))
+    return docs.withColumn(name, _udf(sent, switch, spans)(F.coalesce("text", F.lit(""))))
 
 
 def _udf(sent, switch: float, spans: bool):

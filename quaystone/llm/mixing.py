@@ -100,8 +100,11 @@ def in_order(drawn: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
-    """The mixture in its global order, with the columns of docs."""
-    return in_order(replicate(docs, weights, epochs)).drop("_rate", "_copies", "_copy", "_key")
+    """The mixture in its global order, with the columns of docs, whatever
+    their names; replicate states the other cases."""
+    whole = docs.select("doc_id", "source", "text", F.struct("*").alias("_doc"))
+    drawn = replicate(whole, weights, epochs).select("_doc", "_key", "doc_id", "_copy")
+    return in_order(drawn).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,14 +185,15 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     first; a text of any length is one record; repeated rows each get a slot
     and, where they are larger than a fine range, are split by a row number
     (docs are then written once, so that the number holds); an empty table
-    gives an empty result; columns of docs named shard or slot are replaced.
+    gives an empty result; columns of docs named shard or slot are replaced,
+    all others stay, whatever their names.
     """
-    docs = docs.drop("shard", "slot", "_h", "_d", "_size", "_n", "_r", "_p")
+    docs = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c not in ("shard", "slot")]).alias("_doc"))
     plan = plan_shards(written(keyed(docs).select("_h", "_d", "_size", "_n"), "keys"), n_shards)
     if plan.splits_rows():
         docs = written(docs.withColumn("_n", F.monotonically_increasing_id()), "numbered")
         plan = plan_shards(written(keyed(docs).select("_h", "_d", "_size", "_n"), "keys"), n_shards)
-    return assign(keyed(docs), plan)
+    return assign(keyed(docs).drop("doc_id", "text"), plan).select("_doc.*", "shard", "slot")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
