@@ -12,7 +12,11 @@ def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The output of stream once all its present input is processed. Files and
     checkpoint go to the shared folder of spark.checkpoint.dir."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quaystone-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a stream needs a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quaystone-stream-")
     at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
