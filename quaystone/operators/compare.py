@@ -25,23 +25,25 @@ def severity(status: Column) -> Column:
 def with_rows(pairs: DataFrame, si: str = "si", bl: str = "bl", labels: bool = False, out: str = "rows") -> DataFrame:
     """pairs with rows: field, raw and cleaned values of both sides, verdict.
 
-    Values are cleaned in one projection and judged in the next, in flat
+    Values are cleaned in a few projections and judged in the next, in flat
     columns: Catalyst keeps the projections apart, so each is computed once.
     """
-    clean, judge = {}, {}
+    stages: list[dict] = [{}, {}, {}, {}]
     for side, doc in (("a", F.col(si)), ("b", F.col(bl))):
-        for f in FIELDS:
-            raw = doc[f]
-            if f == "notify_party":  # may point at the document's own consignee; the raw text is kept
-                raw = fields.notify_as_meant(raw, doc["consignee"])
-            label = F.col("si_label" if side == "a" else "bl_label")[f] if labels else None
-            clean[f"_{side}_{f}"] = fields.clean(f, raw, label)
-    for f in FIELDS:
-        judge[f"_v_{f}"] = fields.verdict(f, F.col(f"_a_{f}"), F.col(f"_b_{f}"))
+        raw = {f: doc[f] for f in FIELDS}
+        # may point at the document's own consignee; the raw text is kept
+        raw["notify_party"] = fields.notify_as_meant(doc["notify_party"], doc["consignee"])
+        named = F.col("si_label" if side == "a" else "bl_label")
+        label = {f: named[f] for f in FIELDS} if labels else None
+        for all_columns, columns in zip(stages, fields.clean_in_stages(raw, label, f"_{side}_"), strict=True):
+            all_columns.update(columns)
+    stages.append({f"_v_{f}": fields.verdict(f, F.col(f"_a_{f}"), F.col(f"_b_{f}")) for f in FIELDS})
     row = lambda f: F.struct(
         F.lit(f).alias("field"), F.col(si)[f].alias("si_raw"), F.col(bl)[f].alias("bl_raw"), F.col(f"_a_{f}").alias("si_norm"), F.col(f"_b_{f}").alias("bl_norm"), F.col(f"_v_{f}").alias("verdict")
     )
-    return pairs.withColumns(clean).withColumns(judge).withColumn(out, F.array(*map(row, FIELDS))).drop(*clean, *judge)
+    for columns in stages:
+        pairs = pairs.withColumns(columns)
+    return pairs.withColumn(out, F.array(*map(row, FIELDS))).drop(*[c for columns in stages for c in columns])
 
 
 def _blanks(rows: Column) -> Column:

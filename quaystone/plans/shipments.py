@@ -7,9 +7,12 @@ so SQL can state the expected verdict without the rules.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quaystone.functions import fields
 from quaystone.functions.fields import FIELDS
 from quaystone.operators import compare, pairing
 from quaystone.session import table
@@ -107,14 +110,33 @@ EDITS = (
 
 def mutation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every SI against a copy of itself with each edit: breaking edits must be
-    found on exactly their field, harmless ones nowhere."""
+    found on exactly their field, harmless ones nowhere. An edit leaves the
+    other fields as they are, so the SI is cleaned once and each edit cleans
+    what it changes: its field, and the notify party that a new consignee may
+    be meant by."""
     booked = bookings(spark, sf_dir)
-    edits = F.array(*[F.struct(F.lit(n).alias("edit"), F.lit(f).alias("field"), F.lit(c).alias("change"), F.lit(b).alias("breaks")) for n, f, c, b in EDITS])
-    tried = booked.withColumn("e", F.explode(edits)).withColumn("bl", drafted(booked, F.col("e.change")))
-    rows = compare.with_rows(tried.select("e", "si", "bl"))
-    wrong = F.transform(F.filter("rows", lambda r: r["verdict"] != "match"), lambda r: r["field"])
-    hit = F.when(F.col("e.breaks"), wrong == F.array("e.field")).otherwise(F.size(wrong) == 0)
-    return rows.select("e.*", hit.alias("hit")).groupBy("field", "edit", "breaks").agg(F.count("*").alias("trials"), F.count_if("hit").alias("as_expected"))
+    si = {f: F.col("si")[f] for f in FIELDS}
+    tried = booked.withColumns({f"_bl{c}": drafted(booked, F.lit(c)) for _, _, c, _ in EDITS})
+    meant = lambda doc: fields.notify_as_meant(doc["notify_party"], doc["consignee"])
+    raw = {**si, "notify_party": meant(F.col("si"))}
+    for name, f, c, _ in EDITS:
+        bl = F.col(f"_bl{c}")
+        raw[f"{f}-{name}"] = meant(bl) if f == "notify_party" else bl[f]
+        if f == "consignee":
+            raw[f"notify_party-{name}"] = meant(bl)
+    for columns in fields.clean_in_stages(raw, prefix="_c_"):
+        tried = tried.withColumns(columns)
+    cleaned = lambda f, name="": F.col(f"`_c_{f}-{name}`" if f"{f}-{name}" in raw else f"_c_{f}")
+    agrees = lambda f, name="": fields.verdict(f, cleaned(f), cleaned(f, name)) == "match"
+    tried = tried.withColumns({f"_same_{f}": agrees(f) for f in FIELDS} | {f"_edit_{k}": agrees(k.partition("-")[0], k.partition("-")[2]) for k in raw if "-" in k})
+    found = {}
+    for name, f, _, breaks in EDITS:
+        others = [F.col(f"`_edit_{g}-{name}`") if f"{g}-{name}" in raw else F.col(f"_same_{g}") for g in FIELDS if g != f]
+        hit = F.col(f"`_edit_{f}-{name}`") != F.lit(breaks)
+        found[name] = F.count_if(reduce(lambda x, y: x & y, others, hit))
+    counted = tried.agg(F.count("*").alias("trials"), *[x.alias(name) for name, x in found.items()])
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(n).alias("edit"), F.lit(b).alias("breaks"), F.col("trials"), F.col(n).alias("as_expected")) for n, f, _, b in EDITS])
+    return counted.select(F.inline(rows))
 
 
 def revision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,15 +189,15 @@ def corrections_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dismissal of changes 8, a fix of the BL's weight for changes 11 (to
     the SI's), a confirmation of 10, an undone dismissal of 12."""
-    booked = bookings(spark, sf_dir).withColumn("change", F.col("o_orderkey") % 16)
-    one = lambda n, field, kind, side, corrected, at: booked.where(F.col("change") == n).select("o_orderkey", F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(side).alias("side"), corrected.alias("corrected"), F.lit(at).alias("at"))
-    none = F.lit(None).cast("string")
-    parts = [one(8, "consignee", "dismiss", None, none, 1), one(11, "gross_weight_kg", "fix", "BL", F.col("si.gross_weight_kg"), 1), one(10, "container_count", "confirm", None, none, 1)]
-    parts += [one(12, "port_of_discharge", "dismiss", None, none, 1), one(12, "port_of_discharge", "undo", None, none, 2)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    one = lambda field, kind, at=1, side=None, corrected=None: F.struct(F.lit(field).alias("field"), F.lit(kind).alias("kind"), F.lit(side).cast("string").alias("side"), (F.lit(None).cast("string") if corrected is None else corrected).alias("corrected"), F.lit(at).alias("at"))
+    change = F.col("o_orderkey") % 16
+    said = (
+        F.when(change == 8, F.array(one("consignee", "dismiss")))
+        .when(change == 10, F.array(one("container_count", "confirm")))
+        .when(change == 11, F.array(one("gross_weight_kg", "fix", 1, "BL", F.col("si.gross_weight_kg"))))
+        .when(change == 12, F.array(one("port_of_discharge", "dismiss"), one("port_of_discharge", "undo", 2)))
+    )
+    return bookings(spark, sf_dir).where(change.isin(8, 10, 11, 12)).select("o_orderkey", F.inline(said))
 
 
 def corrections_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
