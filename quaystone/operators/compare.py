@@ -122,12 +122,14 @@ def with_corrections(rows: DataFrame, corrections: DataFrame, key: str) -> DataF
     undo takes back what came before it."""
     last = corrections.groupBy(key, "field").agg(F.max_by(F.struct("kind", "side", "corrected"), "at").alias("c"))
     joined = rows.join(last, [key, "field"], "left")
-    cleaned = reduce(lambda out, f: F.when(F.col("field") == f, fields.clean(f, F.col("c.corrected"))).otherwise(out), FIELDS, F.lit(None).cast("string"))
-    si = F.when((F.col("c.kind") == "fix") & (F.col("c.side") == "SI"), cleaned).otherwise(F.col("si_norm"))
-    bl = F.when((F.col("c.kind") == "fix") & (F.col("c.side") == "BL"), cleaned).otherwise(F.col("bl_norm"))
-    again = reduce(lambda out, f: F.when(F.col("field") == f, fields.verdict(f, si, bl)).otherwise(out), FIELDS, F.lit("missing"))
-    verdict = F.when(F.col("c.kind") == "dismiss", "match").when(F.col("c.kind") == "fix", again).otherwise(F.col("verdict"))
-    return joined.withColumns({"verdict": verdict, "tag": F.when(F.col("c.kind") != "undo", F.col("c.kind"))}).drop("c")
+    fixes = F.col("c.kind") == "fix"
+    chain = lambda of, otherwise: reduce(lambda out, f: F.when(F.col("field") == f, of(f)).otherwise(out), FIELDS, otherwise)
+    joined = joined.withColumn("_fixed", F.when(fixes, chain(lambda f: fields.clean(f, F.col("c.corrected")), F.lit(None).cast("string"))))
+    value = lambda side, column: F.when(fixes & (F.col("c.side") == side), F.col("_fixed")).otherwise(F.col(column))
+    joined = joined.withColumns({"_si": value("SI", "si_norm"), "_bl": value("BL", "bl_norm")})
+    again = chain(lambda f: fields.verdict(f, F.col("_si"), F.col("_bl")), F.lit("missing"))
+    verdict = F.when(F.col("c.kind") == "dismiss", "match").when(fixes, again).otherwise(F.col("verdict"))
+    return joined.withColumns({"verdict": verdict, "tag": F.when(F.col("c.kind") != "undo", F.col("c.kind"))}).drop("c", "_fixed", "_si", "_bl")
 
 
 def contract_errors(compared: DataFrame) -> DataFrame:

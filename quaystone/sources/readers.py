@@ -10,12 +10,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaystone.functions import documents
-from quaystone.functions.fields import EDI_POUNDS_A_KG, FIELDS, let
+from quaystone.functions.fields import EDI_POUNDS_A_KG, FIELDS, let, stripped
 
 EMAIL_SCHEMA = "email_id string, `from` string, subject string, body string, attachments array<string>"
 PAIRS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("value", T.StringType())]))
@@ -54,30 +54,23 @@ def json_in_script(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.inline(rows))
 
 
+#: A label with its value, and the lines that continue it: under an empty value one line that is indented or has no
+#: colon, then all indented ones. Blank lines end it, as does any other line.
+_INDENTED = r"[ \t\x0B\f]+[^\s][^\n]*"
+_BLOCK = rf"(?m)^[^\n:]*:(?:[ \t]*[^\s][^\n]*|[ \t]*(?:\n(?:{_INDENTED}|[^\s:][^\n:]*(?=\n|\z)))?)(?:\n{_INDENTED})*"
+
+
 def txt_pairs(text: Column) -> Column:
     """Pairs of "label: value" lines, in order. An indented line, or a line
     without colon under an empty value, continues the last value; a blank line
-    ends it."""
-    state = F.struct(F.array().cast(f"array<{_PAIR}>").alias("pairs"), F.lit(False).alias("open"))
-
-    def step(a: Column, raw: Column) -> Column:
-        line = F.regexp_replace(raw, r"\s+$", "")
-        trimmed = F.trim(line)
-        colon = F.instr(line, ":")
-        last = F.try_element_at(a["pairs"], F.lit(-1))
-        goes_on = a["open"] & (raw.rlike(r"^\s") | ((last["value"] == "") & (colon == 0)))
-        longer = F.struct(last["label"].alias("label"), F.when(last["value"] == "", trimmed).otherwise(F.concat(last["value"], F.lit("\n"), trimmed)).alias("value"))
-        pair = F.struct(F.trim(F.substring_index(line, ":", 1)).alias("label"), F.trim(F.substring(line, colon + 1, F.length(line))).alias("value"))
-        pairs = (
-            F.when(trimmed == "", a["pairs"])
-            .when(goes_on, F.concat(F.slice(a["pairs"], 1, F.greatest(F.size(a["pairs"]) - 1, F.lit(0))), F.array(longer)))
-            .when(colon > 0, F.concat(a["pairs"], F.array(pair)))
-            .otherwise(a["pairs"])
-        )
-        is_open = F.when(trimmed == "", F.lit(False)).when(goes_on, F.lit(True)).otherwise(colon > 0)
-        return F.struct(pairs.cast(f"array<{_PAIR}>").alias("pairs"), is_open.alias("open"))
-
-    return F.aggregate(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), state, step, lambda a: a["pairs"])
+    ends it. One pass of one pattern, so linear in the lines."""
+    flat = F.regexp_replace(F.translate(text, "\r", ""), r"(?m)[ \t\x0B\f]+$", "")
+
+    def pair(block: Column) -> Column:
+        value = F.substring(block, F.instr(block, ":") + 1, F.length(block))
+        return F.struct(F.trim(F.substring_index(block, ":", 1)).alias("label"), F.regexp_replace(stripped(value), r"\s*\n\s*", "\n").alias("value"))
+
+    return F.transform(F.regexp_extract_all(flat, F.lit(_BLOCK), 0), pair)
 
 
 def txt_title(text: Column) -> Column:
@@ -86,19 +79,30 @@ def txt_title(text: Column) -> Column:
 
 def edi_segments(text: Column) -> Column:
     """An X12 interchange as an array of segments, each an array of elements.
-    The separator is the fourth character; the terminator the 106th if the
-    header is padded, else the first of tilde and line ends that occurs."""
-    body = F.array_join(F.filter(F.split(text, "\r?\n"), lambda x: ~F.ltrim(x).startswith("#")), "\n")
 
-    def cut(x: Column) -> Column:
-        sep = F.substring(x, 4, 1)
-        at = F.substring(x, 106, 1)
-        end = F.when(at.isin("~", "\n", "\r") | (~at.rlike(r"^[A-Za-z0-9 ]?$") & (at != sep)), at).when(x.contains("~"), "~").otherwise("\n")
-        parts = F.split(x, F.concat(F.lit("\\Q"), end, F.lit("\\E")))
-        parts = F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-        return F.transform(parts, lambda p: F.transform(F.split(p, F.concat(F.lit("\\Q"), sep, F.lit("\\E"))), lambda e: F.trim(e)))
+    The header tells its marks: the character after ISA parts elements, and
+    the 106th of a padded header ends segments. Of an unpadded one the first
+    tilde or line end does, and without a header an asterisk and a tilde. Line
+    ends inside segments are no part of them, and lines from a hash mark on are
+    comments.
+    """
+    lines = F.filter(F.split(F.translate(text, "\r", ""), "\n"), lambda x: ~F.ltrim(x).startswith("#"))
+
+    def marked(body: Column) -> Column:
+        head = F.regexp_extract(body, r"(?s)ISA.*", 0)
+        sep = F.when(F.length(head) > 3, F.substring(head, 4, 1)).otherwise("*")
+        fixed = F.substring(head, 106, 1)
+        told = (fixed != "") & ~fixed.rlike("[A-Za-z0-9]") & (fixed != sep)
+        first = F.regexp_extract(head, "[~\n]", 0)
+        return F.struct(body.alias("body"), sep.alias("sep"), F.when(told, fixed).when(first != "", first).otherwise("~").alias("end"))
 
-    return let(F.regexp_replace(body, r"^\s+", ""), cut)
+    def cut(m: Column) -> Column:
+        body = F.when(m["end"] == "\n", m["body"]).otherwise(F.translate(m["body"], "\n", ""))
+        quoted = lambda mark: F.concat(F.lit("\\Q"), mark, F.lit("\\E"))
+        parts = F.filter(F.transform(F.split(body, quoted(m["end"])), stripped), lambda p: p != "")
+        return F.transform(parts, lambda p: F.transform(F.split(p, quoted(m["sep"])), lambda e: F.trim(e)))
+
+    return let(let(F.array_join(lines, "\n"), marked), cut)
 
 
 def _element(segment: Column, i: int) -> Column:
@@ -120,9 +124,10 @@ def edi_fields(segments: Column) -> Column:
         return F.coalesce(*named)
 
     def port(kind: str) -> Column:
-        found = F.get(_with(of("R4"), 1, kind), F.lit(0))
-        code, name = _element(found, 3), _element(found, 4)
-        return text(F.when(name == "", code).when(code == "", name).otherwise(F.concat(name, F.lit(" ("), code, F.lit(")"))))
+        """The code is the port, so a segment without one is none."""
+        coded = F.get(F.filter(_with(of("R4"), 1, kind), lambda s: _element(s, 3) != ""), F.lit(0))
+        code, name = _element(coded, 3), _element(coded, 4)
+        return text(F.when(name == "", code).otherwise(F.concat(name, F.lit(" ("), code, F.lit(")"))))
 
     gross = F.filter(of("L0"), lambda s: _element(s, 5) == "G")
     kg = F.aggregate(gross, F.lit(0.0), lambda a, s: a + F.coalesce(_element(s, 4).try_cast("double"), F.lit(0.0)) / F.when(_element(s, 11) == "L", EDI_POUNDS_A_KG).otherwise(1.0))
@@ -161,6 +166,10 @@ def _plain(xml: str) -> str:
     return " | ".join(x for x in parts if x)
 
 
+#: Stands between the cells of one value; the marks that cut names are this and line ends.
+CELL_MARK = " | "
+
+
 def _from_cells(cells: list[str]) -> list[tuple[str, str]]:
     """One row of a table: its label and the rest; several pairs when the first
     cell is a known label and later ones are too."""
@@ -169,13 +178,13 @@ def _from_cells(cells: list[str]) -> list[tuple[str, str]]:
         return []
     marks = [i for i, c in enumerate(cells) if _known(c)]
     if not marks or marks[0]:
-        return [(cells[0], " ".join(cells[1:]))]
-    return [(cells[a].rstrip(":"), " ".join(cells[a + 1 : b])) for a, b in zip(marks, [*marks[1:], len(cells)], strict=True)]
+        return [(cells[0], CELL_MARK.join(cells[1:]))]
+    return [(cells[a].rstrip(":"), CELL_MARK.join(cells[a + 1 : b])) for a, b in zip(marks, [*marks[1:], len(cells)], strict=True)]
 
 
 def _known(label: str) -> bool:
-    x = re.sub(r"\s+", " ", re.sub(r"\([^)]*\)", " ", re.sub("[一-鿿■]", "", label))).strip().rstrip(":").lower()
-    return any(re.fullmatch(p, re.sub(r"^total ", "", x)) for p in documents.LABELS.values())
+    x = re.sub(r"\([^)]*\)", " ", re.sub("[一-鿿■]", "", label))
+    return " ".join(x.split()).rstrip(":").lower().removeprefix("total ") in documents.FIELD_OF_LABEL
 
 
 def _docx(content: bytes) -> tuple[str | None, list]:
@@ -210,6 +219,46 @@ def _xlsx(content: bytes) -> tuple[str | None, list]:
     return title, [pair for r in rows for pair in _from_cells(r)]
 
 
+#: A form read line by line holds at least so many of the seven fields.
+LEAST_FIELDS = 5
+#: What starts a table of containers, whose headings are no labels.
+TABLE_START = "CONTAINER NO."
+
+
+def form_pairs(lines: DataFrame) -> DataFrame:
+    """lines (doc, pos, line; stripped, none blank) of forms to (doc, pos,
+    label, value): "label: value", or a known label alone with its value on the
+    lines below, until the next label. In a table of containers nothing counts
+    but whole pairs, which also end it. pos is the label's line."""
+    known = lambda x: documents.canonical_field(x).isNotNull()
+    before, after = F.substring_index("line", ":", 1), F.trim(F.expr("substring(line, instr(line, ':') + 1)"))
+    bare = F.trim(F.regexp_replace("line", ":+$", ""))
+    is_pair = F.col("line").contains(":") & (after != "") & known(before)
+    kind = F.when(is_pair, "pair").when(F.upper("line").startswith(TABLE_START), "table").when(known(bare), "label").otherwise("text")
+    tagged = lines.withColumns({"kind": kind, "label": F.when(is_pair, F.trim(before)).otherwise(bare), "value": F.when(is_pair, after).otherwise(F.col("line"))})
+    so_far = Window.partitionBy("doc").orderBy("pos")
+    in_table = F.coalesce(F.last(F.when(F.col("kind") == "pair", False).when(F.col("kind") == "table", True), ignorenulls=True).over(so_far), F.lit(False))
+    tagged = tagged.withColumn("in_table", in_table)
+    starts = (F.col("kind") == "pair") | ((F.col("kind") == "label") & ~F.col("in_table"))
+    tagged = tagged.withColumn("starts", starts).withColumn("owner", F.last(F.when(F.col("starts"), F.col("pos")), ignorenulls=True).over(so_far))
+    held = tagged.where("starts or (kind = 'text' and not in_table and owner is not null)")
+    at_start = lambda c: F.max(F.when(F.col("starts"), F.col(c)))
+    under = F.array_sort(F.collect_list(F.when(~F.col("starts"), F.struct("pos", "line"))))
+    grouped = held.groupBy("doc", F.col("owner").alias("pos")).agg(at_start("kind").alias("kind"), at_start("label").alias("label"), at_start("value").alias("whole"), F.array_join(F.transform(under, lambda x: x["line"]), CELL_MARK).alias("below"))
+    return grouped.select("doc", "pos", "label", F.when(F.col("kind") == "pair", F.col("whole")).otherwise(F.col("below")).alias("value"))
+
+
+def read_forms(lines: DataFrame) -> DataFrame:
+    """doc, status, pairs of forms given by their lines: unreadable if fewer
+    than LEAST_FIELDS of the seven fields are named."""
+    found = form_pairs(lines).withColumn("field", documents.canonical_field(F.col("label")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "label", "value"))), lambda x: F.struct(x["label"].alias("label"), x["value"].alias("value")))
+    held = found.groupBy("doc").agg(F.count_distinct("field").alias("n"), ordered.alias("pairs"))
+    out = lines.select("doc").distinct().join(held, "doc", "left")
+    status = F.when(F.coalesce("n", F.lit(0)) >= LEAST_FIELDS, "ok").otherwise("unreadable")
+    return out.select("doc", status.alias("status"), F.coalesce("pairs", F.array().cast(PAIRS)).alias("pairs"))
+
+
 _READ = T.StructType([T.StructField("status", T.StringType()), T.StructField("title", T.StringType()), T.StructField("pairs", PAIRS)])
 
 
@@ -231,17 +280,20 @@ def read_documents(files: DataFrame) -> DataFrame:
     """files (path, format, content) with status, title, pairs. Text and EDI are
     read by built-in expressions, office files by a function of their bytes;
     PDF needs a library that is not here, so it counts as not attempted, like
-    unknown formats. Fewer than three pairs are unreadable, but kept."""
+    unknown formats. A file of a known format without content is missing. Fewer
+    than three pairs are unreadable, but kept."""
     text = as_text(F.col("content"))
     none = F.array().cast(PAIRS)
-    by_text = files.where("format = 'txt'").withColumns({"pairs": txt_pairs(text), "title": txt_title(text)})
-    edi = files.where("format = 'edi'").withColumn("_s", edi_segments(text)).withColumn("_f", edi_fields(F.col("_s")))
+    there = files.where("content is not null")
+    by_text = there.where("format = 'txt'").withColumns({"pairs": txt_pairs(text), "title": txt_title(text)})
+    edi = there.where("format = 'edi'").withColumn("_s", edi_segments(text)).withColumn("_f", edi_fields(F.col("_s")))
     named = F.array(*[F.struct(F.lit(f.replace("_", " ").replace("container count", "containers").replace("gross weight kg", "gross weight")).alias("label"), F.col("_f")[f].alias("value")) for f in FIELDS])
     edi = edi.withColumns({"pairs": F.filter(named, lambda p: p["value"].isNotNull()), "title": edi_title(F.col("_s"))})
     judged = [x.withColumn("status", F.when(F.size("pairs") >= LEAST_PAIRS, "ok").otherwise("unreadable")) for x in (by_text, edi)]
-    office = files.where("format in ('docx', 'xlsx')").withColumn("_r", office_document("format", "content"))
+    office = there.where("format in ('docx', 'xlsx')").withColumn("_r", office_document("format", "content"))
     office = office.withColumns({c: F.col(f"_r.{c}") for c in ("status", "title", "pairs")})
-    rest = files.where("format is null or format not in ('txt', 'edi', 'docx', 'xlsx')").withColumns({"status": F.lit("not_attempted"), "title": F.lit(None).cast("string"), "pairs": none})
+    readable = F.coalesce(F.col("format").isin("txt", "edi", "docx", "xlsx"), F.lit(False))
+    rest = files.where(~readable | F.col("content").isNull()).withColumns({"status": F.when(readable, "missing").otherwise("not_attempted"), "title": F.lit(None).cast("string"), "pairs": none})
     columns = ["path", "format", "status", "title", "pairs"]
     out = rest.select(columns)
     for x in (*judged, office):
