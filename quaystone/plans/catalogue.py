@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaystone.plans import reporting, shipments
+from quaystone.plans import inbox, reporting, shipments
 
-QUERIES = {**shipments.QUERIES, **reporting.QUERIES}
-ORACLES = {**shipments.ORACLES, **reporting.ORACLES}
+QUERIES = {**shipments.QUERIES, **reporting.QUERIES, **inbox.QUERIES}
+ORACLES = {**shipments.ORACLES, **reporting.ORACLES, **inbox.ORACLES}
