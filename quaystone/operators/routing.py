@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,8 +161,6 @@ def asked(rows: DataFrame, prompt: Column, model: Callable[[str], str | None], n
     """rows with what a model answers to prompt: any callable from text to text
     (a model, or a stub), made in the workers, a null prompt unasked. An
     exception is no answer. Ask only the rows that need it: filter first."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def ask(texts: pd.Series) -> pd.Series:
         def one(text):

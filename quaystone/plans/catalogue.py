@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaystone.plans import inbox, reporting, shipments
+from quaystone.plans import inbox, records, reporting, shipments
 
-QUERIES = {**shipments.QUERIES, **reporting.QUERIES, **inbox.QUERIES}
-ORACLES = {**shipments.ORACLES, **reporting.ORACLES, **inbox.ORACLES}
+QUERIES = {**shipments.QUERIES, **reporting.QUERIES, **inbox.QUERIES, **records.QUERIES}
+ORACLES = {**shipments.ORACLES, **reporting.ORACLES, **inbox.ORACLES, **records.ORACLES}

@@ -187,11 +187,12 @@ def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored chunks after two sources came again with new contents."""
-    d = retrieval.with_hash(table(spark, sf_dir, "documents").where("text is not null").select("source", F.col("text").alias("content"), "doc_id"))
-    stored = d.where("doc_id % 2 = 0").select("source", "content", "content_hash").dropDuplicates(["content_hash"])
-    fresh = d.where("source in ('src1', 'src2') and doc_id % 3 = 0").select("source", "content", "content_hash")
-    return retrieval.upsert(stored, fresh).select("source", "content_hash")
+    """Stored chunks after every source whose number is even came again: some
+    chunks as they were, some with new contents, some not at all."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("source", F.col("text").alias("content"), "doc_id")
+    stored = retrieval.with_hash(d).select("source", "content", "content_hash").dropDuplicates(["content_hash"])
+    again = d.where("source rlike '[02468]$' and doc_id % 3 <> 0").withColumn("content", F.when(F.col("doc_id") % 3 == 1, F.concat("content", F.lit(" anew"))).otherwise(F.col("content")))
+    return retrieval.upsert(stored, retrieval.with_hash(again).select("source", "content", "content_hash")).select("source", "content_hash")
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +232,7 @@ def limiter_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types of a user as titles, three a day."""
+    """Event types of a user as titles, one a week."""
     e = _events(spark, sf_dir).withColumn("title", F.concat_ws(":", "user_id", "event_type"))
     return state.replay(e.withColumn("address", F.col("event_id").cast("string")), "title", "ts", "address", "event_id", state.suppressor(1, 7 * 86400.0), ("passed", "held_back"), ("boolean", "long"))
 
@@ -310,9 +311,10 @@ SELECT page_id, md5(replace(replace(replace(replace(replace(replace(x, '&nbsp;',
 SELECT doc_id, md5(x) AS text_md5, len(regexp_extract_all(x, '<EMAIL_ADDRESS>'))::BIGINT AS n_emails, len(regexp_extract_all(x, '<PHONE_NUMBER>'))::BIGINT AS n_phones FROM t""",
     "pii_roundtrip": "SELECT doc_id, true AS same, false AS leaks FROM documents",
     "exact_dedupe": "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
-    "content_upsert": """WITH d AS (SELECT source, doc_id, sha256(coalesce(source, '') || chr(10) || text) AS content_hash FROM documents WHERE text IS NOT NULL),
-s AS (SELECT DISTINCT source, content_hash FROM d WHERE doc_id % 2 = 0), f AS (SELECT DISTINCT source, content_hash FROM d WHERE source IN ('src1', 'src2') AND doc_id % 3 = 0)
-SELECT source, content_hash FROM s WHERE source NOT IN (SELECT source FROM f) OR content_hash IN (SELECT content_hash FROM f) UNION SELECT source, content_hash FROM f""",
+    "content_upsert": """WITH d AS (SELECT source, doc_id, text FROM documents WHERE text IS NOT NULL),
+h AS (SELECT source, sha256(coalesce(source, '') || chr(10) || text) AS content_hash FROM d),
+f AS (SELECT DISTINCT source, sha256(coalesce(source, '') || chr(10) || text || CASE doc_id % 3 WHEN 1 THEN ' anew' ELSE '' END) AS content_hash FROM d WHERE regexp_matches(source, '[02468]$') AND doc_id % 3 <> 0)
+SELECT source, content_hash FROM h WHERE source IS NULL OR source NOT IN (SELECT source FROM f) UNION SELECT source, content_hash FROM f""",
     "cosine_topk": """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT query_id, vec_id, round(list_cosine_similarity(q.e, v.e), 9) AS s FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s WHERE s > 0.2)
 SELECT query_id, vec_id, rank, round(s, 5) AS similarity FROM r WHERE rank <= 3""",
@@ -327,6 +329,21 @@ m AS (SELECT event_id, max(i) FILTER (own AND fresh) AS mine, count(*) FILTER (f
 n AS (SELECT event_id, count(*) FILTER (NOT own AND i > mine) AS newer FROM l JOIN m USING (event_id) GROUP BY 1)
 SELECT event_id, user_id, mine IS NOT NULL AND newer < 2 AS hit, least(2, 1 + coalesce(others, 0)) AS held FROM e LEFT JOIN m USING (event_id) LEFT JOIN n USING (event_id)""",
     "give_up": "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'error') WHERE n = 2",
+    "limiter_exact": """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, user_id, i, true AS accepted, 0::BIGINT AS before, [t] AS times FROM e WHERE i = 1 UNION ALL
+  SELECT event_id, user_id, i, len(f) < 2, len(f), CASE WHEN len(f) < 2 THEN list_append(f, t) ELSE f END
+  FROM (SELECT e.*, list_filter(r.times, lambda x: e.t - x < 86400) AS f FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1))
+SELECT event_id, user_id, accepted, before FROM r""",
+    "circuit_breaker": """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type = 'error' AS failed, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT NULL::BIGINT AS event_id, user_id, 0::BIGINT AS i, true AS tried, 'closed' AS after, 0 AS failures, NULL::DOUBLE AS opened FROM e WHERE i = 1 UNION ALL
+  SELECT event_id, user_id, i, NOT cold, CASE WHEN cold OR opens THEN 'open' ELSE 'closed' END, CASE WHEN cold THEN n WHEN failed THEN n + 1 ELSE 0 END, CASE WHEN cold THEN o WHEN opens THEN t END
+  FROM (SELECT *, NOT cold AND failed AND (o IS NOT NULL OR n + 1 >= 2) AS opens FROM (SELECT e.*, r.failures AS n, r.opened AS o, r.opened IS NOT NULL AND e.t - r.opened < 3 * 86400 AS cold FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))
+SELECT event_id, user_id, tried, after FROM r WHERE i > 0""",
+    "report_suppression": """WITH RECURSIVE e AS (SELECT event_id, user_id || ':' || event_type AS title, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, title, i, true AS passed, 0::BIGINT AS held_back, t AS last, 0::BIGINT AS held FROM e WHERE i = 1 UNION ALL
+  SELECT event_id, title, i, ok, CASE WHEN ok THEN h ELSE 0 END, CASE WHEN ok THEN t ELSE l END, CASE WHEN ok THEN 0 ELSE h + 1 END
+  FROM (SELECT e.*, r.held AS h, r.last AS l, e.t - r.last >= 7 * 86400 AS ok FROM r JOIN e ON e.title = r.title AND e.i = r.i + 1))
+SELECT event_id, title, passed, held_back FROM r""",
     "dedup_stream": "SELECT event_id, user_id FROM events",
     "newest_reports": "WITH n AS (SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 200) SELECT event_id, user_id, c_name FROM n LEFT JOIN customer ON c_custkey = user_id",
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int | None = None) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; a file or a directory of part files."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder that every executor sees, below
+    spark.checkpoint.dir. Only a local session without the setting, as in
+    tests, gets a temporary one; a cluster must name a folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="quaystone-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from quaystone.session import shared_folder
+
 
 def to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """The output of stream once all its present input is processed. Files and
     checkpoint go to the shared folder of spark.checkpoint.dir."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: a stream needs a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quaystone-stream-")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = shared_folder(spark, "stream")
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def each_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], once: bool = True) -> None:
+    """Hands every micro-batch of stream, with its number, to handle: all that
+    is there now, or until stopped. A batch that is handed again after a
+    failure has the same number."""
+    at = shared_folder(stream.sparkSession, "stream")
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{at}/checkpoint")
+    (writer.trigger(availableNow=True) if once else writer).start().awaitTermination()
+
+
+def append_batches(stream: DataFrame, path: str, once: bool = True) -> None:
+    """Appends the rows of stream to the table at path, each batch in a folder
+    of its own number, so that one that is handed again replaces itself."""
+    each_batch(stream, lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/batch={n}"), once)

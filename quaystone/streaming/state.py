@@ -1,12 +1,13 @@
 """Stateful operators over time, as Structured Streaming.
 
 The state machines are plain functions of a key's state and one event, so the
-batch form (applyInPandas over a bounded key history) and the stream form
+batch form (a sorted pass that holds one state at a time) and the stream form
 (applyInPandasWithState) share them and tests can drive them with a clock.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,9 +35,10 @@ def limiter(limit: int, seconds: float) -> Machine:
 
 
 def breaker(failures: int, cooldown: float) -> Machine:
-    """closed, open after so many failures in a row, half_open once cooled
-    down; a failure then opens it again, a success closes it. Events (failed)
-    that meet an open breaker are not tried. Gives (tried, state after)."""
+    """closed, and open after so many failures in a row; once cooled down it
+    lets calls through again: a failure then opens it anew, a success closes
+    it. Events (failed) that meet an open breaker are not tried. Gives (tried,
+    open or closed after)."""
 
     def step(state: dict, at: float, failed=False) -> tuple:
         opened = state.get("opened")
@@ -57,11 +59,15 @@ def breaker(failures: int, cooldown: float) -> Machine:
 def suppressor(per_title: int, seconds: float) -> Machine:
     """Of one title: an address passes once in the window, and so many
     addresses in all; the next that passes carries the number held back.
-    Events (address). Gives (passed, held back)."""
+    Events (address, or a struct of address and own: one that is its own
+    report is not held to the number of addresses). Gives (passed, held
+    back)."""
 
     def step(state: dict, at: float, address=None) -> tuple:
+        own = isinstance(address, dict) and bool(address.get("own"))
+        address = address.get("address") if isinstance(address, dict) else address
         recent = [(t, a) for t, a in state.get("passed", []) if at - t < seconds]
-        passes = len(recent) < per_title and all(a != address for _, a in recent)
+        passes = (own or len(recent) < per_title) and all(a != address for _, a in recent)
         if not passes:
             state["passed"], state["held"] = recent, state.get("held", 0) + 1
             return False, 0
@@ -100,53 +106,67 @@ def store(seconds: float, most: int) -> Machine:
     return step
 
 
+def _schema(events: DataFrame, id_column: str, key: str, names: tuple[str, str], kinds: tuple[str, str]) -> str:
+    of = lambda c: f"`{c}` {events.schema[c].dataType.simpleString()}"
+    return f"{of(id_column)}, {of(key)}, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}"
+
+
+def _stepped(machine: Machine, state: dict, at: float, value, valued: bool) -> tuple:
+    return machine(state, at, value) if valued else machine(state, at)
+
+
 def replay(events: DataFrame, key: str, at: str, value: str | None, id_column: str, machine: Machine, names: tuple[str, str], kinds: tuple[str, str]) -> DataFrame:
-    """The machine over each key's events in order of time and id: key, id and
-    the machine's two results. Each key's history is one group; keys hold what
-    one caller or title can send."""
-    kind = events.schema[key].dataType.simpleString()
-    schema = f"{id_column} {events.schema[id_column].dataType.simpleString()}, {key} {kind}, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", id_column])
-        state: dict = {}
-        values = pdf["_value"] if value else [None] * len(pdf)
-        out = [machine(state, t, v) if value else machine(state, t) for t, v in zip(pdf["_at"], values, strict=True)]
-        return pd.DataFrame({id_column: pdf[id_column].to_numpy(), key: pdf[key].to_numpy(), names[0]: [x[0] for x in out], names[1]: [x[1] for x in out]})
+    """The machine over each key's events in order of time and id: id, key and
+    the machine's two results. Keys are dealt and sorted, and a task goes
+    through its rows batch by batch with the state of one key, so no history of
+    a key is held, however long it is."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = object(), {}
+        for pdf in batches:
+            values = pdf["_value"] if value else [None] * len(pdf)
+            out = []
+            for k, missing, t, v in zip(pdf[key], pdf[key].isna(), pdf["_at"], values, strict=True):
+                k = None if missing else k
+                if k != current:
+                    current, state = k, {}
+                out.append(_stepped(machine, state, t, v, bool(value)))
+            yield pd.DataFrame({id_column: pdf[id_column], key: pdf[key], names[0]: [x[0] for x in out], names[1]: [x[1] for x in out]})
 
     slim = events.select(id_column, key, seconds_of(F.col(at)).alias("_at"), *([F.col(value).alias("_value")] if value else []))
-    return slim.groupBy(key).applyInPandas(run, schema)
+    return slim.repartition(key).sortWithinPartitions(key, "_at", id_column).mapInPandas(run, _schema(events, id_column, key, names, kinds))
 
 
 def seconds_of(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp")) / 1e6
 
 
-def replay_stream(events: DataFrame, key: str, at: str, id_column: str, machine: Machine, idle: str = "24 hours", delay: str = "24 hours") -> DataFrame:
-    """The stream form of a machine with times as state and boolean first
-    result: key, id, passed. Events later than delay are dropped. A key whose
-    last event the watermark has passed by idle is forgotten; time is the
-    events' own, so a replay gives what the live stream gave."""
-    kind = events.schema[key].dataType.simpleString()
-    id_kind = events.schema[id_column].dataType.simpleString()
+def replay_stream(
+    events: DataFrame, key: str, at: str, value: str | None, id_column: str, machine: Machine, names: tuple[str, str], kinds: tuple[str, str], idle: str = "24 hours", delay: str = "24 hours",
+) -> DataFrame:
+    """The stream form of replay, for any of the machines: their state is kept
+    as JSON. Events later than delay are dropped. A key whose last event the
+    watermark has passed by idle is forgotten; time is the events' own, so a
+    replay gives what the live stream gave."""
     ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(group_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        times, last = state.get if state.exists else ([], 0.0)
-        held = {"times": list(times)}
+        held, last = state.get if state.exists else ("{}", 0.0)
+        held = json.loads(held)
         pdf = pd.concat(list(batches)).sort_values(["_at", id_column])
-        passed = [machine(held, t)[0] for t in pdf["_at"]]
+        values = pdf["_value"] if value else [None] * len(pdf)
+        out = [_stepped(machine, held, t, v, bool(value)) for t, v in zip(pdf["_at"], values, strict=True)]
         last = max(last, float(pdf["_at"].max()))
-        state.update((held["times"], last))
+        state.update((json.dumps(held), last))
         state.setTimeoutTimestamp(max(int(last * 1000) + ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({id_column: pdf[id_column].to_numpy(), key: group_key[0], "passed": passed})
+        yield pd.DataFrame({id_column: pdf[id_column].to_numpy(), key: group_key[0], names[0]: [x[0] for x in out], names[1]: [x[1] for x in out]})
 
-    stamped = events.select(id_column, key, F.col(at).cast("timestamp").alias("_ts")).withWatermark("_ts", delay)
-    slim = stamped.select(id_column, key, "_ts", seconds_of(F.col("_ts")).alias("_at"))
-    return slim.groupBy(key).applyInPandasWithState(run, f"{id_column} {id_kind}, {key} {kind}, passed boolean", "times array<double>, last double", "append", GroupStateTimeout.EventTimeTimeout)
+    wanted = [id_column, key, F.col(at).cast("timestamp").alias("_ts"), *([F.col(value).alias("_value")] if value else [])]
+    stamped = events.select(*wanted).withWatermark("_ts", delay).withColumn("_at", seconds_of(F.col("_ts")))
+    return stamped.groupBy(key).applyInPandasWithState(run, _schema(events, id_column, key, names, kinds), "held string, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def once(messages: DataFrame, id_column: str, at: str, delay: str = "14 days") -> DataFrame:

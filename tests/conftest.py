@@ -8,7 +8,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("QUAYSTONE_TEST_DATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
