@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -153,6 +152,7 @@ _KINDS = (
     ("EMAIL_ADDRESS", EMAIL, None), ("BANK_DETAILS", SWIFT, None), ("BANK_DETAILS", WIRE, None), ("BANK_DETAILS", ACCOUNT, None),
     ("BANK_DETAILS", IBAN, _iban_holds), ("BANK_DETAILS", CARD, _luhn_holds), ("PHONE_NUMBER", PHONE, None),
 )
+_COMPILED = [(kind, re.compile(p), holds) for kind, p, holds in _KINDS]
 _SPAN = T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.MapType(T.StringType(), T.StringType()))])
 
 
@@ -163,7 +163,7 @@ def _hidden(texts: list[str | None]) -> tuple[list[str | None], dict[str, str]]:
     by_value: dict[tuple[str, str], str] = {}
     out = []
     for text in texts:
-        found = [(m.start(), -m.end(), kind, m[0]) for kind, p, holds in _compiled() for m in p.finditer(text or "") if holds is None or holds(m[0])]
+        found = [(m.start(), -m.end(), kind, m[0]) for kind, p, holds in _COMPILED for m in p.finditer(text or "") if holds is None or holds(m[0])]
         spans, end = [], -1
         for start, minus, kind, value in sorted(found):
             if start >= end:
@@ -178,11 +178,6 @@ def _hidden(texts: list[str | None]) -> tuple[list[str | None], dict[str, str]]:
     return out, {token: value for (_, value), token in by_value.items()}
 
 
-@cache
-def _compiled() -> list:
-    return [(kind, re.compile(p), holds) for kind, p, holds in _KINDS]
-
-
 @F.pandas_udf(_SPAN)
 def anonymize(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Numbered tokens in place of personal data, and what each stands for.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaystone.functions import documents
+from quaystone.functions.documents import FIELD_OF_LABEL
 from quaystone.functions.fields import EDI_POUNDS_A_KG, FIELDS, let, stripped
 
 EMAIL_SCHEMA = "email_id string, `from` string, subject string, body string, attachments array<string>"
@@ -184,7 +185,7 @@ def _from_cells(cells: list[str]) -> list[tuple[str, str]]:
 
 def _known(label: str) -> bool:
     x = re.sub(r"\([^)]*\)", " ", re.sub("[一-鿿■]", "", label))
-    return " ".join(x.split()).rstrip(":").lower().removeprefix("total ") in documents.FIELD_OF_LABEL
+    return " ".join(x.split()).rstrip(":").lower().removeprefix("total ") in FIELD_OF_LABEL
 
 
 def _docx(content: bytes) -> tuple[str | None, list]:

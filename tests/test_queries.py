@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from quaystone.plans import catalogue
@@ -11,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def value(x):
-    return None if x is None or x != x else x if isinstance(x, str | bool) else round(float(x), 6) if hasattr(x, "__float__") else x
+    return None if pd.isna(x) else x if isinstance(x, str | bool) else round(float(x), 6) if hasattr(x, "__float__") else x
 
 
 def rows(pdf):
