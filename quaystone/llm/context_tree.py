@@ -9,11 +9,13 @@ begins after zero bytes. Where a context was never seen, the mix ends at the
 deepest one that was.
 
 Grams of DEPTH + 1 bytes of all texts are counted within tasks, then summed by
-Spark, those of training texts apart. Everything below two bytes of context is
-a tree of its own, so trees are weighted in parallel; only sums over one byte
-of context (at most 256 x 255 rows) reach the driver. Each tree gives the code
-length of every gram that any text has, so the model grows with the corpus and
-nothing is merged or left out.
+Spark, those of training texts apart. Everything below three bytes of context
+is a tree of its own, so trees are weighted in parallel and a frequent pair of
+bytes is many of them; the nodes of two bytes are a table, joined back to the
+trees that hang from them, and only sums over one byte of context (at most
+256 x 255 rows) reach the driver. Each tree gives the code length of every gram
+that any text has, so the model grows with the corpus and nothing is merged or
+left out.
 
 To score, grams with at least a 2**-GRAM_BITS share of all grams (so at most
 2**GRAM_BITS of them) are broadcast with their code lengths; the others are
@@ -37,7 +39,7 @@ from quaystone.llm import textscan
 from quaystone.llm.shared import bounded_batches, width, written
 from quaystone.session import table
 
-DEPTH = 5
+DEPTH = 6
 GRAM_BITS = 23
 HEAD_BITS = 22
 #: Distinct grams of a partition of trees, at most, where no tree is larger.
@@ -171,9 +173,9 @@ def _weighted(n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple
 
 
 def _trees(gram: np.ndarray, count: np.ndarray, depth: int) -> dict[int, tuple]:
-    """Depth -> (node, n0, n1, log weighted, own share), from 2 to depth."""
+    """Depth -> (node, n0, n1, log weighted, own share), from 3 to depth."""
     out, below = {}, None
-    for d in range(depth, 1, -1):
+    for d in range(depth, 2, -1):
         node, n0, n1 = _nodes(gram, count, d)
         log_w, share = _weighted(n0, n1, below)
         out[d] = (node, n0, n1, log_w, share)
@@ -186,22 +188,50 @@ def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return (n1 + 0.5) / (n0 + n1 + 1)
 
 
-def _held(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _held(batches: list[pa.RecordBatch], *names: str) -> list[np.ndarray]:
     t = pa.Table.from_batches(batches)
-    return t["kind"].to_numpy(), t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()
+    return [t[c].to_numpy().view(np.uint64) if c in ("key", "node") else t[c].to_numpy() for c in names]
 
 
-def _roots(depth: int):
-    """Nodes of one byte of context: counts and children's log weighted."""
+_SUMS = "node long, n0 double, n1 double, below double"
+
+
+def _upper(depth: int):
+    """Nodes of two bytes of context: counts and children's log weighted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
         if not batches:
             return
-        _, key, n = _held(batches)
-        node, n0, n1, log_w, _ = _trees(key, n, depth)[2]
+        node, n0, n1, log_w, _ = _trees(*_held(batches, "key", "n"), depth)[3]
+        up, which = np.unique(_parents(node, 3), return_inverse=True)
+        yield pa.record_batch([pa.array(up.view(np.int64)), *[pa.array(np.bincount(which.ravel(), x, len(up))) for x in (n0, n1, log_w)]], ["node", "n0", "n1", "below"])
+
+    return run
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From nodes of two bytes those of one, in the same form."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node, n0, n1, below = _held([batch], "node", "n0", "n1", "below")
         up, which = np.unique(_parents(node, 2), return_inverse=True)
-        yield pa.record_batch([pa.array(up.astype(np.int64)), *[pa.array(np.bincount(which.ravel(), x, len(up))) for x in (n0, n1, log_w)]], ["node", "n0", "n1", "below"])
+        yield pa.record_batch([pa.array(up.view(np.int64)), *[pa.array(np.bincount(which.ravel(), x, len(up))) for x in (n0, n1, _weighted(n0, n1, below)[0])]], ["node", "n0", "n1", "below"])
+
+
+def _settled(sent):
+    """Nodes of two bytes with known, mixed and left, as _top gives them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = sent.value
+        for batch in batches:
+            node, n0, n1, below = _held([batch], "node", "n0", "n1", "below")
+            at = np.searchsorted(top["known"][1][0], _parents(node, 2))
+            _, share = _weighted(n0, n1, below)
+            before, rest, kt = top["mixed"][at], top["left"][at], _kt(n0, n1)
+            columns = before + rest * kt, before + rest * share * kt, rest * (1 - share)
+            yield pa.record_batch([batch["node"], *map(pa.array, columns)], ["node", "known", "mixed", "left"])
 
     return run
 
@@ -244,25 +274,30 @@ def _code(gram: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]]) -> np.nd
 
 
 def _codes(depth: int, sent):
-    """(key, n, code) of all grams of some two bytes of context: how often all
-    texts have it, and log2 of its probability."""
+    """(key, n, code) of all grams of some three bytes of context: how often
+    all texts have it, and log2 of its probability. Rows of kind 1 are nodes of
+    two bytes that the trees hang from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
         if not batches:
             return
-        kind, key, n = _held(batches)
-        top, known = sent.value, list(sent.value["known"])
-        learnt = kind == 0
+        kind, key, n, *above = _held(batches, "kind", "key", "n", "known", "mixed", "left")
+        node, which = np.unique(key[kind == 1], return_index=True)
+        value, mixed, left = (x[kind == 1][which] for x in above)
+        known = [*sent.value["known"], (node, value)]
+        key, n, learnt = key[kind != 1], n[kind != 1], (kind == 0)[kind != 1]
         if learnt.any():
             trees = _trees(key[learnt], n[learnt], depth)
-            names, mixed, left = known[1][0], top["mixed"], top["left"]
-            for d in range(2, depth + 1):
+            names = node
+            for d in range(3, depth + 1):
                 node, n0, n1, _, share = trees[d]
                 at = np.searchsorted(names, _parents(node, d))
                 before, rest, kt = mixed[at], left[at], _kt(n0, n1)
                 known.append((node, before + rest * kt))
                 names, mixed, left = node, before + rest * share * kt, rest * (1 - share)
+        if not len(key):
+            return
         key, n = _summed([key], [n])
         for at in range(0, len(key), 1 << 18):
             b = slice(at, at + (1 << 18))
@@ -273,10 +308,21 @@ def _codes(depth: int, sent):
 
 def gram_codes(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, n, code) of all grams, from counted (kind, key, n), a written table."""
+    if depth < 3:
+        raise ValueError("trees are dealt by three bytes of context")
+    spark = counted.sparkSession
+    tree, pair = F.shiftright("key", 8).bitwiseAND(0xFFFFFF), F.shiftright("key", 8).bitwiseAND(0xFFFF)
     grams = counted.where("kind in (0, 3)")
-    grams = grams.repartition(width(counted.sparkSession, grams.count(), GRAMS_A_PART), F.shiftright("key", 8).bitwiseAND(0xFFFF))
-    one = grams.where("kind = 0").mapInArrow(_roots(depth), "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).orderBy("node").collect()
-    return written(grams.mapInArrow(_codes(depth, counted.sparkSession.sparkContext.broadcast(_top(one))), "key long, n long, code double"), "codes")
+    parts = width(spark, grams.count(), GRAMS_A_PART)
+    sums = lambda df: df.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
+    two = written(sums(grams.where("kind = 0").repartition(parts, tree).mapInArrow(_upper(depth), _SUMS)), "pairs")
+    top = spark.sparkContext.broadcast(_top(sums(two.mapInArrow(_roots, _SUMS)).orderBy("node").collect()))
+    settled = two.mapInArrow(_settled(top), "node long, known double, mixed double, left double")
+    trees = grams.select(tree.alias("tree"), pair.alias("pair")).distinct()
+    none = F.lit(None).cast("double")
+    hung = trees.join(settled.withColumn("pair", F.shiftright("node", 8)), "pair").select(F.lit(1).alias("kind"), F.col("node").alias("key"), F.lit(0).cast("long").alias("n"), "known", "mixed", "left", "tree")
+    rows = grams.select("kind", "key", "n", none.alias("known"), none.alias("mixed"), none.alias("left"), tree.alias("tree")).unionByName(hung).repartition(parts, "tree").drop("tree")
+    return written(rows.mapInArrow(_codes(depth, top), "key long, n long, code double"), "codes")
 
 
 class Frequent:

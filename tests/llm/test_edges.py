@@ -177,17 +177,17 @@ def brute_tree_score(train, text, depth):
     return total
 
 
-@pytest.mark.parametrize("gram_bits", [2, 23])
-def test_context_tree_is_brute_force(spark, monkeypatch, gram_bits):
+@pytest.mark.parametrize(("gram_bits", "depth"), [(2, 3), (23, 3), (23, 4), (2, 7)])
+def test_context_tree_is_brute_force(spark, monkeypatch, gram_bits, depth):
     """With few grams broadcast, most go through the join."""
     monkeypatch.setattr(context_tree, "GRAM_BITS", gram_bits)
     texts = ["the cat sat", "the cat ran off", "the hat", None, "", "the cot sat é", "zebra"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     held = {5, 6}
-    out = {r["doc_id"]: r for r in context_tree.score_texts(rows, F.col("doc_id").isin(*held), 3).collect()}
+    out = {r["doc_id"]: r for r in context_tree.score_texts(rows, F.col("doc_id").isin(*held), depth).collect()}
     train = [t for i, t in enumerate(texts) if i not in held]
     for i, t in enumerate(texts):
-        want = brute_tree_score(train, t, 3)
+        want = brute_tree_score(train, t, depth)
         assert out[i]["score"] == pytest.approx(want, rel=1e-5)
         assert out[i]["code_length"] == pytest.approx(-want / math.log10(2) / (len((t or "").encode()) + 1), rel=1e-5)
 

@@ -178,7 +178,7 @@ def test_base_score_is_add_one_unigrams(spark):
         for w in words if i not in held else ():
             count[w] = count.get(w, 0) + 1
     n, v = sum(count.values()), len(count)
-    for r in context_tree.score_texts(docs, F.col("doc_id").isin(*held), 2).collect():
+    for r in context_tree.score_texts(docs, F.col("doc_id").isin(*held), 3).collect():
         words = tokens[r["doc_id"]]
         assert r["base_score"] == pytest.approx(sum(math.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in words))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(w in count for w in words), n)
