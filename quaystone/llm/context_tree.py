@@ -9,11 +9,11 @@ begins after zero bytes. Where a context was never seen, the mix ends at the
 deepest one that was.
 
 Grams of DEPTH + 1 bytes of all texts are counted within tasks, then summed by
-Spark, those of training texts apart. Everything below three bytes of context
-is a tree of its own, so trees are weighted in parallel and a frequent pair of
-bytes is many of them; the nodes of two bytes are a table, joined back to the
-trees that hang from them, and only sums over one byte of context (at most
-256 x 255 rows) reach the driver. Each tree gives the code length of every gram
+Spark, those of training texts apart. Everything below two bytes of context is
+a tree, so trees are weighted in parallel; a tree of more than GRAMS_A_TREE
+grams is several, by the third byte. The nodes of two bytes are a table, joined
+back to the trees that hang from them, and only sums over one byte of context
+(at most 256 x 255 rows) reach the driver. Each tree gives the code length of every gram
 that any text has, so the model grows with the corpus and nothing is merged or
 left out.
 
@@ -39,11 +39,13 @@ from quaystone.llm import textscan
 from quaystone.llm.shared import bounded_batches, width, written
 from quaystone.session import table
 
-DEPTH = 6
+DEPTH = 5
 GRAM_BITS = 23
 HEAD_BITS = 22
 #: Distinct grams of a partition of trees, at most, where no tree is larger.
 GRAMS_A_PART = 2_000_000
+#: Distinct grams of a tree, beyond which it is dealt in parts (at most 256) by its third byte of context.
+GRAMS_A_TREE = 20_000
 #: Keys counted together before they are merged with a task's other counts.
 MERGE = 6_000_000
 #: The largest direct table of frequent grams in a worker (2**INDEX_BITS places of 16 bytes).
@@ -274,9 +276,9 @@ def _code(gram: np.ndarray, known: list[tuple[np.ndarray, np.ndarray]]) -> np.nd
 
 
 def _codes(depth: int, sent):
-    """(key, n, code) of all grams of some three bytes of context: how often
-    all texts have it, and log2 of its probability. Rows of kind 1 are nodes of
-    two bytes that the trees hang from."""
+    """(key, n, code) of all grams of some parts of trees: how often all texts
+    have it, and log2 of its probability. Rows of kind 1 are nodes of two bytes
+    that the parts hang from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -309,19 +311,24 @@ def _codes(depth: int, sent):
 def gram_codes(counted: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(key, n, code) of all grams, from counted (kind, key, n), a written table."""
     if depth < 3:
-        raise ValueError("trees are dealt by three bytes of context")
+        raise ValueError("large trees are dealt by a third byte of context")
     spark = counted.sparkSession
-    tree, pair = F.shiftright("key", 8).bitwiseAND(0xFFFFFF), F.shiftright("key", 8).bitwiseAND(0xFFFF)
-    grams = counted.where("kind in (0, 3)")
-    parts = width(spark, grams.count(), GRAMS_A_PART)
+    grams = counted.where("kind in (0, 3)").withColumn("pair", F.shiftright("key", 8).bitwiseAND(0xFFFF).cast("int"))
+    sizes = written(grams.groupBy("pair").agg(F.count("*").alias("size")).withColumn("trees", F.least(F.ceil(F.col("size") / GRAMS_A_TREE), F.lit(256)).cast("int")), "sizes")
+    parts = width(spark, sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], GRAMS_A_PART)
+    # at most 65,536 pairs
+    grams = grams.join(F.broadcast(sizes.select("pair", "trees")), "pair").withColumn("tree", F.pmod(F.xxhash64(F.shiftright("key", 24).bitwiseAND(0xFF)), F.col("trees")).cast("int"))
     sums = lambda df: df.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
-    two = written(sums(grams.where("kind = 0").repartition(parts, tree).mapInArrow(_upper(depth), _SUMS)), "pairs")
+    learnt = grams.where("kind = 0").repartition(parts, "pair", "tree").select("key", "n")
+    two = written(sums(learnt.mapInArrow(_upper(depth), _SUMS)), "pairs")
     top = spark.sparkContext.broadcast(_top(sums(two.mapInArrow(_roots, _SUMS)).orderBy("node").collect()))
     settled = two.mapInArrow(_settled(top), "node long, known double, mixed double, left double")
-    trees = grams.select(tree.alias("tree"), pair.alias("pair")).distinct()
     none = F.lit(None).cast("double")
-    hung = trees.join(settled.withColumn("pair", F.shiftright("node", 8)), "pair").select(F.lit(1).alias("kind"), F.col("node").alias("key"), F.lit(0).cast("long").alias("n"), "known", "mixed", "left", "tree")
-    rows = grams.select("kind", "key", "n", none.alias("known"), none.alias("mixed"), none.alias("left"), tree.alias("tree")).unionByName(hung).repartition(parts, "tree").drop("tree")
+    # the nodes of two bytes go to each part of their tree
+    hung = settled.withColumn("pair", F.shiftright("node", 8).cast("int")).join(F.broadcast(sizes.select("pair", "trees")), "pair")
+    hung = hung.select(F.lit(1).alias("kind"), F.col("node").alias("key"), F.lit(0).cast("long").alias("n"), "known", "mixed", "left", "pair", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)).alias("tree"))
+    rows = grams.select("kind", "key", "n", none.alias("known"), none.alias("mixed"), none.alias("left"), "pair", "tree").unionByName(hung)
+    rows = rows.repartition(parts, "pair", "tree").drop("pair", "tree")
     return written(rows.mapInArrow(_codes(depth, top), "key long, n long, code double"), "codes")
 
 

@@ -181,6 +181,7 @@ def brute_tree_score(train, text, depth):
 def test_context_tree_is_brute_force(spark, monkeypatch, gram_bits, depth):
     """With few grams broadcast, most go through the join."""
     monkeypatch.setattr(context_tree, "GRAM_BITS", gram_bits)
+    monkeypatch.setattr(context_tree, "GRAMS_A_TREE", 2 if depth % 2 else 1000)
     texts = ["the cat sat", "the cat ran off", "the hat", None, "", "the cot sat é", "zebra"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     held = {5, 6}
