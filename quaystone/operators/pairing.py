@@ -68,4 +68,4 @@ def close_requests(requests: DataFrame, answers: DataFrame) -> DataFrame:
 def chase_list(requests: DataFrame, answers: DataFrame, now) -> DataFrame:
     """Open requests by domain and reference, oldest first, with age in days."""
     held = close_requests(requests, answers).where("closed_at is null")
-    return held.groupBy("domain", F.coalesce("ref", F.lit("no reference")).alias("ref")).agg(F.count("*").alias("n_requests"), F.min("at").alias("first_at")).withColumn("age_days", F.datediff(F.to_date(F.lit(now)), F.to_date("first_at")).cast("long"))
+    return held.groupBy("domain", F.coalesce("ref", F.lit("no reference")).alias("ref")).agg(F.count("*").alias("n_requests"), F.min("at").alias("first_at")).withColumn("age_days", F.datediff(F.to_date(F.lit(now)), F.to_date("first_at")).cast("long")).orderBy("first_at", "domain", "ref")

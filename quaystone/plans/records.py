@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.functions import text
+from quaystone.functions import documents, strict, text
 from quaystone.operators import compare, contracts, extraction, ledger, routing
 from quaystone.plans import shipments
 from quaystone.session import table
@@ -120,7 +120,34 @@ def verdict_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.verdicts_differ(full, compare.compare_pairs(plain), "o_orderkey").select("o_orderkey", F.col("a.status").alias("first"), F.col("b.status").alias("second"))
 
 
-QUERIES = {f.__name__: f for f in (schema_errors, visible_reports, merged_marks, upserted_reviews, technical_reports, summaries, timed_test, body_rules, keyword_agreement, verdict_agreement)}
+def rule_sets_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of both rule sets on pairs that are compared field by field,
+    tallied by field."""
+    pairs = shipments.pairs(spark, sf_dir).where("bl is not null and bl_status = 'ok' and bl_title <> 'PACKING LIST'")
+    both = strict.with_verdicts(compare.with_rows(pairs.select("o_orderkey", "si", "bl")))
+    each = both.select(F.inline(F.arrays_zip(F.transform("rows", lambda r: r["field"]).alias("field"), F.transform("rows", lambda r: r["verdict"]).alias("judged"), F.col("strict"))))
+    return each.groupBy("field", "judged", "strict").agg(F.count("*").alias("n"))
+
+
+def evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said about each pair."""
+    return shipments.compared(spark, sf_dir).select("o_orderkey", "evidence")
+
+
+_ASKS = (
+    ("BL_COMPARISON", "it is still missing", False), ("BL_COMPARISON", "please send it", True), ("BL_COMPARISON", "see attached", False), ("SI_REQUEST", "here it is", False), ("INVOICE_QUERY", "detention again", False),
+    ("GENERAL", "this is an automated notification", False), ("GENERAL", "ETA is Monday", False), ("GENERAL", "two items pending", False), ("GENERAL", "Happy New Year", False), ("GENERAL", "hello", False), ("SPAM", "prize", False),
+)
+
+
+def all_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of every category with their intents."""
+    asks = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(b).alias("body"), F.lit(w).alias("awaiting")) for c, b, w in _ASKS])
+    o = table(spark, sf_dir, "orders").select(F.get(asks, (F.col("o_orderkey") % len(_ASKS)).cast("int")).alias("a")).select("a.*")
+    return o.withColumn("intent", F.coalesce(documents.email_intent(F.col("category"), F.col("body"), F.col("awaiting")), F.lit("none"))).groupBy("category", "intent").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (schema_errors, visible_reports, merged_marks, upserted_reviews, technical_reports, summaries, timed_test, body_rules, keyword_agreement, verdict_agreement, rule_sets_agree, evidence_lines, all_intents)}
 
 ORACLES = {
     "schema_errors": """WITH e AS (SELECT o_orderkey % 9 AS bad, CASE WHEN o_orderkey % 16 <= 7 THEN 'OK' WHEN o_orderkey % 16 <= 12 THEN 'MISMATCH' ELSE 'NEEDS_REVIEW' END AS st FROM orders),
@@ -152,4 +179,12 @@ SELECT count(*) AS checks, round(avg(s), 4) AS mean, median(s) AS median, min(s)
     "body_rules": """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'SPAM' ELSE list_extract(['BL_COMPARISON', 'INVOICE_QUERY', 'GENERAL', 'none'], o_orderkey % 4 + 1) END AS category,
 CASE WHEN o_orderkey % 7 = 0 THEN 'known spam domain prize-claims.info' ELSE list_extract(['says: check the draft BL against the SI', 'says: Query on invoice', 'says: daily berthing report', 'no rule'], o_orderkey % 4 + 1) END AS evidence, count(*) AS n FROM orders GROUP BY 1, 2""",
     "verdict_agreement": f"WITH {shipments._BOOKED} SELECT o_orderkey, 'OK' AS first, 'MISMATCH' AS second FROM booked WHERE c = 6",
+    "rule_sets_agree": f"""WITH {shipments._BOOKED}, f(i, field) AS (VALUES {shipments._FIELD_LIST}),
+v AS (SELECT field, CASE WHEN c = 13 AND field = 'gross_weight_kg' THEN 'missing' WHEN {shipments._WRONG} = field THEN 'mismatch' ELSE 'match' END AS v FROM booked, f WHERE c <= 13)
+SELECT field, v AS judged, v AS strict, count(*) AS n FROM v GROUP BY 1, 2""",
+    "evidence_lines": f"""WITH {shipments._BOOKED} SELECT o_orderkey, CASE WHEN c <= 7 THEN 'all seven fields agree' WHEN c <= 12 THEN '1 fields differ: ' || {shipments._WRONG}
+WHEN c = 13 THEN 'gross_weight_kg: SI says "TBA"' WHEN c = 14 THEN 'BL file is titled PACKING LIST' WHEN o_orderkey % 32 = 15 THEN 'BL is not attached' ELSE 'BL is unreadable' END AS evidence FROM booked""",
+    "all_intents": """WITH a AS (SELECT o_orderkey % 11 AS k FROM orders)
+SELECT list_extract(['BL_COMPARISON', 'BL_COMPARISON', 'BL_COMPARISON', 'SI_REQUEST', 'INVOICE_QUERY', 'GENERAL', 'GENERAL', 'GENERAL', 'GENERAL', 'GENERAL', 'SPAM'], k + 1) AS category,
+list_extract(['resend_documents', 'chase_draft_bl', 'check_draft_bl', 'submit_si', 'dd_charges', 'system_notice', 'schedule_update', 'outstanding_reminder', 'office_notice', 'none', 'none'], k + 1) AS intent, count(*) AS n FROM a GROUP BY 1, 2""",
 }

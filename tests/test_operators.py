@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import privacy, text
 from quaystone.functions.fields import FIELDS
-from quaystone.operators import contracts, extraction, ledger, messages, retrieval, routing
+from quaystone.operators import batch, contracts, extraction, ledger, messages, retrieval, routing
 from quaystone.sources import mime, readers
 
 
@@ -180,3 +180,14 @@ def test_nearest_vectors_and_their_ties(spark, k):
     got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in retrieval.match(vectors, queries, 0.5, k).collect())
     assert got == [(1, i + 1, i) for i in range(k)] + [(2, 1, 20)]
     assert retrieval.match(vectors, queries.limit(0), 0.5, k).count() == 0
+
+
+def test_batches_are_taken_up_again(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "id long, prompt string")
+    calls = {"odd": lambda x: x.upper() if int(x[1:]) % 2 else None, "all": str.upper}
+    at = f"file://{tmp_path}/answers"
+    outcome = [tuple(batch.run(rows, "id", "prompt", calls[k], at).first()) for k in ("odd", "all", "all")]
+    assert outcome == [(3, 0, 3), (3, 3, 0), (0, 6, 0)]
+    assert sorted(tuple(r) for r in batch.saved(spark, f"{at}/*", "id long, answer string").select("id", "answer").collect()) == [(i, f"T{i}") for i in range(6)]
+    assert [r["email_id"] for r in batch.newest(spark.createDataFrame([("a",), ("c",), ("b",)], "email_id string"), 2).collect()] == ["c", "b"]
+    assert [tuple(r) for r in batch.tally(spark.createDataFrame([("x",), ("y",), ("y",), ("w",)], "k string"), "k").collect()] == [("y", 2), ("w", 1), ("x", 1)]
