@@ -33,9 +33,8 @@ def clean(field: str, raw: Column) -> Column:
     return F.when(raw.isNotNull() & ~fields.is_placeholder(raw), out)
 
 
-def verdict(field: str, si: Column, bl: Column) -> Column:
-    """match, mismatch or missing, for two raw values."""
-    a, b = clean(field, si), clean(field, bl)
+def verdict(a: Column, b: Column) -> Column:
+    """match, mismatch or missing, for two cleaned values."""
     return F.when(a.isNull() | b.isNull(), "missing").when(a == b, "match").otherwise("mismatch")
 
 
@@ -43,4 +42,5 @@ def with_verdicts(pairs: DataFrame, out: str = "strict") -> DataFrame:
     """pairs (si, bl: structs of raw fields) with an array of the seven
     verdicts, in the fields' order."""
     meant = lambda doc, f: fields.notify_as_meant(doc[f], doc["consignee"]) if f == "notify_party" else doc[f]
-    return pairs.withColumn(out, F.array(*[verdict(f, meant(F.col("si"), f), meant(F.col("bl"), f)) for f in FIELDS]))
+    cleaned = {f"_{side}_{f}": clean(f, meant(F.col(side), f)) for side in ("si", "bl") for f in FIELDS}
+    return pairs.withColumns(cleaned).withColumn(out, F.array(*[verdict(F.col(f"_si_{f}"), F.col(f"_bl_{f}")) for f in FIELDS])).drop(*cleaned)

@@ -62,11 +62,11 @@ def compare_pairs(pairs: DataFrame, labels: bool = False) -> DataFrame:
     The first that holds decides: a document is absent, could not be read, is
     of another type; a field is missing; a field differs; all agree.
     """
-    judged = with_rows(pairs, labels=labels)
-    si_type, bl_type = documents.document_type(F.col("si_title")), documents.document_type(F.col("bl_title"))
+    types = {f"_{side}_type": documents.document_type(F.col(f"{side}_title")) for side in ("si", "bl")}
+    judged = with_rows(pairs, labels=labels).withColumns(types)
     absent = F.col("si").isNull() | F.col("bl").isNull()
     unread = (F.coalesce("si_status", F.lit("missing")) != "ok") | (F.coalesce("bl_status", F.lit("missing")) != "ok")
-    wrong = ~(F.coalesce(si_type, F.lit("")) == "SI") | ~(F.coalesce(bl_type, F.lit("")) == "BL")
+    wrong = ~(F.coalesce("_si_type", F.lit("")) == "SI") | ~(F.coalesce("_bl_type", F.lit("")) == "BL")
     blank = F.exists("rows", lambda r: r["verdict"] == "missing")
     differ = F.transform(F.filter("rows", lambda r: r["verdict"] == "mismatch"), lambda r: r["field"])
     reason = F.when(absent, "missing_attachment").when(unread, "unreadable").when(wrong, "wrong_doc_type").when(blank, "missing_value")
@@ -74,16 +74,16 @@ def compare_pairs(pairs: DataFrame, labels: bool = False) -> DataFrame:
     defects = F.when(F.col("review_reason").isNull(), differ).otherwise(F.array().cast("array<string>"))
     judged = judged.withColumn("defect_fields", defects)
     status = F.when(F.col("review_reason").isNotNull(), "NEEDS_REVIEW").when(F.size("defect_fields") > 0, "MISMATCH").otherwise("OK")
-    title = lambda c, want: F.when(F.coalesce(documents.document_type(F.col(c)), F.lit("")) != want, F.concat(F.lit(f"{want} file is titled "), F.coalesce(F.substring_index(c, "\n", 1), F.lit("nothing"))))
+    title = lambda c, want: F.when(F.coalesce(f"_{c}_type", F.lit("")) != want, F.concat(F.lit(f"{want} file is titled "), F.coalesce(F.substring_index(f"{c}_title", "\n", 1), F.lit("nothing"))))
     evidence = (
         F.when(F.col("review_reason") == "missing_attachment", F.concat(F.when(F.col("si").isNull(), "SI").otherwise("BL"), F.lit(" is not attached")))
         .when(F.col("review_reason") == "unreadable", F.when(F.coalesce("si_status", F.lit("missing")) != "ok", F.concat(F.lit("SI is "), F.col("si_status"))).otherwise(F.concat(F.lit("BL is "), F.col("bl_status"))))
-        .when(F.col("review_reason") == "wrong_doc_type", F.concat_ws("; ", title("si_title", "SI"), title("bl_title", "BL")))
+        .when(F.col("review_reason") == "wrong_doc_type", F.concat_ws("; ", title("si", "SI"), title("bl", "BL")))
         .when(F.col("review_reason") == "missing_value", _blanks(F.col("rows")))
         .when(F.size("defect_fields") > 0, F.concat(F.size("defect_fields").cast("string"), F.lit(" fields differ: "), F.array_join("defect_fields", ", ")))
         .otherwise("all seven fields agree")
     )
-    return judged.withColumns({"status": status, "evidence": evidence})
+    return judged.withColumns({"status": status, "evidence": evidence}).drop(*types)
 
 
 def long_rows(compared: DataFrame, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import documents, strict, text
 from quaystone.operators import compare, contracts, extraction, ledger, routing
-from quaystone.plans import shipments
+from quaystone.plans import reporting, shipments
 from quaystone.session import table
 
 
@@ -178,6 +178,7 @@ SELECT *, round(cleared / comparisons, 6) AS cleared_share, format('{:.1f}%', 10
 SELECT count(*) AS checks, round(avg(s), 4) AS mean, median(s) AS median, min(s) AS least, max(s) AS most, count(*) FILTER ("right") AS verdicts, count(*) FILTER ("right" AND named) AS exact FROM a""",
     "body_rules": """SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'SPAM' ELSE list_extract(['BL_COMPARISON', 'INVOICE_QUERY', 'GENERAL', 'none'], o_orderkey % 4 + 1) END AS category,
 CASE WHEN o_orderkey % 7 = 0 THEN 'known spam domain prize-claims.info' ELSE list_extract(['says: check the draft BL against the SI', 'says: Query on invoice', 'says: daily berthing report', 'no rule'], o_orderkey % 4 + 1) END AS evidence, count(*) AS n FROM orders GROUP BY 1, 2""",
+    "keyword_agreement": f"SELECT count(*) AS total, count(*) FILTER (WHERE {reporting._SQL_CATEGORY} = 'GENERAL') AS agree, count(*) FILTER (WHERE turn % 2 = 0) AS unsure FROM conversations",
     "verdict_agreement": f"WITH {shipments._BOOKED} SELECT o_orderkey, 'OK' AS first, 'MISMATCH' AS second FROM booked WHERE c = 6",
     "rule_sets_agree": f"""WITH {shipments._BOOKED}, f(i, field) AS (VALUES {shipments._FIELD_LIST}),
 v AS (SELECT field, CASE WHEN c = 13 AND field = 'gross_weight_kg' THEN 'missing' WHEN {shipments._WRONG} = field THEN 'mismatch' ELSE 'match' END AS v FROM booked, f WHERE c <= 13)
