@@ -76,7 +76,8 @@ def by_rule(docs: DataFrame) -> DataFrame:
     for f in FIELDS:
         whole = whole & F.coalesce(F.col("v")[f] != "", F.lit(False))
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(True).alias("present"), F.col("l")[f].alias("label_seen"), F.col("v")[f].alias("raw")) for f in FIELDS])
-    return found.where(whole).select("doc", F.inline(rows))
+    # a condition inside the generator, not a filter: pushed below the projection it would align every label again
+    return found.select("doc", F.inline(F.when(whole, rows)))
 
 
 def is_current(saved_status: Column, saved_type: Column, status: Column, title: Column) -> Column:

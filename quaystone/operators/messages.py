@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from quaystone.functions import documents, fields
 from quaystone.functions.fields import FIELDS
 from quaystone.operators import compare, pairing, routing
+from quaystone.session import stored
 from quaystone.sources import readers
 
 
 def read_fields(files: DataFrame) -> DataFrame:
     """path, status, title, v (the seven raw fields), l (their labels) of files
-    (path, content)."""
+    (path, content), each read once."""
     read = readers.read_documents(files.withColumn("format", documents.attachment_format(F.col("path"))))
-    return read.select("path", "status", "title", readers.fields_of(F.col("pairs")).alias("v"), readers.labels_of(F.col("pairs")).alias("l"))
+    read = read.select("path", "status", "title", readers.fields_of(F.col("pairs")).alias("v"), readers.labels_of(F.col("pairs")).alias("l"))
+    return stored(read, "read")
 
 
 def _paired(pairs: DataFrame, read: DataFrame) -> DataFrame:

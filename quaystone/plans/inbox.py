@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from quaystone.functions.fields import FIELDS
 from quaystone.operators import extraction, messages, routing
 from quaystone.plans import shipments
-from quaystone.session import table
+from quaystone.session import stored, table
 from quaystone.sources import readers
 
 _LABELS = dict(zip(FIELDS, ("Shipper", "Consignee", "Notify Party", "Port of Loading", "POD", "No. of Containers", "Gross Weight"), strict=True))
@@ -108,7 +108,7 @@ def inbox(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def process_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mail, files = inbox(spark, sf_dir)
+    mail, files = (stored(x, "inbox") for x in inbox(spark, sf_dir))
     found = messages.process_emails(mail, files)
     fixed = lambda label: F.array_join(F.transform(F.filter("revision", lambda x: x["label"] == label), lambda x: x["field"]), ",")
     return found.select(

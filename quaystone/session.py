@@ -44,3 +44,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quaystone-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to a shared folder and read back: for what is dear to make
+    and used more than once. Lineage ends there, so a lost executor costs
+    nothing that was written."""
+    at = shared_folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
