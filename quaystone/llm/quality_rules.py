@@ -96,7 +96,8 @@ def host_rates(measured: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """One row a row of docs: its measurements, base_failed and kept.
 
-    A null text counts as empty and fails; a null source is a host of its own;
+    A null text counts as empty and fails; a text of any length is measured
+    whole; a null source is a host of its own; a null doc_id is carried along;
     repeated rows are judged each; an empty table gives an empty result; other
     columns of docs are ignored.
     """

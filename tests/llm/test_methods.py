@@ -188,3 +188,13 @@ def test_languages_held_out(spark, data):
     rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang").join(language.query(spark, data), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
     assert len(rows) > 20 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
     assert all(r["n_spans"] == len(r["spans"].split(",")) for r in rows)
+
+
+def test_large_and_small_groups_of_equal_pages(spark, monkeypatch):
+    """With room to broadcast few groups, the small ones are joined otherwise."""
+    payloads = ["a" * 1000] * 5 + ["b" * 1000] * 2 + ["c" * 1000] * 2 + ["d" * 1000, "e", "e", None]
+    pages = spark.createDataFrame([(i, "u", x) for i, x in enumerate(payloads)], "page_id long, url string, html string")
+    want = [4, 4, 4, 4, None, 6, None, 8, None, None, None, None, None]
+    for rows in (3, 1, 1_000_000):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", rows)
+        assert [r["refers_to"] for r in warc.deduplicated(pages).orderBy("page_id").collect()] == want
