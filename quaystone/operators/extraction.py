@@ -71,7 +71,7 @@ def verbatim_only(extract: DataFrame) -> DataFrame:
 def by_rule(docs: DataFrame) -> DataFrame:
     """EXTRACT of docs (doc, status, pairs) that give all seven fields by their
     labels; documents that give fewer are left to others, whole."""
-    found = docs.where("status = 'ok'").select("doc", readers.fields_of(F.col("pairs")).alias("v"), readers.labels_of(F.col("pairs")).alias("l"))
+    found = docs.where("status = 'ok'").select("doc", readers.aligned(F.col("pairs")).alias("a")).select("doc", "a.v", "a.l")
     whole = F.lit(True)
     for f in FIELDS:
         whole = whole & F.coalesce(F.col("v")[f] != "", F.lit(False))

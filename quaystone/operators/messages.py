@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,36 +14,43 @@ from quaystone.session import stored
 from quaystone.sources import readers
 
 
-def read_fields(files: DataFrame) -> DataFrame:
+#: Files by path: rows (path, content), or what gives them for rows (path), such as folder.named.
+Files = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _opened(files: Files, paths: DataFrame) -> DataFrame:
+    """path, content of the files that paths name."""
+    named = paths.select("path").where("path is not null").distinct()
+    return files(named) if callable(files) else files.join(named, "path", "left_semi")
+
+
+def read_fields(files: DataFrame, formats: dict[str, readers.Reader] | None = None) -> DataFrame:
     """path, status, title, v (the seven raw fields), l (their labels) of files
     (path, content), each read once."""
-    read = readers.read_documents(files.withColumn("format", documents.attachment_format(F.col("path"))))
-    read = read.select("path", "status", "title", readers.fields_of(F.col("pairs")).alias("v"), readers.labels_of(F.col("pairs")).alias("l"))
+    read = readers.read_documents(files.select("path", documents.attachment_format(F.col("path")).alias("format"), "content"), formats)
+    read = read.select("path", "status", "title", readers.aligned(F.col("pairs")).alias("a")).select("path", "status", "title", "a.v", "a.l")
     return stored(read, "read")
 
 
 def _paired(pairs: DataFrame, read: DataFrame) -> DataFrame:
-    """pairs (si_path, bl_path) with what compare_pairs takes; a path without a
-    file is a document that is missing, no path is none at all."""
-    absent = F.struct(*[F.lit(None).cast("string").alias(f) for f in FIELDS])
+    """pairs (si_path, bl_path) with what compare_pairs takes. No path, and a
+    path without a file, are a document that is absent."""
+    nothing = F.struct(*[F.lit(None).cast("string").alias(f) for f in FIELDS])
     for side in ("si", "bl"):
-        doc = read.select(F.col("path").alias(f"{side}_path"), F.col("v").alias(f"_{side}"), F.col("l").alias(f"{side}_label"), F.col("status").alias(f"{side}_status"), F.col("title").alias(f"{side}_title"))
-        pairs = pairs.join(doc, f"{side}_path", "left")
-        given = F.col(f"{side}_path").isNotNull()
-        pairs = pairs.withColumns({
-            side: F.when(given, F.coalesce(f"_{side}", absent)),
-            f"{side}_label": F.coalesce(f"{side}_label", absent),
+        doc = read.where("status <> 'missing'").select(F.col("path").alias(f"{side}_path"), F.col("v").alias(side), F.col("l").alias(f"{side}_label"), F.col("status").alias(f"{side}_status"), F.col("title").alias(f"{side}_title"))
+        pairs = pairs.join(doc, f"{side}_path", "left").withColumns({
+            f"{side}_label": F.coalesce(f"{side}_label", nothing),
             f"{side}_status": F.coalesce(f"{side}_status", F.lit("missing")),
-        }).drop(f"_{side}")
+        })
     return pairs
 
 
-def compare_files(pairs: DataFrame, files: DataFrame) -> DataFrame:
+def compare_files(pairs: DataFrame, files: Files, formats: dict[str, readers.Reader] | None = None) -> DataFrame:
     """pairs (any columns, si_path, bl_path, either null) read and compared:
-    status, review_reason, defect_fields, evidence, rows beside them. files:
-    path, content, one row a path; only files that a pair names are read."""
-    named = pairs.select(F.explode(F.array("si_path", "bl_path")).alias("path")).where("path is not null").distinct()
-    read = read_fields(files.join(named, "path", "left_semi"))
+    status, review_reason, defect_fields, evidence, rows beside them. Only
+    files that a pair names are read, by formats (READERS, if none is given)."""
+    named = pairs.select(F.explode(F.array("si_path", "bl_path")).alias("path"))
+    read = read_fields(_opened(files, named), formats)
     return compare.compare_pairs(_paired(pairs, read), labels=True)
 
 
@@ -80,21 +89,22 @@ def pairs_of(files: DataFrame, titles: DataFrame) -> DataFrame:
 RESULT = ("email_id", "category", "decided_by", "confidence", "status", "review_reason", "defect_fields", "evidence", "si_path", "bl_path", "n_shipments", "revision")
 
 
-def process_emails(messages: DataFrame, files: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """Messages (email_id, from, subject, body, attachments) and files (path,
-    content) to one result a message, RESULT.
+def process_emails(messages: DataFrame, files: Files, answers: DataFrame | None = None, formats: dict[str, readers.Reader] | None = None) -> DataFrame:
+    """Messages (email_id, from, subject, body, attachments) and files to one
+    result a message, RESULT.
 
     A message is filed by its complete pair, a given answer (answers) or
     keywords; only comparisons are paired, read and compared. Of several
     shipments the earliest most severe result counts and the evidence lists
     all; of several drafts the latest counts and revision tells what became of
     each field since the one before. Other messages are OK as they are.
-    Null attachments are none; a message without an id is no message.
+    Null attachments are none; a message without an id is no message. formats:
+    how files are read, by suffix (READERS, if none is given).
     """
     filed = routing.classify(messages.where("email_id is not null").withColumn("attachments", F.coalesce("attachments", F.array().cast("array<string>"))), answers)
     routed = filed.where("category = 'BL_COMPARISON'")
     slots = attachments_of(routed)
-    read = read_fields(files.join(slots.select("path").distinct(), "path", "left_semi"))
+    read = read_fields(_opened(files, slots), formats)
     chosen = routed.select("email_id").join(pairs_of(slots, read.select("path", "title")), "email_id", "left").withColumns({"place": F.coalesce("place", F.lit(1)), "n": F.coalesce("n", F.lit(1))})
     # the pair itself and, where there is one, the pair of the draft before it, compared in one go
     sides = F.filter(F.array(F.struct(F.lit("now").alias("draft"), F.col("bl_path").alias("bl")), F.when(F.col("previous_bl").isNotNull(), F.struct(F.lit("before").alias("draft"), F.col("previous_bl").alias("bl")))), lambda x: x.isNotNull())

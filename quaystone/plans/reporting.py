@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quaystone.functions import documents, fields, privacy
 from quaystone.operators import pairing, retrieval
 from quaystone.sources import readers
+from quaystone.sources.edi import edi_document
 from quaystone.streaming import run, state
 from quaystone.session import table
 
@@ -76,8 +77,8 @@ def edi_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("# made from an order\nGS*SO~ST*304*1~N1*SF*S"), key, F.lit("~N1*CN*FIRST~N1*CN*C"), key, F.lit("~R4*L*UN*CNSZX*SHENZHEN~R4*D*UN*BEANR~N7**A~N7**B~L0*1***"), key,
         F.lit("*G******K~L0*2***100*N~L0*3***"), key, F.lit("*G******K~SE*1*1~"),
     )
-    read = o.select("o_orderkey", readers.edi_segments(F.concat(head, body)).alias("s"))
-    read = read.select("o_orderkey", readers.edi_fields(F.col("s")).alias("f"), readers.edi_title(F.col("s")).alias("title"))
+    read = o.select("o_orderkey", edi_document(F.concat(head, body)).alias("d"))
+    read = read.select("o_orderkey", readers.fields_of(F.col("d.pairs")).alias("f"), F.col("d.title").alias("title"))
     return read.select("o_orderkey", "title", "f.shipper", "f.consignee", F.col("f.port_of_loading").alias("pol"), F.col("f.port_of_discharge").alias("pod"), F.col("f.container_count").alias("boxes"), F.col("f.gross_weight_kg").alias("weight"))
 
 

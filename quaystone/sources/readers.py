@@ -7,7 +7,7 @@ import html
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 
 from quaystone.functions import documents
 from quaystone.functions.documents import FIELD_OF_LABEL
-from quaystone.functions.fields import EDI_POUNDS_A_KG, FIELDS, let, stripped
+from quaystone.functions.fields import FIELDS, let
+from quaystone.sources.edi import edi_document
+from quaystone.sources.lines import PAIRS, txt_pairs
 
 EMAIL_SCHEMA = "email_id string, `from` string, subject string, body string, attachments array<string>"
-PAIRS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("value", T.StringType())]))
-_PAIR = "struct<label:string,value:string>"
 #: A member of an office file may hold so many bytes, by its header and in fact.
 MEMBER_LIMIT = 8 << 20
 LEAST_PAIRS = 3
@@ -32,12 +32,6 @@ def emails(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("sender_domain", documents.sender_domain(F.col("from")))
 
 
-def attachments(spark: SparkSession, folder: str) -> DataFrame:
-    """path, format, content of every file below a folder."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return found.select("path", documents.attachment_format(F.col("path")).alias("format"), "content")
-
-
 def as_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
@@ -55,102 +49,10 @@ def json_in_script(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.inline(rows))
 
 
-#: A label with its value, and the lines that continue it: under an empty value one line that is indented or has no
-#: colon, then all indented ones. Blank lines end it, as does any other line.
-_INDENTED = r"[ \t\x0B\f]+[^\s][^\n]*"
-_BLOCK = rf"(?m)^[^\n:]*:(?:[ \t]*[^\s][^\n]*|[ \t]*(?:\n(?:{_INDENTED}|[^\s:][^\n:]*(?=\n|\z)))?)(?:\n{_INDENTED})*"
-
-
-def txt_pairs(text: Column) -> Column:
-    """Pairs of "label: value" lines, in order. An indented line, or a line
-    without colon under an empty value, continues the last value; a blank line
-    ends it. One pass of one pattern, so linear in the lines."""
-    flat = F.regexp_replace(F.translate(text, "\r", ""), r"(?m)[ \t\x0B\f]+$", "")
-
-    def pair(block: Column) -> Column:
-        value = F.substring(block, F.instr(block, ":") + 1, F.length(block))
-        return F.struct(F.trim(F.substring_index(block, ":", 1)).alias("label"), F.regexp_replace(stripped(value), r"\s*\n\s*", "\n").alias("value"))
-
-    return F.transform(F.regexp_extract_all(flat, F.lit(_BLOCK), 0), pair)
-
-
 def txt_title(text: Column) -> Column:
     return F.nullif(F.trim(F.substring_index(text, "\n", 1)), F.lit(""))
 
 
-def edi_segments(text: Column) -> Column:
-    """An X12 interchange as an array of segments, each an array of elements.
-
-    The header tells its marks: the character after ISA parts elements, and
-    the 106th of a padded header ends segments. Of an unpadded one the first
-    tilde or line end does, and without a header an asterisk and a tilde. Line
-    ends inside segments are no part of them, and lines from a hash mark on are
-    comments.
-    """
-    lines = F.filter(F.split(F.translate(text, "\r", ""), "\n"), lambda x: ~F.ltrim(x).startswith("#"))
-
-    def marked(body: Column) -> Column:
-        head = F.regexp_extract(body, r"(?s)ISA.*", 0)
-        sep = F.when(F.length(head) > 3, F.substring(head, 4, 1)).otherwise("*")
-        fixed = F.substring(head, 106, 1)
-        told = (fixed != "") & ~fixed.rlike("[A-Za-z0-9]") & (fixed != sep)
-        first = F.regexp_extract(head, "[~\n]", 0)
-        return F.struct(body.alias("body"), sep.alias("sep"), F.when(told, fixed).when(first != "", first).otherwise("~").alias("end"))
-
-    def cut(m: Column) -> Column:
-        body = F.when(m["end"] == "\n", m["body"]).otherwise(F.translate(m["body"], "\n", ""))
-        quoted = lambda mark: F.concat(F.lit("\\Q"), mark, F.lit("\\E"))
-        parts = F.filter(F.transform(F.split(body, quoted(m["end"])), stripped), lambda p: p != "")
-        return F.transform(parts, lambda p: F.transform(F.split(p, quoted(m["sep"])), lambda e: F.trim(e)))
-
-    return let(let(F.array_join(lines, "\n"), marked), cut)
-
-
-def _element(segment: Column, i: int) -> Column:
-    return F.coalesce(F.get(segment, F.lit(i)), F.lit(""))
-
-
-# N1 qualifiers of each party, the preferred first.
-EDI_PARTIES = {"shipper": ("SH", "SF"), "consignee": ("CN", "UC"), "notify_party": ("N1", "NP")}
-
-
-def edi_fields(segments: Column) -> Column:
-    """The seven raw fields of a 304, null where the message has none."""
-    of = lambda tag: F.filter(segments, lambda s: _element(s, 0) == tag)
-    last = lambda found: F.try_element_at(found, F.lit(-1))
-    text = lambda x: F.nullif(x, F.lit(""))
-
-    def party(codes: tuple[str, ...]) -> Column:
-        named = [text(_element(last(_with(of("N1"), 1, code)), 2)) for code in codes]
-        return F.coalesce(*named)
-
-    def port(kind: str) -> Column:
-        """The code is the port, so a segment without one is none."""
-        coded = F.get(F.filter(_with(of("R4"), 1, kind), lambda s: _element(s, 3) != ""), F.lit(0))
-        code, name = _element(coded, 3), _element(coded, 4)
-        return text(F.when(name == "", code).otherwise(F.concat(name, F.lit(" ("), code, F.lit(")"))))
-
-    gross = F.filter(of("L0"), lambda s: _element(s, 5) == "G")
-    kg = F.aggregate(gross, F.lit(0.0), lambda a, s: a + F.coalesce(_element(s, 4).try_cast("double"), F.lit(0.0)) / F.when(_element(s, 11) == "L", EDI_POUNDS_A_KG).otherwise(1.0))
-    boxes = F.size(of("N7"))
-    values = {
-        **{field: party(codes) for field, codes in EDI_PARTIES.items()},
-        "port_of_loading": port("L"),
-        "port_of_discharge": port("D"),
-        "container_count": F.when(boxes > 0, boxes.cast("string")),
-        "gross_weight_kg": F.when(kg > 0, F.concat(F.format_number(kg, 0), F.lit(" KG"))),
-    }
-    return F.struct(*[values[f].alias(f) for f in FIELDS])
-
-
-def _with(found: Column, i: int, code: str) -> Column:
-    return F.filter(found, lambda s: _element(s, i) == code)
-
-
-def edi_title(segments: Column) -> Column:
-    return F.when(F.exists(segments, lambda s: (_element(s, 0) == "ST") & (_element(s, 1) == "304")), "SHIPPING INSTRUCTION")
-
-
 def _member(archive: zipfile.ZipFile, name: str) -> str:
     if archive.getinfo(name).file_size > MEMBER_LIMIT:
         raise ValueError(f"{name} is too large")
@@ -260,60 +162,81 @@ def read_forms(lines: DataFrame) -> DataFrame:
     return out.select("doc", status.alias("status"), F.coalesce("pairs", F.array().cast(PAIRS)).alias("pairs"))
 
 
-_READ = T.StructType([T.StructField("status", T.StringType()), T.StructField("title", T.StringType()), T.StructField("pairs", PAIRS)])
+Parse = Callable[[bytes], tuple[str | None, list[tuple[str, str]]]]
+#: How a format is read: from the content (null for files of other formats) to a struct (title, pairs, error).
+Reader = Callable[[Column], Column]
+_READ = T.StructType([T.StructField("title", T.StringType()), T.StructField("pairs", PAIRS), T.StructField("error", T.StringType())])
+
 
+def by_bytes(parse: Parse) -> Reader:
+    """A reader from a function of a file's bytes to its title and pairs. What
+    the function raises is the file's error, not the job's."""
 
-@F.pandas_udf(_READ)
-def office_document(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """(format, content) of a docx or xlsx file: status, title, pairs."""
-    for formats, contents in batches:
+    @F.pandas_udf(_READ)
+    def read(contents: pd.Series) -> pd.DataFrame:
         out = []
-        for kind, content in zip(formats, contents, strict=True):
-            try:
-                title, pairs = (_docx if kind == "docx" else _xlsx)(content)
-                out.append({"status": "ok" if len(pairs) >= LEAST_PAIRS else "unreadable", "title": title, "pairs": [{"label": a, "value": b} for a, b in pairs]})
-            except Exception:  # noqa: BLE001  a broken file is a status, whatever broke
-                out.append({"status": "unreadable", "title": None, "pairs": []})
-        yield pd.DataFrame(out, columns=["status", "title", "pairs"])
-
-
-def read_documents(files: DataFrame) -> DataFrame:
-    """files (path, format, content) with status, title, pairs. Text and EDI are
-    read by built-in expressions, office files by a function of their bytes;
-    PDF needs a library that is not here, so it counts as not attempted, like
-    unknown formats. A file of a known format without content is missing. Fewer
-    than three pairs are unreadable, but kept."""
-    text = as_text(F.col("content"))
-    none = F.array().cast(PAIRS)
-    there = files.where("content is not null")
-    by_text = there.where("format = 'txt'").withColumns({"pairs": txt_pairs(text), "title": txt_title(text)})
-    edi = there.where("format = 'edi'").withColumn("_s", edi_segments(text)).withColumn("_f", edi_fields(F.col("_s")))
-    named = F.array(*[F.struct(F.lit(f.replace("_", " ").replace("container count", "containers").replace("gross weight kg", "gross weight")).alias("label"), F.col("_f")[f].alias("value")) for f in FIELDS])
-    edi = edi.withColumns({"pairs": F.filter(named, lambda p: p["value"].isNotNull()), "title": edi_title(F.col("_s"))})
-    judged = [x.withColumn("status", F.when(F.size("pairs") >= LEAST_PAIRS, "ok").otherwise("unreadable")) for x in (by_text, edi)]
-    office = there.where("format in ('docx', 'xlsx')").withColumn("_r", office_document("format", "content"))
-    office = office.withColumns({c: F.col(f"_r.{c}") for c in ("status", "title", "pairs")})
-    readable = F.coalesce(F.col("format").isin("txt", "edi", "docx", "xlsx"), F.lit(False))
-    rest = files.where(~readable | F.col("content").isNull()).withColumns({"status": F.when(readable, "missing").otherwise("not_attempted"), "title": F.lit(None).cast("string"), "pairs": none})
-    columns = ["path", "format", "status", "title", "pairs"]
-    out = rest.select(columns)
-    for x in (*judged, office):
-        out = out.unionByName(x.select(columns))
-    return out
+        for content in contents:
+            title, pairs, error = None, [], None
+            if content is not None:
+                try:
+                    title, found = parse(content)
+                    pairs = [{"label": label, "value": value} for label, value in found]
+                except Exception as e:  # noqa: BLE001  a broken file is a status, whatever broke
+                    error = f"{type(e).__name__}: {e}"
+            out.append((title, pairs, error))
+        return pd.DataFrame(out, columns=_READ.names)
+
+    return read
+
+
+def _by_lines(content: Column) -> Column:
+    text = as_text(content)
+    return F.struct(txt_title(text).alias("title"), txt_pairs(text).alias("pairs"), F.lit(None).cast("string").alias("error"))
+
+
+def _by_segments(content: Column) -> Column:
+    found = edi_document(as_text(content))
+    return F.struct(found["title"].alias("title"), found["pairs"].alias("pairs"), F.lit(None).cast("string").alias("error"))
+
+
+#: The formats that are read, by suffix. PDF needs a library that is not here; a caller may add it, or any other.
+READERS: dict[str, Reader] = {"txt": _by_lines, "edi": _by_segments, "docx": by_bytes(_docx), "xlsx": by_bytes(_xlsx)}
+
+
+def read_documents(files: DataFrame, formats: dict[str, Reader] | None = None) -> DataFrame:
+    """files (path, format, content) with status, title, pairs, error, read in
+    one pass. formats: READERS, or those with others beside them. A file of
+    another format is not attempted, one of a known format without content is
+    missing, and one that breaks its reader or gives fewer than three pairs is
+    unreadable, its pairs kept."""
+    formats = READERS if formats is None else formats
+    none = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in _READ])
+    found = F.lit(None).cast(_READ)
+    for name, read in formats.items():
+        here = F.col("format") == name
+        found = F.when(here, read(F.when(here, F.col("content")))).otherwise(found)
+    held = files.withColumn("_read", F.when(F.col("content").isNotNull(), found).otherwise(none))
+    title, pairs, error = (F.col(f"_read.{c}") for c in _READ.names)
+    readable = F.coalesce(F.col("format").isin(*formats), F.lit(False))
+    pairs = F.coalesce(pairs, F.array().cast(PAIRS))
+    status = (
+        F.when(~readable, "not_attempted").when(F.col("content").isNull(), "missing")
+        .when(error.isNotNull() | (F.size(pairs) < LEAST_PAIRS), "unreadable").otherwise("ok")
+    )
+    return held.select("path", "format", status.alias("status"), title.alias("title"), pairs.alias("pairs"), error.alias("error"))
+
+
+def aligned(pairs: Column) -> Column:
+    """Struct of v, the seven raw fields, and l, the labels that named them as
+    they were written: of several labels of a field the first counts. Each
+    label is cleaned once."""
+    tagged = F.transform(pairs, lambda p: F.struct(documents.canonical_field(p["label"]).alias("f"), p["value"].alias("v"), p["label"].alias("l")))
+    first = lambda t, f: F.get(F.filter(t, lambda x: x["f"] == f), F.lit(0))
+    one_each = lambda t: F.struct(*[first(t, f).alias(f) for f in FIELDS])
+    side = lambda firsts, c: F.struct(*[firsts[f][c].alias(f) for f in FIELDS]).alias(c)
+    return let(let(tagged, one_each), lambda firsts: F.struct(side(firsts, "v"), side(firsts, "l")))
 
 
 def fields_of(pairs: Column) -> Column:
-    """The seven raw fields from labelled pairs: of several labels of a field
-    the first counts."""
-    tagged = F.transform(pairs, lambda p: F.struct(documents.canonical_field(p["label"]).alias("f"), p["value"].alias("v")))
-    return let(tagged, lambda t: F.struct(*[F.get(F.filter(t, _is(f)), F.lit(0))["v"].alias(f) for f in FIELDS]))
-
-
-def labels_of(pairs: Column) -> Column:
-    """The labels that named the seven fields, as they were written."""
-    tagged = F.transform(pairs, lambda p: F.struct(documents.canonical_field(p["label"]).alias("f"), p["label"].alias("v")))
-    return let(tagged, lambda t: F.struct(*[F.get(F.filter(t, _is(f)), F.lit(0))["v"].alias(f) for f in FIELDS]))
-
-
-def _is(field: str):
-    return lambda x: x["f"] == field
+    """The seven raw fields from labelled pairs."""
+    return aligned(pairs)["v"]
