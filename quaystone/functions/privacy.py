@@ -1,8 +1,9 @@
 """Masking of personal data.
 
-Built-in expressions cover e-mail addresses, phones, card numbers, bank
-details; checksums (Luhn, IBAN mod 97) are aggregates over digits. Names are
-not recognised: that needs a language model, and none is here.
+Addresses, phones, card numbers and bank details are found by scans that take
+time linear to the text, a batch of texts at a time; checksums (Luhn, IBAN mod
+97) decide about numbers. Names are not recognised: that needs a language
+model, and none is here.
 """
 
 from __future__ import annotations
@@ -11,10 +12,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaystone.functions import scan
+
 # Domains of personal mail providers.
 PERSONAL_DOMAINS = """
 126.com 163.com aol.com gmail.com gmx.com googlemail.com hotmail.com icloud.com live.com mail.com me.com msn.com
@@ -32,8 +36,8 @@ NUMBER_WORDS = ("number", "num", "no")
 SWIFT_WORDS = ("swift", "bic")
 CODE_WORDS = ("code", "number", "no")
 WIRE_WORDS = ("remittance", "beneficiary acc", "beneficiary account", "beneficiary bank")
-#: What may stand between an announcement and its value.
-_MARK = "[:#-]"
+#: What stands between an announcement and its value: a mark, perhaps a mark, blanks alone. No two runs of blanks adjoin.
+_MARK, _PERHAPS_MARK, _BLANKS = r"\s*[:#-]\s*", r"\s*(?:[:#-]\s*)?", r"\s+"
 
 
 def _words(words: tuple[str, ...]) -> str:
@@ -44,19 +48,31 @@ def _words(words: tuple[str, ...]) -> str:
 def announced(words: tuple[str, ...], then: tuple[str, ...], mark: str, value: str) -> str:
     """A pattern: one of words, perhaps one of then, the mark, the value."""
     noun = rf"(?:\s*{_words(then)})?\.?" if then else ""
-    return rf"\b{_words(words)}\.?{noun}\s*{mark}\s*{value}"
+    return rf"\b{_words(words)}\.?{noun}{mark}{value}"
 
 
+#: What scan.email_spans finds, for engines that take time linear to the text for any pattern.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 CARD = r"\b[0-9](?:[ -]?[0-9]){12,18}\b"
-#: Phones of the North American form with a country code, and regional ones: a prefix, then a mobile or a land line.
-_GAP = "[ -]?"
-_MOBILE, _LAND_LINE = rf"1[0-9]{_GAP}[0-9]{{7,8}}", rf"[3-9]{_GAP}[0-9]{{6,8}}"
-PHONE = rf"\+1 \([0-9]{{3}}\) [0-9]{{3}}-[0-9]{{4}}|\b(?:0|60|\+60){_GAP}(?:{_LAND_LINE}|{_MOBILE})\b"
-ACCOUNT = announced(ACCOUNT_WORDS, NUMBER_WORDS, f"{_MARK}?", r"(?i:[0-9][0-9A-Z -]{5,25})\b")
+# What regional numbers begin with; by kind, the first digit of the area and how many follow it, and how
+# many digits a subscriber has.
+REGION_PREFIXES = ("0", "60", "+60")
+REGION_KINDS = {"mobile": ("1", 1, (7, 8)), "land line": ("3456789", 0, (6, 8))}
+
+
+def phone_pattern() -> str:
+    """North American numbers with their country code, and regional ones: a
+    prefix, an area, a subscriber, with a space or hyphen between them or not."""
+    gap, digit = "[ -]?", "[0-9]"
+    kinds = [f"[{first}]{digit * more}{gap}{digit}{{{least},{most}}}" for first, more, (least, most) in REGION_KINDS.values()]
+    return rf"\+1 \([0-9]{{3}}\) [0-9]{{3}}-[0-9]{{4}}|\b(?:{'|'.join(map(re.escape, REGION_PREFIXES))}){gap}(?:{'|'.join(kinds)})\b"
+
+
+PHONE = phone_pattern()
+ACCOUNT = announced(ACCOUNT_WORDS, NUMBER_WORDS, _PERHAPS_MARK, r"(?i:[0-9][0-9A-Z -]{5,25})\b")
 _BANK_CODE = "[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?"
 #: After a mark a bank code may be in either case; without one it is in capitals, as words may follow "swift".
-SWIFT = announced(SWIFT_WORDS, CODE_WORDS, _MARK, rf"(?i:{_BANK_CODE})\b") + "|" + announced(SWIFT_WORDS, CODE_WORDS, r"\s", rf"{_BANK_CODE}\b")
+SWIFT = announced(SWIFT_WORDS, CODE_WORDS, _MARK, rf"(?i:{_BANK_CODE})\b") + "|" + announced(SWIFT_WORDS, CODE_WORDS, _BLANKS, rf"{_BANK_CODE}\b")
 WIRE = announced(WIRE_WORDS, (), _MARK, r"[^\n\r,;]{4,40}")
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 
@@ -79,47 +95,70 @@ def iban_valid(code: Column) -> Column:
     return (F.length(x) >= 15) & (rest == 1)
 
 
-def _with(x: Column, f) -> Column:
-    """f(x), with x computed once however often f uses it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.A)
+
+
+_BANK = [_compiled(p) for p in (SWIFT, WIRE, ACCOUNT)]
+_IBAN, _CARD, _PHONE = _compiled(IBAN), _compiled(CARD), _compiled(PHONE)
+
+
+def _luhn_holds(number: str) -> bool:
+    digits = [int(c) for c in reversed(number) if c.isdigit()]
+    return len(digits) >= 13 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
+def _iban_holds(code: str) -> bool:
+    x = code.replace(" ", "").upper()
+    return len(x) >= 15 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def without_contacts(text: str) -> str:
+    return _PHONE.sub("<PHONE_NUMBER>", scan.replaced(text, scan.email_spans(text), "<EMAIL_ADDRESS>"))
+
 
+def without_bank_details(text: str) -> str:
+    """Announced details first, then numbers that pass their checksum; a longer
+    number that holds the same characters stays."""
+    for pattern in _BANK:
+        text = pattern.sub("<BANK_DETAILS>", text)
+    text = scan.replaced_if(text, _IBAN, _iban_holds, "<BANK_DETAILS>")
+    return scan.replaced_if(text, _CARD, _luhn_holds, "<BANK_DETAILS>")
 
-def replace_valid(x: Column, pattern: str, valid, token: str) -> Column:
-    """x with the matches of pattern that pass valid replaced by token, each
-    where it stands: a longer match that holds the same characters stays."""
 
-    def replaced(y: Column) -> Column:
-        gaps, found = F.split(y, pattern, -1), F.regexp_extract_all(y, F.lit(pattern), 0)
-        joined = F.zip_with(gaps, found, lambda g, m: F.concat(g, F.when(m.isNull(), "").when(valid(m), token).otherwise(m)))
-        return F.when(F.size(found) == 0, y).otherwise(F.array_join(joined, ""))
+def is_protected_line(line: str) -> bool:
+    label, colon, _ = line[:40].partition(":")
+    return bool(colon) and label.removesuffix(" ").lower() in PROTECTED
 
-    return _with(x, replaced)
 
+def without_personal_data(text: str) -> str:
+    """Line by line: one that begins with a protected label loses bank details
+    only."""
+    lines = map(without_bank_details, text.split("\n"))
+    return "\n".join(line if is_protected_line(line) else without_contacts(line) for line in lines)
 
-def mask_bank(x: Column) -> Column:
-    for pattern in (SWIFT, WIRE, ACCOUNT):
-        x = F.regexp_replace(x, pattern, "<BANK_DETAILS>")
-    x = replace_valid(x, IBAN, iban_valid, "<BANK_DETAILS>")
-    return replace_valid(x, CARD, luhn, "<BANK_DETAILS>")
 
+def _each(mask, texts: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else mask(x) for x in texts.to_pylist()], pa.string())
 
-def mask_contacts(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(x, EMAIL, "<EMAIL_ADDRESS>"), PHONE, "<PHONE_NUMBER>")
 
+@F.arrow_udf(T.StringType())
+def mask_contacts(texts: pa.Array) -> pa.Array:
+    """Texts with addresses and phones masked."""
+    return _each(without_contacts, texts)
 
-def is_protected_line(line: Column) -> Column:
-    found = F.lit(False)
-    low = F.lower(line)
-    for label in PROTECTED:
-        found = found | low.startswith(f"{label}:") | low.startswith(f"{label} :")
-    return found
 
+@F.arrow_udf(T.StringType())
+def mask_bank(texts: pa.Array) -> pa.Array:
+    """Texts with bank details masked."""
+    return _each(without_bank_details, texts)
 
-def mask_text(x: Column) -> Column:
-    """x with personal data masked; a line that begins with a protected label
-    loses bank details only."""
-    masked = F.transform(F.split(x, "\n"), lambda line: _with(mask_bank(line), lambda y: F.when(is_protected_line(y), y).otherwise(mask_contacts(y))))
-    return F.array_join(masked, "\n")
+
+@F.arrow_udf(T.StringType())
+def mask_text(texts: pa.Array) -> pa.Array:
+    """Texts with personal data masked; a line that begins with a protected
+    label loses bank details only."""
+    return _each(without_personal_data, texts)
 
 
 def is_personal(address: Column) -> Column:
@@ -131,28 +170,38 @@ def mask_sender(address: Column) -> Column:
     return F.when(is_personal(address), "<PERSONAL_EMAIL>").when(address.contains("@"), F.concat(F.lit("user@"), F.substring_index(address, "@", -1))).otherwise(address)
 
 
-def mask_pairs(pairs: Column) -> Column:
+_PAIRS = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("value", T.StringType())]))
+
+
+@F.arrow_udf(_PAIRS)
+def mask_pairs(lists: pa.Array) -> pa.Array:
     """Pairs (label, value) with the values of unprotected labels masked."""
-    starts = lambda label: F.exists(F.array(*map(F.lit, PROTECTED)), lambda p: F.startswith(F.lower(F.trim(label)), p))
-    return F.transform(pairs, lambda p: F.struct(p["label"].alias("label"), F.when(starts(p["label"]), p["value"]).otherwise(mask_text(p["value"])).alias("value")))
 
+    def masked(pair: dict) -> dict:
+        label, value = pair["label"], pair["value"]
+        if value is None or (label or "").strip().lower().startswith(tuple(PROTECTED)):
+            return pair
+        return {"label": label, "value": without_personal_data(value)}
 
-def _luhn_holds(number: str) -> bool:
-    digits = [int(c) for c in reversed(number) if c.isdigit()]
-    return len(digits) >= 13 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+    found = [None if x is None else [p and masked(p) for p in x] for x in lists.to_pylist()]
+    return pa.array(found, pa.list_(pa.struct([("label", pa.string()), ("value", pa.string())])))
 
 
-def _iban_holds(code: str) -> bool:
-    x = code.replace(" ", "").upper()
-    return len(x) >= 15 and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+def _finds(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of what is personal, whatever overlaps."""
+    for start, end in scan.email_spans(text):
+        yield start, end, "EMAIL_ADDRESS"
+    for pattern in _BANK:
+        for m in pattern.finditer(text):
+            yield *m.span(), "BANK_DETAILS"
+    for pattern, holds in ((_IBAN, _iban_holds), (_CARD, _luhn_holds)):
+        for m in pattern.finditer(text):
+            if holds(m[0]):
+                yield *m.span(), "BANK_DETAILS"
+    for m in _PHONE.finditer(text):
+        yield *m.span(), "PHONE_NUMBER"
 
 
-#: (kind, pattern, what a find must pass) in the order of preference at one place.
-_KINDS = (
-    ("EMAIL_ADDRESS", EMAIL, None), ("BANK_DETAILS", SWIFT, None), ("BANK_DETAILS", WIRE, None), ("BANK_DETAILS", ACCOUNT, None),
-    ("BANK_DETAILS", IBAN, _iban_holds), ("BANK_DETAILS", CARD, _luhn_holds), ("PHONE_NUMBER", PHONE, None),
-)
-_COMPILED = [(kind, re.compile(p), holds) for kind, p, holds in _KINDS]
 _SPAN = T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.MapType(T.StringType(), T.StringType()))])
 
 
@@ -163,18 +212,19 @@ def _hidden(texts: list[str | None]) -> tuple[list[str | None], dict[str, str]]:
     by_value: dict[tuple[str, str], str] = {}
     out = []
     for text in texts:
-        found = [(m.start(), -m.end(), kind, m[0]) for kind, p, holds in _COMPILED for m in p.finditer(text or "") if holds is None or holds(m[0])]
         spans, end = [], -1
-        for start, minus, kind, value in sorted(found):
+        for start, minus, kind in sorted((start, -end, kind) for start, end, kind in _finds(text or "")):
             if start >= end:
-                spans.append((start, -minus, kind, value))
+                spans.append((start, -minus, kind, text[start:-minus]))
                 end = -minus
+        parts, done = [], len(text or "")
         for start, stop, kind, value in reversed(spans):
             if (kind, value) not in by_value:
                 number[kind] = number.get(kind, 0) + 1
                 by_value[kind, value] = f"<{kind}_{number[kind]}>"
-            text = text[:start] + by_value[kind, value] + text[stop:]
-        out.append(text)
+            parts += (text[stop:done], by_value[kind, value])
+            done = start
+        out.append(text if text is None else "".join(reversed([*parts, text[:done]])))
     return out, {token: value for (_, value), token in by_value.items()}
 
 
@@ -203,8 +253,14 @@ def anonymize_many(lists: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["texts", "tokens"])
 
 
-def deanonymize(text: Column, tokens: Column) -> Column:
-    """The text with its tokens put back. Tokens end in a bracket, so none is
-    the beginning of another."""
-    entries = F.map_entries(tokens)
-    return F.aggregate(entries, text, lambda a, e: F.replace(a, e["key"], e["value"]))
+_TOKEN = re.compile("<[A-Z_]+_[0-9]+>")
+
+
+@F.arrow_udf(T.StringType())
+def deanonymize(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+    """The texts with their tokens put back, in one pass."""
+    out = []
+    for text, held in zip(texts.to_pylist(), tokens.to_pylist(), strict=True):
+        known = dict(held or ())
+        out.append(None if text is None else _TOKEN.sub(lambda m, known=known: known.get(m[0], m[0]), text))
+    return pa.array(out, pa.string())

@@ -20,8 +20,10 @@ TIER_WORDS = {1.0: ("high", "very high"), 0.85: ("medium", "med"), 0.65: ("moder
 TIER_FROM = {1.0: 0.9, 0.85: 0.75, 0.65: 0.6}
 UNKNOWN_TIER = 0.85
 # Words that ask for credentials, and that mark automatic replies.
-CREDENTIALS = ("password", "passcode", "log ?in", "sign ?in", "verify your (?:e-?mail|account|identity)")
-AUTOMATIC = ("automatic reply", "auto-?reply", "out of (?:the )?office", "undeliverable")
+CREDENTIALS = (
+    "log in", "login", "passcode", "password", "sign in", "signin", "verify your account", "verify your e-mail", "verify your email", "verify your identity", "verify your mail",
+)
+AUTOMATIC = ("auto-reply", "automatic reply", "autoreply", "out of office", "out of the office", "undeliverable")
 # Domains that only send spam.
 SPAM_DOMAINS = ("crypto-invest.net", "logistics-deals.biz", "parcel-track.co", "prize-claims.info", "secure-mailbox.org", "webmail-verify.co")
 # Phrases of bodies that tell a category, the first that occurs counts.
@@ -126,11 +128,11 @@ def doubts(category: Column, confidence: Column, subject: Column, body: Column,
     """Why an answer may be wrong: structs (reason, whether the second answer
     bears it out), in a fixed order; empty where nothing is in doubt."""
     text = F.concat_ws("\n", subject, body)
-    said = lambda words: text.rlike(r"(?i)\b(?:" + "|".join(words) + r")\b")
+    said = lambda words: text.rlike(documents.phrase_pattern([documents.Phrase(w) for w in words]))
     found = F.array(
         _doubt(confidence < UNSURE_BELOW, "unsure", F.lit(False)),
         _doubt((category != "BL_COMPARISON") & has_si_and_bl(attachments), "pair attached, not filed as a comparison", second == "BL_COMPARISON"),
-        _doubt((category != "SPAM") & said(CREDENTIALS) & text.rlike("(?i)https?://"), "asks for credentials beside a link", second == "SPAM"),
+        _doubt((category != "SPAM") & said(CREDENTIALS) & (F.lower(text).contains("http://") | F.lower(text).contains("https://")), "asks for credentials beside a link", second == "SPAM"),
         _doubt((category == "BL_COMPARISON") & said(AUTOMATIC), "reads like an automatic reply", second != "BL_COMPARISON"),
     )
     return F.filter(found, lambda d: d.isNotNull())

@@ -85,7 +85,7 @@ def test_messages_to_results(spark):
     got = {r["email_id"]: r for r in messages.process_emails(df, spark.createDataFrame(list(files.items()), "path string, content binary"), answers).collect()}
     assert {k: (r["category"], r["status"], r["review_reason"]) for k, r in got.items()} == {
         "a": ("BL_COMPARISON", "OK", None), "b": ("BL_COMPARISON", "OK", None), "c": ("BL_COMPARISON", "MISMATCH", None), "d": ("BL_COMPARISON", "NEEDS_REVIEW", "unreadable"),
-        "e": ("BL_COMPARISON", "NEEDS_REVIEW", "missing_attachment"), "f": ("INVOICE_QUERY", "OK", None), "g": ("BL_COMPARISON", "NEEDS_REVIEW", "wrong_doc_type"), "h": ("BL_COMPARISON", "NEEDS_REVIEW", "unreadable"),
+        "e": ("BL_COMPARISON", "NEEDS_REVIEW", "missing_attachment"), "f": ("INVOICE_QUERY", "OK", None), "g": ("BL_COMPARISON", "NEEDS_REVIEW", "wrong_doc_type"), "h": ("BL_COMPARISON", "NEEDS_REVIEW", "missing_attachment"),
         "i": ("SPAM", "OK", None), "j": ("BL_COMPARISON", "NEEDS_REVIEW", "missing_attachment"),
     }
     assert got["b"]["bl_path"] == "b_BL_REVISED.txt" and {(x["field"], x["label"]) for x in got["b"]["revision"] if x["label"] != "unchanged"} == {("consignee", "fixed"), ("notify_party", "fixed")}
