@@ -3,12 +3,15 @@
 A schema is a dict as JSON gives it. validate() makes one array column of
 errors from it and the typed columns it describes, so a table is checked in one
 projection, without Python. Known keywords: type, enum, const, pattern,
-minimum, maximum, required, properties, additionalProperties (false),
-minItems, maxItems, items, allOf, and if / then / else with a description.
+minimum, maximum, required, properties, patternProperties,
+additionalProperties (false), minItems, maxItems, items, allOf, and if / then /
+else with a description. Objects are structs, or maps whose keys are texts.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +63,8 @@ def errors(value: Column, kind: T.DataType, schema: dict, path: Column, nulls: f
     if isinstance(kind, T.StructType):
         nulls = nulls | {n for n, of in schema.get("properties", {}).items() if _allows_null(of)}
         out.append(_of_struct(value, kind, schema, path, nulls))
+    if isinstance(kind, T.MapType):
+        out.append(_of_map(value, kind, schema, path))
     if isinstance(kind, T.ArrayType):
         if "minItems" in schema:
             out.append(_error(F.size(value) < schema["minItems"], path, f"has fewer than {schema['minItems']} items"))
@@ -74,7 +79,7 @@ def errors(value: Column, kind: T.DataType, schema: dict, path: Column, nulls: f
             continue
         holds = F.size(errors(value, kind, rule["if"], path, nulls)) == 0
         broken = lambda branch: F.size(errors(value, kind, rule[branch], path, nulls)) > 0 if branch in rule else F.lit(False)  # noqa: B023, E731
-        out.append(_error(F.when(holds, broken("then")).otherwise(broken("else")), path, rule.get("description", "a conditional rule does not hold")))
+        out.append(_error(F.when(holds, broken("then")).otherwise(broken("else")), path, rule.get("description", "breaks a rule without a name")))
     return _all(out)
 
 
@@ -88,14 +93,43 @@ def _of_struct(value: Column, kind: T.StructType, schema: dict, path: Column, nu
         out.append(_error(value.isNotNull() & absent, path, f"lacks {name}"))
     for name, of in fields.items():
         inner = value.getField(name)
-        if name in known:
+        of_name = known[name] if name in known else _by_pattern(schema, name)
+        if of_name is not None:
             absent = F.lit(False) if name in nulls else inner.isNull()
-            out.append(F.when(value.isNull() | absent, none).otherwise(errors(inner, of, known[name], F.concat(path, F.lit(f".{name}")))))
+            out.append(F.when(value.isNull() | absent, none).otherwise(errors(inner, of, of_name, F.concat(path, F.lit(f".{name}")))))
         elif schema.get("additionalProperties", True) is False:
             out.append(_error(inner.isNotNull(), path, f"has unknown {name}"))
     return _all(out)
 
 
+def _by_pattern(schema: dict, name: str) -> dict | None:
+    """The schema of the first pattern that matches at the beginning of a name."""
+    return next((of for pattern, of in schema.get("patternProperties", {}).items() if re.match(pattern, name)), None)
+
+
+def _of_map(value: Column, kind: T.MapType, schema: dict, path: Column) -> Column:
+    """The errors of a map: of the keys it lacks, and of each entry, in order
+    of keys, by the schema of its name, else of the first pattern that its name
+    begins with. An entry that is there with null is a null."""
+    out = [_error(value.isNotNull() & ~F.coalesce(F.map_contains_key(value, F.lit(name)), F.lit(False)), path, f"lacks {name}") for name in schema.get("required", [])]
+    named = [(lambda k, n=n: k == n, of) for n, of in schema.get("properties", {}).items()]
+    named += [(lambda k, p=p: k.rlike(f"^(?:{p})"), of) for p, of in schema.get("patternProperties", {}).items()]
+
+    def of_entry(entry: Column) -> Column:
+        key, inner = entry["key"], entry["value"]
+        at = F.concat(path, F.lit("."), key)
+        unknown = F.array(F.concat(path, F.lit(": has unknown "), key))
+        found = unknown if schema.get("additionalProperties", True) is False else F.array().cast("array<string>")
+        for holds, of in reversed(named):
+            found = F.when(holds(key), errors(inner, kind.valueType, of, at)).otherwise(found)
+        return found
+
+    if named or schema.get("additionalProperties", True) is False:
+        entries = F.array_sort(F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        out.append(F.coalesce(F.flatten(F.transform(entries, of_entry)), F.array().cast("array<string>")))
+    return _all(out)
+
+
 def _allows_null(schema: dict) -> bool:
     names = schema.get("type", [])
     return "null" in (names if isinstance(names, list) else [names]) or None in schema.get("enum", []) or ("const" in schema and schema["const"] is None)

@@ -126,6 +126,16 @@ def untrusted(extract: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return extract.where("present and norm is not null").join(F.broadcast(checked), "field", "left_semi").join(vocabulary.select("field", "norm").distinct(), ["field", "norm"], "left_anti")
 
 
+def scans(readings: DataFrame) -> DataFrame:
+    """email_id, roles, flagged of readings of scans (name: a message's id and
+    its role; untrusted: values that no document had): one row a message, of
+    several readings of a role the last by name."""
+    parts = F.regexp_extract("name", r"^(.+)_(SI|BL)$", 1), F.regexp_extract("name", r"^(.+)_(SI|BL)$", 2)
+    named = readings.select(parts[0].alias("email_id"), parts[1].alias("role"), F.coalesce(F.size("untrusted"), F.lit(0)).alias("n"), "name").where("role <> ''")
+    one = named.groupBy("email_id", "role").agg(F.max_by("n", "name").alias("n"))
+    return one.groupBy("email_id").agg(F.array_join(F.array_sort(F.collect_set("role")), "+").alias("roles"), F.sum("n").alias("flagged"))
+
+
 def agreement(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two extracts with norm, tallied by field: agree, first_only,
     second_only, differ, total and share that agrees, over documents in both."""

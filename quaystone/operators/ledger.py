@@ -3,9 +3,11 @@ upserts, merges, folders."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.operators.buckets import Buckets
+
 NEWEST = 200
 
 
@@ -27,21 +29,51 @@ def visible_through(rows: DataFrame, reviews: DataFrame, user_id: str, admin: bo
 
 def upserted(stored: DataFrame, fresh: DataFrame, keys: list[str], at: str) -> DataFrame:
     """stored with fresh rows in place of those of the same keys; of several
-    fresh rows of a key the latest by at."""
-    last = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(at)))).where("_n = 1").drop("_n")
+    fresh rows of a key the latest by at, of equally late ones the greatest.
+    buckets.Buckets does the same to a table on disk."""
+    others = [c for c in fresh.columns if c not in keys]
+    order = F.struct(at, *[c for c in others if c != at])
+    last = fresh.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("r")).select(*keys, "r.*")
     return stored.join(last.select(*keys), keys, "left_anti").unionByName(last.select(*stored.columns))
 
 
+def filed_reports(fresh: DataFrame) -> DataFrame:
+    """Rows for the table of reports from what people sent (user_id, kind,
+    about: a message or null, msg, rating, at): a title that names the message,
+    as the queue lists titles. Without a person there is no report."""
+    kind = F.coalesce("kind", F.lit("note"))
+    title = F.when(F.coalesce(F.trim("about"), F.lit("")) == "", kind).otherwise(F.concat(kind, F.lit(" on "), F.col("about")))
+    return fresh.where("user_id is not null").select("user_id", F.lit("human").alias("kind"), F.col("about").alias("email_ref"), title.alias("title"), F.coalesce("msg", F.lit("")).alias("detail"), "rating", F.col("at").alias("created_at"))
+
+
+def _rows_of(fresh: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reports, reviews and corrections of fresh corrections. A correction does
+    not finish a message, so its review has no mark of its own; one without a
+    title is not reported."""
+    told = fresh.where("title is not null").select("user_id", F.lit("human").alias("kind"), "email_ref", "title", F.col("at").alias("created_at"))
+    marks = fresh.select("user_id", "email_ref", "source", "mark", F.col("at").alias("updated_at"))
+    said = fresh.select("user_id", "email_ref", "field", "was", "corrected", "kind", "side", F.col("at").alias("created_at"))
+    return told, marks, said
+
+
 def with_corrected(reviews: DataFrame, reports: DataFrame, corrections: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The three tables after fresh corrections (user_id, email_ref, source,
     mark, field, was, corrected, kind, side, title, at): a report and a
     correction each, and their reviews upserted."""
-    marks = fresh.select("user_id", "email_ref", "source", "mark", F.col("at").alias("updated_at"))
-    told = fresh.select("user_id", F.lit("human").alias("kind"), "email_ref", "title", F.col("at").alias("created_at"))
-    said = fresh.select("user_id", "email_ref", "field", "was", "corrected", "kind", "side", F.col("at").alias("created_at"))
+    told, marks, said = _rows_of(fresh)
     return upserted(reviews, marks, ["user_id", "email_ref"], "updated_at"), reports.unionByName(told), corrections.unionByName(said)
 
 
+def record_corrections(reviews: Buckets, reports: str, corrections: str, fresh: DataFrame) -> None:
+    """with_corrected on disk: the reports first, so that they are there
+    whatever fails after them, then the reviews, then the corrections; reports
+    and corrections are folders that are appended to."""
+    told, marks, said = _rows_of(fresh)
+    told.write.mode("append").parquet(reports)
+    reviews.upsert(marks, "updated_at")
+    said.write.mode("append").parquet(corrections)
+
+
 def with_replies(reviews: DataFrame, replies: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two tables after fresh replies (user_id, email_ref, source, mark,
     to_address, subject, body, at): one that answers a sample is not sent."""
@@ -73,6 +105,12 @@ def newest_reports(reports: DataFrame, users: DataFrame, n: int = NEWEST) -> Dat
     return newest.join(users.select(F.col("id").alias("user_id"), "display_name"), "user_id", "left")
 
 
+def most_tried(reports: DataFrame, n: int = NEWEST) -> DataFrame:
+    """The n automatic reports (step_id, tries) with the most tries, ties by
+    step: a top-k report."""
+    return reports.orderBy(F.desc("tries"), "step_id").limit(n)
+
+
 def in_folder(results: DataFrame, status: str | None = None, mark: str | None = None, category: str | None = None, search: str | None = None) -> DataFrame:
     """The results (status, mark, category, subject, title, from) of a folder
     that match a search in subject, title or sender, in any case."""

@@ -13,6 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaystone.functions.chunking import chunks
 from quaystone.functions.documents import content_hash
 from quaystone.session import shared_folder
 
@@ -103,13 +104,6 @@ def _nearest(folder: str, n_blocks: int, threshold: float, k: int):
     return run
 
 
-def chunks(text: Column, size: int = 1000, overlap: int = 200) -> Column:
-    """Chunks of size characters that overlap, distinct, in order. The stride is
-    fixed: chunks do not seek paragraph ends."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - overlap, F.lit(1)), F.lit(size - overlap))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(size))))
-
-
 def indexed_chunks(texts: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """texts (source, text) as source, chunk_index, content: a row a chunk."""
     return texts.select("source", F.posexplode(chunks(F.col("text"), size, overlap)).alias("chunk_index", "content"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quaystone.plans import inbox, records, reporting, shipments
+from quaystone.plans import inbox, records, reporting, shipments, upkeep
 
-QUERIES = {**shipments.QUERIES, **reporting.QUERIES, **inbox.QUERIES, **records.QUERIES}
-ORACLES = {**shipments.ORACLES, **reporting.ORACLES, **inbox.ORACLES, **records.ORACLES}
+QUERIES = {**shipments.QUERIES, **reporting.QUERIES, **inbox.QUERIES, **records.QUERIES, **upkeep.QUERIES}
+ORACLES = {**shipments.ORACLES, **reporting.ORACLES, **inbox.ORACLES, **records.ORACLES, **upkeep.ORACLES}

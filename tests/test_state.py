@@ -110,8 +110,3 @@ def test_upsert_twice_changes_nothing(spark):
     once = retrieval.upsert(stored, rows(("a", "2"), ("a", "4")))
     key = lambda df: sorted((r["source"], r["content"]) for r in df.collect())
     assert key(once) == [("a", "2"), ("a", "4"), ("b", "3")] == key(retrieval.upsert(once, rows(("a", "2"), ("a", "4"))))
-
-
-def test_chunks(spark):
-    got = spark.createDataFrame([("x" * 10 + "y" * 10,), ("",)], "t string").select(retrieval.chunks(F.col("t"), 10, 4).alias("c")).collect()
-    assert [len(x) for x in got[0]["c"]] == [10, 10, 8] and got[1]["c"] == [""]
