@@ -45,6 +45,8 @@ HOT = 32
 BLOCK = (128, 1024)
 SPREAD = 16
 FLUSH = 1_000_000
+#: Postings that a token partition takes before it tells those of hot tokens.
+SETTLE = 8_000_000
 #: Tokens of a partition of the token and the set exchange, at most.
 TOKENS_A_PART = 4_000_000
 MATCHES = (1, 2, 3, 4, 6, 8)
@@ -181,10 +183,40 @@ def _postings(n_parts: int):
 
 def _counted(n_parts: int):
     """Token partition: how many sets hold each token, told to those sets when
-    two or more do. Rows of kind 2 pass through."""
+    two or more do. Rows of kind 2 pass through. Postings are settled whenever
+    SETTLE of them have come: those of a token that is known to be hot are told
+    at once and only the token is kept, so a token that very many flushes send
+    takes no room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: tuple = ([], [], [], [])
+        tok, sig, mark = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        came = 0
+
+        def settled(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal tok, sig, mark, came
+            tok = np.concatenate([tok, _unpack48(parts[0])])
+            sig = np.concatenate([sig, np.repeat(_join(parts[1], "<i8"), _join(parts[2], "<u2"))])
+            mark = np.union1d(mark, _unpack48(parts[3]))
+            for x in parts:
+                x.clear()
+            order = np.lexsort((sig, tok))
+            tok, sig = tok[order], sig[order]
+            new = np.append(True, (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1]))[: len(tok)]
+            tok, sig = tok[new], sig[new]
+            start, count = _runs(tok)
+            hot = np.isin(tok[start], mark) | (count >= HOT)
+            mark = np.union1d(mark, tok[start[hot]])
+            df, hot = np.repeat(np.where(hot, HOT, count), count), np.repeat(hot, count)
+            tells = hot | ((df > 1) & last)
+            home = (sig[tells].view(np.uint64) % _U(n_parts)).astype(np.int64)
+            by = np.flatnonzero(tells)[np.argsort(home, kind="stable")]
+            out: tuple = ([], [], [], [], [], [])
+            _send(out, 0, np.sort(home), lambda c: sig[by[c]].tobytes(), lambda c: _pack48(tok[by[c]]), lambda c: df[by[c]].astype(np.uint8).tobytes(), _none)
+            if out[0]:
+                yield _rows(*out)
+            tok, sig, came = tok[~hot], sig[~hot], 0
+
         for batch in batches:
             kind = batch["kind"].to_numpy(zero_copy_only=False)
             if (kind == 2).any():
@@ -196,31 +228,10 @@ def _counted(n_parts: int):
                 else:
                     for held, x in zip(parts, row, strict=False):
                         held.append(x)
-        tok = _unpack48(parts[0])
-        sig = np.repeat(_join(parts[1], "<i8"), _join(parts[2], "<u2"))
-        mark = np.unique(_unpack48(parts[3]))
-        order = np.argsort(tok, kind="stable")
-        tok, sig = tok[order], sig[order]
-        start, count = _runs(tok)
-        marked = np.isin(tok[start], mark) if len(mark) else np.zeros(len(start), bool)
-        keep = np.repeat((count > 1) | marked, count)
-        tok, sig = tok[keep], sig[keep]
-        order = np.lexsort((sig, tok))
-        tok, sig = tok[order], sig[order]
-        new = np.append(True, (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1]))[: len(tok)]
-        tok, sig = tok[new], sig[new]
-        start, count = _runs(tok)
-        count = np.minimum(count, HOT)
-        if len(mark):
-            count[np.isin(tok[start], mark)] = HOT
-        df = np.repeat(count, np.diff(np.append(start, len(tok))))
-        tok, sig, df = tok[df > 1], sig[df > 1], df[df > 1]
-        home = (sig.view(np.uint64) % _U(n_parts)).astype(np.int64)
-        by = np.argsort(home, kind="stable")
-        out: tuple = ([], [], [], [], [], [])
-        _send(out, 0, home[by], lambda c: sig[by[c]].tobytes(), lambda c: _pack48(tok[by[c]]), lambda c: df[by[c]].astype(np.uint8).tobytes(), _none)
-        if out[0]:
-            yield _rows(*out)
+                    came += len(row[0]) // 6
+            if came >= SETTLE:
+                yield from settled(False)
+        yield from settled(True)
 
     return run
 
