@@ -25,6 +25,9 @@ SEED = "mix-1"
 #: Without given weights a source weighs its bytes to this power.
 TEMPER = 0.7
 KEY_BITS = 60
+#: Bytes of a partition of the mixture; bytes of a row without its text.
+PART_BYTES = 128 << 20
+ROW_BYTES = 64
 
 
 def _counts(rate: float, u: np.ndarray) -> np.ndarray:
@@ -56,10 +59,11 @@ def _hex_long(digits: int, *parts: Column | str) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
-    """_src, rate: mean copies of a source's documents, so that sources take
-    shares of epochs times all bytes in proportion to their weights. A source
-    that weights leaves out has weight 0."""
-    by = docs.groupBy(F.coalesce("source", F.lit("")).alias("_src")).agg(F.sum((F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("double")).alias("bytes"))
+    """_src, rate, bytes, rows: mean copies of a source's documents, so that
+    sources take shares of epochs times all bytes in proportion to their
+    weights, and what the source has. A source that weights leaves out has
+    weight 0."""
+    by = docs.groupBy(F.coalesce("source", F.lit("")).alias("_src")).agg(F.sum((F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("double")).alias("bytes"), F.count("*").alias("rows"))
     by = written(by, "sources")
     if weights is None:
         weighed = by.withColumn("w", F.pow("bytes", F.lit(TEMPER)))
@@ -69,7 +73,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
     total = weighed.agg(F.sum("bytes"), F.sum("w")).first()
     all_bytes, all_w = total[0] or 0.0, total[1] or 0.0
     rate = F.col("w") / all_w * (all_bytes * epochs) / F.col("bytes") if all_w else F.lit(0.0)
-    return weighed.select("_src", rate.alias("rate"))
+    return weighed.select("_src", rate.alias("rate"), "bytes", "rows")
 
 
 def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
@@ -81,8 +85,12 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     Repeated rows draw the same count; an empty table gives an empty result.
     Columns of docs with these names are dropped.
     """
+    return _replicated(docs, rates(docs, weights, epochs))
+
+
+def _replicated(docs: DataFrame, found: DataFrame) -> DataFrame:
     docs = docs.drop("_src", "_rate", "_copies", "_copy", "_key", "_who")
-    found = small(rates(docs, weights, epochs).withColumnRenamed("rate", "_rate"))
+    found = small(found.select("_src", F.col("rate").alias("_rate")))
     who = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     drawn = docs.withColumns({"_src": F.coalesce("source", F.lit("")), "_who": who}).join(found, "_src").drop("_src")
     uniform = _hex_long(13, F.col("_who")).cast("double") / float(1 << 52)
@@ -91,26 +99,37 @@ def replicate(docs: DataFrame, weights: dict[str, float] | None = None, epochs:
     return drawn.withColumn("_key", _hex_long(KEY_BITS // 4, F.col("_who"), F.col("_copy").cast("string"))).drop("_who")
 
 
-def in_order(drawn: DataFrame) -> DataFrame:
+def in_order(drawn: DataFrame, size: float = 0) -> DataFrame:
     """drawn in the order of _key, which is uniform: partition i holds the i-th
-    equal range of keys, so no sample has to be drawn first."""
-    n = width(drawn.sparkSession)
+    equal range of keys, so no sample has to be drawn first. size: the bytes
+    that are expected, which decide how many partitions there are."""
+    n = width(drawn.sparkSession, math.ceil(size), PART_BYTES)
     at = F.shiftright(F.shiftright("_key", KEY_BITS - 30) * F.lit(n), 30).cast("int")
     return drawn.repartitionById(n, at).sortWithinPartitions("_key", "doc_id", "_copy")
 
 
+def _expected(found: DataFrame, each: str) -> float:
+    """How many of each, bytes or rows, the rates lead to expect."""
+    return found.agg(F.sum(F.col("rate") * F.col(each))).first()[0] or 0.0
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0) -> DataFrame:
     """The mixture in its global order, with the columns of docs, whatever
-    their names; replicate states the other cases."""
+    their names. Rows of equal key, which are copies of one id, or of one text
+    without id, are ordered by id and copy; what is equal in those too is in
+    any order. replicate states the other cases."""
     whole = docs.select("doc_id", "source", "text", F.struct("*").alias("_doc"))
-    drawn = replicate(whole, weights, epochs).select("_doc", "_key", "doc_id", "_copy")
-    return in_order(drawn).select("_doc.*")
+    found = written(rates(whole, weights, epochs), "rates")
+    drawn = _replicated(whole, found).select("_doc", "_key", "doc_id", "_copy")
+    return in_order(drawn, _expected(found, "bytes")).select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the documents' mixture, without the texts."""
-    drawn = replicate(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
-    return in_order(drawn).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = written(rates(docs), "rates")
+    drawn = _replicated(docs, found).drop("text")
+    return in_order(drawn, _expected(found, "rows") * ROW_BYTES).select(
         "doc_id", "source", F.col("_copies").alias("n_copies"), F.col("_copy").alias("copy"), F.col("_key").alias("shuffle_key"), F.round("_rate", 6).alias("rate")
     )
 
