@@ -14,7 +14,9 @@ The benchmark is the stated query set. Executors make its sets, which are
 written to the shared folder in blocks of about BLOCK_BYTES; a Python worker
 reads a block from there, keeps up to KEPT of them, and holds every batch of
 documents against all blocks, so the documents are scanned once and nothing of
-the benchmark passes through the driver.
+the benchmark passes through the driver. A benchmark of more blocks than that
+is met by many batches at a time: their word hashes are gathered up to
+GATHER_BYTES before the blocks are gone through, those still held first.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ PERCENT = 80
 #: Shingles of a block of items, 8 bytes each; an item is never cut.
 BLOCK_BYTES = 32 << 20
 KEPT = 3
+#: Word hashes that a task gathers before it goes through more blocks than it keeps.
+GATHER_BYTES = 96 << 20
 _BITS = 20
 _U = np.uint64
 
@@ -149,14 +153,42 @@ def _block(folder: str, i: int) -> Sketches:
     return _held[key]
 
 
-def _found(folder: str, n_blocks: int, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
-    """(row, item, shingles of the item, shared shingles)."""
-    held = [(c.first, *(lambda s, e, first, c=c: (c.word_hashes(s, e), first))(*c.words())) for c in textscan.chunks(texts)]
-    for b in range(n_blocks):
+Hit = tuple[int, int, int, int]
+
+
+def _hashed(texts: pa.Array) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, first word of each text) of each chunk."""
+    out = []
+    for c in textscan.chunks(texts):
+        s, e, first = c.words()
+        out.append((c.first, c.word_hashes(s, e), first))
+    return out
+
+
+def _hits(folder: str, n_blocks: int, batches: list[list]) -> list[list[Hit]]:
+    """(row, item, shingles of the item, shared shingles) for each hashed
+    batch; every block is read once, those that the worker holds first."""
+    out: list[list[Hit]] = [[] for _ in batches]
+    for b in sorted(range(n_blocks), key=lambda b: (folder, b) not in _held):
         block = _block(folder, b)
-        for start, words, first in held:
-            for i, item, shared in block.search(words, first):
-                yield start + i, int(block.ids[item]), int(block.n[item]), shared
+        for hits, chunks in zip(out, batches, strict=True):
+            for start, words, first in chunks:
+                for i, item, shared in block.search(words, first):
+                    hits.append((start + i, int(block.ids[item]), int(block.n[item]), shared))
+    return out
+
+
+def _searched(folder: str, n_blocks: int, batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[tuple[pa.Array, list[Hit]]]:
+    """(what came with the texts, hits) of each batch of (what, texts), in order."""
+    what, hashed, size = [], [], 0
+    for beside, texts in batches:
+        what.append(beside)
+        hashed.append(_hashed(texts))
+        size += sum(words.nbytes for _, words, _ in hashed[-1])
+        if n_blocks <= KEPT or size >= GATHER_BYTES:
+            yield from zip(what, _hits(folder, n_blocks, hashed), strict=True)
+            what, hashed, size = [], [], 0
+    yield from zip(what, _hits(folder, n_blocks, hashed), strict=True)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,9 +206,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(zip(*_found(folder, n_blocks, batch["text"]), strict=True)) or [()] * 4
-            yield pa.record_batch([batch["doc_id"].take(pa.array(found[0], pa.int64())), *[pa.array(x, pa.int64()) for x in found[1:]]], ["doc_id", "item", "n_item", "n_shared"])
+        for ids, hits in _searched(folder, n_blocks, ((batch["doc_id"], batch["text"]) for batch in batches)):
+            found = list(zip(*hits, strict=True)) or [()] * 4
+            yield pa.record_batch([ids.take(pa.array(found[0], pa.int64())), *[pa.array(x, pa.int64()) for x in found[1:]]], ["doc_id", "item", "n_item", "n_shared"])
 
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(x, T.LongType()) for x in ("item", "n_item", "n_shared")]])
     hits = docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -194,10 +226,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _leaks(folder: str, n_blocks: int):
     @F.arrow_udf(T.BooleanType())
-    def leaks(texts: pa.Array) -> pa.Array:
-        hit = np.zeros(len(texts), bool)
-        hit[sorted({row for row, *_ in _found(folder, n_blocks, texts)})] = True
-        return pa.array(hit)
+    def leaks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for n, hits in _searched(folder, n_blocks, ((pa.nulls(len(texts)), texts) for texts in batches)):
+            hit = np.zeros(len(n), bool)
+            hit[sorted({row for row, *_ in hits})] = True
+            yield pa.array(hit)
 
     return leaks
 
