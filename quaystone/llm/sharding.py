@@ -2,22 +2,22 @@
 
 The key of a record is (hash of its text, doc_id), so equal texts stand next
 to each other. Size-weighted samples of the keys give quantile boundaries of
-many fine ranges; ranges that turn out overfull are sampled again, until each
-is small enough or holds one key alone: first between texts, then within a
-text's group by doc_id, and a range of rows that are equal in both by a number
-of the row. Runs of fine ranges become shards of nearly equal bytes, and exact
-row counts of the ranges give gapless slots. Only the samples, the boundaries
-and one count a range reach the driver.
+coarse ranges; ranges that turn out overfull are sampled again, until each is
+small enough or holds one key alone: between texts, a range of one text by
+doc_id, and a range of rows that are equal in both by a number of the row. Runs
+of fine ranges become shards of nearly equal bytes, and exact row counts of the
+ranges give gapless slots. Each range's quantiles are taken on executors. What
+reaches the driver are numbers of ranges, a boundary and three sums each, as
+arrays: some 40 bytes for ROWS_A_RANGE rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,8 @@ N_SHARDS = 16
 RANGES_A_SHARD = 64
 ROWS_A_RANGE = 200_000
 SAMPLES_A_RANGE = 16
+#: Ranges of the first cut, whose samples are one group.
+COARSE = 4096
 #: A range is overfull beyond so many times the size aimed at.
 OVERFULL = 1.5
 LEAST = -(2**63)
@@ -86,73 +88,87 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_h": F.xxhash64(text), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "_size": (F.octet_length(text) + 1).cast("long"), **n})
 
 
-def _after(key: tuple[int, int]) -> tuple[int, int]:
-    """The next possible key."""
-    h, d = key
-    return (h, d + 1) if d < -LEAST - 1 else (min(h + 1, -LEAST - 1), LEAST)
+_LAST = -LEAST - 1
+_BOUNDS = "_h long, _d long"
 
 
-def _cut(samples: list, pieces: dict[int, int], within_texts: bool) -> set[tuple[int, int]]:
-    """Quantile keys of the samples (range, hash, doc_id, weight), as many a
-    range as it needs pieces, less one. A key that takes several quantiles is
-    heavy: it is cut off on both sides, so that it ends up alone."""
-    found: set[tuple[int, int]] = set()
-    by: dict[int, list] = {}
-    for r, h, d, w in samples:
-        by.setdefault(r, []).append((h, d if within_texts else LEAST, w))
-    for r, rows in by.items():
-        rows.sort()
-        total = np.cumsum([w for _, _, w in rows])
-        goal = total[-1] * np.arange(1, pieces[r]) / pieces[r]
-        taken = Counter(rows[i][:2] for i in np.minimum(np.searchsorted(total, goal), len(rows) - 1))
-        found.update(taken)
-        found.update(_after(k) if within_texts else (min(k[0] + 1, -LEAST - 1), LEAST) for k, times in taken.items() if times > 1)
-    return found
+def _cut(of: np.ndarray, ids: np.ndarray):
+    """Quantile keys of a range's samples (_r, _h, _d, _w), as many as it needs
+    pieces (of, by range) less one. A key that takes several quantiles is
+    heavy: it is cut off on both sides, so that it ends up alone. The key is
+    the text's hash, or in a range of one text (ids, by range) also the id."""
 
+    def cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        inside, pieces = bool(ids[key[0]]), int(of[key[0]])
+        rows = rows.sort_values(["_h", "_d"])
+        h, d = rows["_h"].to_numpy(), rows["_d"].to_numpy() if inside else np.full(len(rows), LEAST)
+        total = np.cumsum(rows["_w"].to_numpy())
+        at = np.minimum(np.searchsorted(total, total[-1] * np.arange(1, pieces) / pieces), len(rows) - 1)
+        h, d = h[at], d[at]
+        again = np.flatnonzero((h[1:] == h[:-1]) & (d[1:] == d[:-1]))
+        after = (h[again], np.minimum(d[again], _LAST - 1) + 1) if inside else (np.minimum(h[again], _LAST - 1) + 1, d[again])
+        return pd.DataFrame({"_h": np.append(h, after[0]), "_d": np.append(d, after[1])}).drop_duplicates()
 
-def _arrays(bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([h for h, _ in bounds], np.int64), np.array([d for _, d in bounds], np.int64)
+    return cut
+
+
+def _where(wanted: np.ndarray) -> Column:
+    """Whether range _r is wanted."""
+
+    @F.pandas_udf(T.BooleanType())
+    def find(r: pd.Series) -> pd.Series:
+        return pd.Series(wanted[r.to_numpy()])
+
+    return find(F.col("_r"))
+
+
+def _sums(keys: DataFrame, by: Column, n: int) -> pd.DataFrame:
+    """bytes and rows of n ranges or pieces, and whether one has one text, and
+    one key at most."""
+    least, most = F.min(F.struct("_h", "_d")), F.max(F.struct("_h", "_d"))
+    found = keys.groupBy(by.alias("r")).agg(F.sum("_size").alias("bytes"), F.count("*").alias("rows"), (least["_h"] == most["_h"]).alias("text"), (least == most).alias("key")).toPandas()
+    found = found.assign(bytes=found["bytes"].fillna(0), text=found["text"].fillna(True), key=found["key"].fillna(True))
+    out = pd.DataFrame({"bytes": np.zeros(n, np.int64), "rows": np.zeros(n, np.int64), "text": np.ones(n, bool), "key": np.ones(n, bool)})
+    for c in out.columns:
+        out.loc[found["r"], c] = found[c].to_numpy(out[c].dtype)
+    return out
 
 
 def plan_shards(keys: DataFrame, n_shards: int = N_SHARDS, seed: int = 11) -> Plan:
     """Splitters for keys (columns _h, _d, _size, _n), a written table. It is
     read twice a round; a round cuts every range that is overfull and holds
-    more than one key, and rounds go on until there is none."""
+    more than one key, and rounds go on until there is none. The first makes
+    COARSE ranges at most, those after it as many as ROWS_A_RANGE asks for."""
     rows, total = keys.agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     n_ranges = max(n_shards * RANGES_A_SHARD, rows // ROWS_A_RANGE)
     goal = max(1.0, total / n_ranges)
-    bounds: list[tuple[int, int]] = []
-    sizes: list[tuple] = [(0, total, rows, False)]
-    at = 0
+    hashes, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    range_of = lambda: _range_of(hashes, ids) if len(hashes) else F.lit(0)
+    sums, at = _sums(keys, F.lit(0), 1), 0
     while True:
-        over = {r: int(np.ceil(2 * b / goal)) if at else n_ranges for r, b, n, one in sizes if (not at or b > OVERFULL * goal) and n > 1 and not one}
-        if not over:
+        size, one_text, one_key = (sums[c].to_numpy() for c in ("bytes", "text", "key"))
+        over = ((size > OVERFULL * goal) if at else (size >= 0)) & ~one_key.astype(bool)
+        if not over.any():
             break
+        of = np.minimum(np.ceil(2 * size / goal) if at else np.full(1, n_ranges), COARSE).astype(np.int64)
+        expected = F.col("_size") * F.lit(SAMPLES_A_RANGE / goal) if at else F.col("_size") * F.lit(SAMPLES_A_RANGE * min(n_ranges, COARSE) / max(1, total))
         uniform = (F.pmod(F.xxhash64("_h", "_d", "_n", F.lit(seed + at)), F.lit(1 << 40)) / F.lit(float(1 << 40))).cast("double")
-        ranged = keys.withColumn("_r", _range_of(*_arrays(bounds)) if bounds else F.lit(0))
-        heavy = ranged.where(F.col("_r").isin(list(over))) if at else ranged
-        expected = F.col("_size") * F.lit(SAMPLES_A_RANGE / goal)
-        drawn = heavy.where(uniform < expected).select("_r", "_h", "_d", F.greatest(F.lit(1.0), expected)).collect()
-        # the first cuts keep a text's group whole; later ones go inside it
-        new = sorted(set(bounds) | _cut([tuple(x) for x in drawn], over, at > 0))
+        ranged = keys.withColumn("_r", range_of())
+        drawn = ranged.where(uniform < expected).where(_where(over)).select("_r", "_h", "_d", F.greatest(F.lit(1.0), expected).alias("_w"))
+        new = drawn.groupBy("_r").applyInPandas(_cut(of, one_text.astype(bool)), _BOUNDS).toPandas()
+        both = pd.concat([new, pd.DataFrame({"_h": hashes, "_d": ids})]).drop_duplicates().sort_values(["_h", "_d"])
         at += 1
-        if new == bounds:
+        if len(both) == len(hashes):
             continue  # by chance nothing was drawn; the next round draws others
-        bounds = new
-        one = (F.min(F.struct("_h", "_d")) == F.max(F.struct("_h", "_d"))).alias("one")
-        sizes = [tuple(x) for x in keys.groupBy(_range_of(*_arrays(bounds)).alias("_r")).agg(F.sum("_size"), F.count("*"), one).collect()]
-    n = len(bounds) + 1
-    pieces = np.ones(n, np.int64)
-    for r, b, c, one in sizes:
-        if one and c > 1 and b > OVERFULL * goal:
-            pieces[r] = min(c, int(np.ceil(b / goal)))
+        hashes, ids = both["_h"].to_numpy(np.int64), both["_d"].to_numpy(np.int64)
+        sums = _sums(keys, range_of(), len(hashes) + 1)
+    size, count, one_key = (sums[c].to_numpy() for c in ("bytes", "rows", "key"))
+    heavy = one_key.astype(bool) & (count > 1) & (size > OVERFULL * goal)
+    pieces = np.where(heavy, np.minimum(count, np.ceil(size / goal)), 1).astype(np.int64)
     first_piece = np.cumsum(pieces) - pieces
-    hashes, ids = _arrays(bounds)
-    if pieces.max() > 1:
-        sizes = keys.withColumn("_r", _range_of(hashes, ids)).groupBy(_piece_of(pieces, first_piece).alias("_p")).agg(F.sum("_size"), F.count("*")).collect()
-    by_bytes, by_rows = np.zeros(pieces.sum(), np.int64), np.zeros(pieces.sum(), np.int64)
-    for p, b, c, *_ in sizes:
-        by_bytes[p], by_rows[p] = b or 0, c
+    if heavy.any():
+        sums = _sums(keys.withColumn("_r", range_of()), _piece_of(pieces, first_piece), pieces.sum())
+    by_bytes, by_rows = sums["bytes"].to_numpy(np.int64), sums["rows"].to_numpy(np.int64)
     middle = np.cumsum(by_bytes) - by_bytes / 2
     shard = np.minimum(n_shards - 1, np.floor(middle * n_shards / max(1, total))).astype(np.int32)
     first = np.cumsum(by_rows) - by_rows
@@ -178,7 +194,9 @@ def assign(keys: DataFrame, plan: Plan) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """docs with shard and slot, shards of nearly equal bytes.
+    """docs with shard and slot, shards of nearly equal bytes. Ties: rows of
+    equal text and id are in order of a row number, so which of them has which
+    slot is of no account.
 
     Equal texts share a shard unless their group is larger than a fine range
     (a 64th of a shard). A null text counts as empty, a null doc_id sorts
