@@ -106,6 +106,34 @@ def store(seconds: float, most: int) -> Machine:
     return step
 
 
+#: A table of callers past so many times its cap after a sweep is emptied.
+FLOOD = 5
+
+
+def tracked_limiter(limit: int, seconds: float, cap: int) -> Machine:
+    """A limiter over all callers of a table. Events (caller). A caller is
+    refused if limit of its requests were accepted in the seconds before, those
+    exactly so long ago included. With more than cap callers, and at most once
+    in so many seconds, those are forgotten whose last request is longer ago;
+    a table that is then still past FLOOD times cap is emptied. Gives
+    (accepted, callers held after)."""
+
+    def step(state: dict, at: float, caller=None) -> tuple:
+        seen = state.setdefault("seen", {})
+        if len(seen) > cap and at - state.get("swept", float("-inf")) >= seconds:
+            state["swept"] = at
+            for idle in [k for k, times in seen.items() if not times or at - times[-1] > seconds]:
+                del seen[idle]
+            if len(seen) > cap * FLOOD:
+                seen.clear()
+        times = [t for t in seen.get(caller, ()) if at - t <= seconds]
+        accepted = len(times) < limit
+        seen[caller] = [*times, at] if accepted else times
+        return accepted, len(seen)
+
+    return step
+
+
 def _schema(events: DataFrame, id_column: str, key: str, names: tuple[str, str], kinds: tuple[str, str]) -> str:
     of = lambda c: f"`{c}` {events.schema[c].dataType.simpleString()}"
     return f"{of(id_column)}, {of(key)}, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}"
