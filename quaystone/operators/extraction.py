@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quaystone.functions import documents, fields
 from quaystone.functions.fields import FIELDS
+from quaystone.session import stored
 from quaystone.sources import readers
 
 #: A long table of extracted values: one row a document and field.
@@ -24,12 +25,18 @@ def is_same_label(a: Column, b: Column) -> Column:
     return a.startswith(b) | b.startswith(a)
 
 
+#: Stands for a found value; private to Unicode, and taken out of texts before.
+_SPOT = "\ue000"
+
+
 def stands_whole(value: Column, text: Column) -> Column:
     """value occurs in text as whole words and numbers, spaces folded: no
-    letter, digit or number mark touches it."""
-    v, t = F.trim(fields.squash(value)), F.trim(fields.squash(text))
-    pattern = F.concat(F.lit(r"(?<![\w.,])\Q"), F.replace(v, F.lit("\\E"), F.lit("")), F.lit(r"\E(?!\w|[.,]\d)"))
-    return F.regexp_like(t, pattern)
+    letter, digit or number mark touches it. The inside of the value is marked
+    where it occurs and its neighbours are looked at by one constant pattern,
+    so no pattern is compiled for a row; nothing stands nowhere."""
+    v, t = F.trim(fields.squash(value)), F.translate(F.trim(fields.squash(text)), _SPOT, "")
+    spots = F.replace(t, v, F.concat(F.left(v, F.lit(1)), F.lit(_SPOT), F.right(v, F.lit(1))))
+    return (v != "") & spots.rlike(rf"(?s)(?<![\w.,]).{_SPOT}.(?!\w|[.,]\d)")
 
 
 def is_under_its_label(raw: Column, label_seen: Column, pairs: Column) -> Column:
@@ -68,16 +75,24 @@ def verbatim_only(extract: DataFrame) -> DataFrame:
     return _kept(extract, F.col("present") & (F.col("label_seen") != "") & (F.col("raw") != ""))
 
 
+def _gives_all(v: Column) -> Column:
+    """All seven fields have a value."""
+    whole = F.lit(True)
+    for f in FIELDS:
+        whole = whole & F.coalesce(v[f] != "", F.lit(False))
+    return whole
+
+
+def _rows(v: Column, label: Column) -> Column:
+    return F.array(*[F.struct(F.lit(f).alias("field"), F.lit(True).alias("present"), label[f].alias("label_seen"), v[f].alias("raw")) for f in FIELDS])
+
+
 def by_rule(docs: DataFrame) -> DataFrame:
     """EXTRACT of docs (doc, status, pairs) that give all seven fields by their
     labels; documents that give fewer are left to others, whole."""
     found = docs.where("status = 'ok'").select("doc", readers.aligned(F.col("pairs")).alias("a")).select("doc", "a.v", "a.l")
-    whole = F.lit(True)
-    for f in FIELDS:
-        whole = whole & F.coalesce(F.col("v")[f] != "", F.lit(False))
-    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(True).alias("present"), F.col("l")[f].alias("label_seen"), F.col("v")[f].alias("raw")) for f in FIELDS])
     # a condition inside the generator, not a filter: pushed below the projection it would align every label again
-    return found.select("doc", F.inline(F.when(whole, rows)))
+    return found.select("doc", F.inline(F.when(_gives_all(F.col("v")), _rows(F.col("v"), F.col("l")))))
 
 
 def is_current(saved_status: Column, saved_type: Column, status: Column, title: Column) -> Column:
@@ -86,17 +101,29 @@ def is_current(saved_status: Column, saved_type: Column, status: Column, title:
     return saved_status.eqNullSafe(status) & (title.isNull() | documents.document_type(title).eqNullSafe(saved_type))
 
 
+def tiers(docs: DataFrame, saved: DataFrame) -> DataFrame:
+    """docs (doc, status, title, pairs) as doc, source (saved, rule, model), a
+    (aligned pairs) and pairs: which tier answers each document, said once."""
+    kept = saved.groupBy("doc").agg(F.min(F.struct("status", "type")).alias("_s"))
+    is_saved = F.col("_s").isNotNull() & is_current(F.col("_s.status"), F.col("_s.type"), F.col("status"), F.col("title"))
+    held = docs.join(kept, "doc", "left").withColumn("_saved", F.coalesce(is_saved, F.lit(False)))
+    held = held.withColumn("a", F.when(~F.col("_saved") & (F.col("status") == "ok"), readers.aligned(F.col("pairs"))))
+    source = F.when(F.col("_saved"), "saved").when(_gives_all(F.col("a.v")), "rule").otherwise("model")
+    return held.select("doc", source.alias("source"), "a", "pairs")
+
+
 def chosen_extracts(docs: DataFrame, saved: DataFrame, answers: DataFrame) -> DataFrame:
     """EXTRACT and source (saved, rule, model) of docs (doc, status, title,
     pairs): what is saved and current, else the rules if they give all fields,
-    else the model's answer under its guard. Each later tier sees the documents
-    that earlier ones left. saved: EXTRACT with status and type by document."""
-    current = saved.join(docs.select("doc", F.col("status").alias("_status"), F.col("title").alias("_title")), "doc").where(is_current(F.col("status"), F.col("type"), F.col("_status"), F.col("_title")))
+    else the model's answer under its guard. The tier of a document is found
+    once and stored; each tier then takes its own. saved: EXTRACT with status
+    and type by document."""
+    told = stored(tiers(docs, saved), "tiers")
+    of = lambda source: told.where(F.col("source") == source)
     columns = ["doc", "field", "present", "label_seen", "raw"]
-    tier_1 = current.select(*columns, F.lit("saved").alias("source"))
-    left = docs.join(tier_1.select("doc").distinct(), "doc", "left_anti")
-    tier_2 = by_rule(left).select(*columns, F.lit("rule").alias("source"))
-    rest = left.join(tier_2.select("doc").distinct(), "doc", "left_anti")
+    tier_1 = saved.join(of("saved").select("doc"), "doc", "left_semi").select(*columns, F.lit("saved").alias("source"))
+    tier_2 = of("rule").select("doc", F.inline(_rows(F.col("a.v"), F.col("a.l")))).select(*columns, F.lit("rule").alias("source"))
+    rest = of("model").select("doc", "pairs")
     tier_3 = under_their_labels(answers.join(rest.select("doc"), "doc", "left_semi"), rest).select(*columns, F.lit("model").alias("source"))
     return tier_1.unionByName(tier_2).unionByName(tier_3)
 
@@ -123,7 +150,7 @@ def untrusted(extract: DataFrame, vocabulary: DataFrame) -> DataFrame:
     that are not in it, from an extract with norm. Fields without a set, and
     values that clean to nothing, are not checked."""
     checked = vocabulary.select("field").distinct()
-    return extract.where("present and norm is not null").join(F.broadcast(checked), "field", "left_semi").join(vocabulary.select("field", "norm").distinct(), ["field", "norm"], "left_anti")
+    return extract.where("present and norm is not null").join(checked, "field", "left_semi").join(vocabulary.select("field", "norm").distinct(), ["field", "norm"], "left_anti")
 
 
 def scans(readings: DataFrame) -> DataFrame:

@@ -45,15 +45,6 @@ def chosen_documents(files: DataFrame) -> DataFrame:
     return out.withColumn("note", F.when(F.col("aside") != "", F.concat(F.lit("set aside: "), F.col("aside")))).drop("aside")
 
 
-def attachment_names(files: DataFrame) -> DataFrame:
-    """files (email_id, role, pos) with name: role and ordinal, no number on
-    the first, neutral without a role."""
-    w = Window.partitionBy("email_id", "role").orderBy("pos")
-    n = F.row_number().over(w)
-    stem = F.concat_ws("_", F.col("email_id"), F.col("role"))
-    return files.withColumn("name", F.when(n > 1, F.concat_ws("_", stem, n.cast("string"))).otherwise(stem))
-
-
 def close_requests(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """requests (domain, ref, at) each with the earliest later answer of the
     same domain and reference, or null. An as-of join by one sort: both sides

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaystone.functions import documents, fields, privacy
-from quaystone.operators import pairing, retrieval
+from quaystone.operators import extraction, ledger, pairing, retrieval, routing
 from quaystone.sources import readers
 from quaystone.sources.edi import edi_document
 from quaystone.streaming import run, state
@@ -91,26 +91,25 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def untrusted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts whose size no part of an even key has."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand")
-    known = p.where("p_partkey % 2 = 0").select("p_size", "p_brand").distinct()
-    return p.join(known, ["p_size", "p_brand"], "left_anti").select("p_partkey", "p_size", "p_brand")
+    """Parts whose size no part of their brand and an even key has: sizes and
+    brands as values of one field with a closed set."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", F.lit("size").alias("field"), F.lit(True).alias("present"), F.concat_ws(" ", "p_size", "p_brand").alias("norm"))
+    return extraction.untrusted(p, p.where("p_partkey % 2 = 0")).select("p_partkey", "p_size", "p_brand")
 
 
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two judgements of a document, tallied by language."""
     both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    good, clean = F.col("quality") == 1, F.col("toxic") == 0
-    kind = F.when(good & clean, "agree").when(~good & ~clean, "agree").when(good, "first_only").otherwise("second_only")
-    counted = both.groupBy("lang").agg(*[F.count_if(kind == k).alias(k) for k in ("agree", "first_only", "second_only")], F.count("*").alias("n"))
-    return counted.withColumn("share", F.round(F.col("agree") / F.col("n"), 6))
+    said = lambda yes: both.select(F.col("doc_id").alias("doc"), F.coalesce("lang", F.lit("")).alias("field"), F.when(yes, "yes").alias("norm"))
+    found = extraction.agreement(said(F.col("quality") == 1), said(F.col("toxic") == 0))
+    return found.select(F.nullif("field", F.lit("")).alias("lang"), "agree", "first_only", "second_only", F.col("total").alias("n"), F.round("share", 6).alias("share"))
 
 
 def hand_label_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule on length against labels."""
-    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
-    rule = (F.col("n_chars") >= 500).cast("int")
-    return both.agg(F.count_if(rule == F.col("quality")).alias("right"), F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("email_id"), (F.col("n_chars") >= 500).cast("int").cast("string").alias("category"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("email_id"), F.col("quality").cast("string").alias("label"))
+    return routing.hand_label_accuracy(docs, labels).select(F.col("correct").alias("right"), (F.col("labelled") + F.col("ambiguous")).alias("n"))
 
 
 def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,9 +254,8 @@ def bounded_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def give_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second error of each user."""
-    e = _events(spark, sf_dir).where("event_type = 'error'")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.withColumn("n", F.row_number().over(w)).where("n = 2").select("user_id", "event_id")
+    e = _events(spark, sf_dir).where("event_type = 'error'").withColumn("failed", F.lit(True))
+    return state.replay(e, "user_id", "ts", "failed", "event_id", state.give_up(2), ("given", "n"), ("boolean", "long")).where("given").select("user_id", "event_id")
 
 
 def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,11 +267,11 @@ def dedup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newest_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest 200 errors with their author: a top-k report."""
-    e = table(spark, sf_dir, "events").where("event_type = 'error'")
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
-    newest = e.orderBy(F.desc("ts"), "event_id").limit(200).select("event_id", "user_id")
-    return newest.join(c, "user_id", "left").select("event_id", "user_id", "c_name")
+    """The newest 200 errors with their author: a top-k report. Ties go to the
+    smaller event."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'").select((-F.col("event_id")).alias("id"), "user_id", F.col("ts").alias("created_at"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("display_name"))
+    return ledger.newest_reports(e, users, 200).select((-F.col("id")).alias("event_id"), "user_id", F.col("display_name").alias("c_name"))
 
 
 QUERIES = {
