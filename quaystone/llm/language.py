@@ -302,8 +302,9 @@ def identify(docs: DataFrame, learns: Column, switch: float = SWITCH, spans: boo
 
     A text that is null, or without a letter, is `und` with score 0, and so is
     every text if no row has a lang to learn. A text whose scripts no learned
-    language has gets the most frequent language with score 0. A text of any
-    length is labelled whole. Repeated rows are labelled each; an empty table
+    language has gets the most frequent language with score 0. Of languages
+    with equally many bytes the first in alphabetical order is predicted. A
+    text of any length is labelled whole. Repeated rows are labelled each; an empty table
     gives an empty result; a column of docs of that name is replaced.
     """
     bounded_batches(docs.sparkSession)

@@ -99,7 +99,8 @@ def judge(docs: DataFrame) -> DataFrame:
     A null text counts as empty and fails; a text of any length is measured
     whole; a null source is a host of its own; a null doc_id is carried along;
     repeated rows are judged each; an empty table gives an empty result; other
-    columns of docs are ignored.
+    columns of docs are ignored. A host whose shrunken rate equals the limit
+    keeps its documents.
     """
     measured = written(measure(docs), "measured")
     verdict = small(host_rates(measured).select("host", F.greatest(*[f"rate_{k}" for k in RULES]).alias("worst")))

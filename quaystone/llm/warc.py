@@ -239,7 +239,10 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool =
     unknown digest (one in a form that cannot be held against the payload),
     digest differs, or malformed length (the record then has the rest of its
     member); no record stops the job. A record of any length is read whole;
-    an empty table of files gives an empty result."""
+    an empty table of files gives an empty result. A file that is listed twice
+    is read twice; a row without a path or without bytes names no file and
+    gives no record."""
+    files = files.where("path is not null and bytes is not null")
     at = F.explode(F.sequence(F.lit(0), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = files.select("path", "bytes", at.alias("start")).select("path", "start", F.least("bytes", F.col("start") + range_bytes).alias("end"))
     n = max(1, ranges.count())

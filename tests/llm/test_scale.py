@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quaystone.llm import decontaminate, mixing, ngram_join, sharding
+from quaystone.llm import decontaminate, mixing, ngram_join, sharding, warc
 from quaystone.llm.shared import written
 from quaystone.session import table
 
@@ -102,6 +102,13 @@ def test_tokens_settled_early_tell_the_same(monkeypatch):
     assert told(10**9) == told(500) and max(told(500).values()) == ngram_join.HOT
 
 
+def test_archives_without_a_path(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.example", "<p>x</p>")], "page_id long, url string, html string")
+    files = warc.write_warc(pages, f"file://{tmp_path}/warc").select("path", "bytes")
+    odd = files.unionByName(files).unionByName(spark.createDataFrame([(None, 5), ("file:/none", None)], files.schema))
+    assert warc.read_warc(odd).count() == 2
+
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
 
