@@ -25,18 +25,19 @@ def is_same_label(a: Column, b: Column) -> Column:
     return a.startswith(b) | b.startswith(a)
 
 
-#: Stands for a found value; private to Unicode, and taken out of texts before.
-_SPOT = "\ue000"
+#: Put around a found value; private to Unicode, and taken out of texts before.
+_FROM, _TO = "\ue000", "\ue001"
+#: A marked value whose neighbours, marked ones too, are no letter, digit or number mark.
+_ALONE = rf"(?<![\w.,])(?<![\w.,]{_TO}){_FROM}[^{_TO}]*{_TO}(?!{_FROM}?\w|{_FROM}?[.,]{_TO}?{_FROM}?\d)"
 
 
 def stands_whole(value: Column, text: Column) -> Column:
     """value occurs in text as whole words and numbers, spaces folded: no
-    letter, digit or number mark touches it. The inside of the value is marked
-    where it occurs and its neighbours are looked at by one constant pattern,
-    so no pattern is compiled for a row; nothing stands nowhere."""
-    v, t = F.trim(fields.squash(value)), F.translate(F.trim(fields.squash(text)), _SPOT, "")
-    spots = F.replace(t, v, F.concat(F.left(v, F.lit(1)), F.lit(_SPOT), F.right(v, F.lit(1))))
-    return (v != "") & spots.rlike(rf"(?s)(?<![\w.,]).{_SPOT}.(?!\w|[.,]\d)")
+    letter, digit or number mark touches it. The value is marked where it
+    occurs and its neighbours are looked at by one constant pattern, so no
+    pattern is compiled for a row; nothing stands nowhere."""
+    v, t = F.trim(fields.squash(value)), F.translate(F.trim(fields.squash(text)), _FROM + _TO, "")
+    return (v != "") & F.replace(t, v, F.concat(F.lit(_FROM), v, F.lit(_TO))).rlike(_ALONE)
 
 
 def is_under_its_label(raw: Column, label_seen: Column, pairs: Column) -> Column:
