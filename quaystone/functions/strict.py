@@ -38,9 +38,23 @@ def verdict(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), "missing").when(a == b, "match").otherwise("mismatch")
 
 
-def with_verdicts(pairs: DataFrame, out: str = "strict") -> DataFrame:
+#: Blanks that the stricter rules fold before they clean a value.
+_ODD_BLANKS = r"[\t\x0B\f]|  "
+
+
+def with_verdicts(pairs: DataFrame, out: str = "strict", rows: str | None = "rows") -> DataFrame:
     """pairs (si, bl: structs of raw fields) with an array of the seven
-    verdicts, in the fields' order."""
-    meant = lambda doc, f: fields.notify_as_meant(doc[f], doc["consignee"]) if f == "notify_party" else doc[f]
-    cleaned = {f"_{side}_{f}": clean(f, meant(F.col(side), f)) for side in ("si", "bl") for f in FIELDS}
-    return pairs.withColumns(cleaned).withColumn(out, F.array(*[verdict(F.col(f"_si_{f}"), F.col(f"_bl_{f}")) for f in FIELDS])).drop(*cleaned)
+    verdicts, in the fields' order. Where pairs have the other rules' rows,
+    their cleaned names and ports are these rules' too, unless a value has
+    blanks to fold first, and are not cleaned again."""
+    shared = rows is not None and rows in pairs.columns
+
+    def cleaned(side: str, i: int, f: str) -> Column:
+        doc = F.col(side)
+        raw = fields.notify_as_meant(doc[f], doc["consignee"]) if f == "notify_party" else doc[f]
+        if not shared or f not in (*NAME_FIELDS, *PORT_FIELDS):
+            return clean(f, raw)
+        return F.when(doc[f].rlike(_ODD_BLANKS) | doc["consignee"].rlike(_ODD_BLANKS), clean(f, raw)).otherwise(F.get(F.col(rows), F.lit(i))[f"{side}_norm"])
+
+    values = {f"_{side}_{f}": cleaned(side, i, f) for side in ("si", "bl") for i, f in enumerate(FIELDS)}
+    return pairs.withColumns(values).withColumn(out, F.array(*[verdict(F.col(f"_si_{f}"), F.col(f"_bl_{f}")) for f in FIELDS])).drop(*values)

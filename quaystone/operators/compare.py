@@ -22,28 +22,35 @@ def severity(status: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, SEVERITY)), status).cast("int") - 1
 
 
-def with_rows(pairs: DataFrame, si: str = "si", bl: str = "bl", labels: bool = False, out: str = "rows") -> DataFrame:
+def _cleaned(pairs: DataFrame, doc: Column, named: Column | None, prefix: str) -> list[dict]:
+    """The stages of columns that clean a document's values."""
+    raw = {f: doc[f] for f in FIELDS}
+    # may point at the document's own consignee; the raw text is kept
+    raw["notify_party"] = fields.notify_as_meant(doc["notify_party"], doc["consignee"])
+    return fields.clean_in_stages(raw, None if named is None else {f: named[f] for f in FIELDS}, prefix)
+
+
+def with_rows(pairs: DataFrame, si: str = "si", bl: str = "bl", labels: bool = False, out: str = "rows", keep_si: bool = False) -> DataFrame:
     """pairs with rows: field, raw and cleaned values of both sides, verdict.
 
     Values are cleaned in a few projections and judged in the next, in flat
     columns: Catalyst keeps the projections apart, so each is computed once.
+    keep_si leaves the cleaned SI there for another call that compares the same
+    SI with another BL, which then does not clean it again.
     """
-    stages: list[dict] = [{}, {}, {}, {}]
-    for side, doc in (("a", F.col(si)), ("b", F.col(bl))):
-        raw = {f: doc[f] for f in FIELDS}
-        # may point at the document's own consignee; the raw text is kept
-        raw["notify_party"] = fields.notify_as_meant(doc["notify_party"], doc["consignee"])
-        named = F.col("si_label" if side == "a" else "bl_label")
-        label = {f: named[f] for f in FIELDS} if labels else None
-        for all_columns, columns in zip(stages, fields.clean_in_stages(raw, label, f"_{side}_"), strict=True):
-            all_columns.update(columns)
+    done = all(f"_a_{f}" in pairs.columns for f in FIELDS)
+    label = (lambda side: F.col(f"{side}_label")) if labels else lambda side: None
+    sides = [_cleaned(pairs, F.col(bl), label("bl"), "_b_")] + ([] if done else [_cleaned(pairs, F.col(si), label("si"), "_a_")])
+    stages: list[dict] = [{k: c for side in at for k, c in side.items()} for at in zip(*sides, strict=True)]
     stages.append({f"_v_{f}": fields.verdict(f, F.col(f"_a_{f}"), F.col(f"_b_{f}")) for f in FIELDS})
     row = lambda f: F.struct(
         F.lit(f).alias("field"), F.col(si)[f].alias("si_raw"), F.col(bl)[f].alias("bl_raw"), F.col(f"_a_{f}").alias("si_norm"), F.col(f"_b_{f}").alias("bl_norm"), F.col(f"_v_{f}").alias("verdict")
     )
     for columns in stages:
         pairs = pairs.withColumns(columns)
-    return pairs.withColumn(out, F.array(*map(row, FIELDS))).drop(*[c for columns in stages for c in columns])
+    kept = {f"_a_{f}" for f in FIELDS} if keep_si else set()
+    made = {c for columns in stages for c in columns} | {f"_a_{f}" for f in FIELDS}
+    return pairs.withColumn(out, F.array(*map(row, FIELDS))).drop(*(made - kept))
 
 
 def _blanks(rows: Column) -> Column:

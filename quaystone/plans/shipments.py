@@ -144,7 +144,7 @@ def revision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     booked = bookings(spark, sf_dir)
     first, second = (F.col("o_orderkey") % 13).cast("int"), ((F.col("o_orderkey") * 5 + 3) % 13).cast("int")
     both = booked.withColumns({"one": drafted(booked, first), "two": drafted(booked, second)})
-    before = compare.with_rows(both, bl="one", out="before")
+    before = compare.with_rows(both, bl="one", out="before", keep_si=True)
     after = compare.with_rows(before, bl="two")
     labelled = F.transform(F.arrays_zip("before", F.col("rows")), lambda x: F.struct(x["before"]["field"].alias("field"), compare.revision_label(x["before"]["verdict"], x["rows"]["verdict"]).alias("label")))
     return after.select(F.explode(labelled).alias("x")).groupBy("x.field", "x.label").agg(F.count("*").alias("n"))
