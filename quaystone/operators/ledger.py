@@ -172,6 +172,29 @@ def pipeline_summary(results: DataFrame) -> DataFrame:
     return out.withColumn("cleared_share", F.coalesce(F.try_divide("cleared", "comparisons"), F.lit(0.0)))
 
 
+def figures_of(summary: DataFrame, section: str, names: dict[str, str]) -> DataFrame:
+    """section, place, name, value: a row a figure of a summary of one row, in
+    the order of names (column to what it is called). Shares between 0 and 1 of
+    columns that end in _share are percentages; what is null is n/a."""
+    shown = lambda c: F.format_string("%.1f%%", 100 * F.col(c)) if c.endswith("_share") else F.col(c).cast("string")
+    rows = F.array(*[F.struct(F.lit(section).alias("section"), F.lit(i).alias("place"), F.lit(n).alias("name"), F.coalesce(shown(c), F.lit("n/a")).alias("value")) for i, (c, n) in enumerate(names.items())])
+    return summary.select(F.inline(rows))
+
+
+def report_lines(figures: DataFrame) -> DataFrame:
+    """Figures as lines of a Markdown report (section, place, line): a heading
+    and a table a section, sections by name."""
+    head = figures.select("section").distinct().select("section", F.inline(F.array(*[F.struct(F.lit(i - 3).alias("place"), line.alias("line")) for i, line in enumerate((F.concat(F.lit("## "), "section"), F.lit("| figure | value |"), F.lit("|---|---|")))])))
+    mark = lambda c: F.replace(F.col(c), F.lit("|"), F.lit("/"))
+    return head.unionByName(figures.select("section", "place", F.concat(F.lit("| "), mark("name"), F.lit(" | "), mark("value"), F.lit(" |")).alias("line")))
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The lines of a report, in order, as one text file in the folder path: a
+    report is as long as its figures, so one task writes it."""
+    lines.coalesce(1).sortWithinPartitions("section", "place").select("line").write.mode("overwrite").text(path)
+
+
 def waiting_summary(results: DataFrame) -> DataFrame:
     """One row: requests that await a draft, those with a reference, their
     senders, and the distinct references of all results (awaiting, ref, from)."""

@@ -123,9 +123,18 @@ def shared_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.shared_keys(table(spark, sf_dir, "labels"), repeated, "doc_id")
 
 
+def evidence_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a report on orders as checks: how many there are, how many
+    are closed, and how many documents have a label."""
+    o = table(spark, sf_dir, "orders").agg(F.count("*").alias("orders"), F.count_if(F.col("o_orderstatus") == "F").alias("closed"))
+    checks = ledger.figures_of(o.withColumn("closed_share", F.try_divide("closed", "orders")), "Checks", {"orders": "orders checked", "closed": "closed", "closed_share": "share closed"})
+    labels = table(spark, sf_dir, "labels").agg(F.count("*").alias("labels"), F.max(F.lit(None).cast("long")).alias("missing"))
+    return ledger.report_lines(checks.unionByName(ledger.figures_of(labels, "Labels", {"labels": "labels", "missing": "left | right"})))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (batch_runs, batch_outcomes, document_chunks, map_errors, missed_counts, scan_totals, stored_reviews, stored_sources, most_tried, shared_ids)
+    for f in (batch_runs, batch_outcomes, document_chunks, map_errors, missed_counts, scan_totals, stored_reviews, stored_sources, most_tried, shared_ids, evidence_report)
 }
 
 ORACLES = {
@@ -147,4 +156,10 @@ WHERE text IS NOT NULL AND NOT (coalesce(regexp_matches(source, '[02468]$'), fal
     "most_tried": """WITH s AS (SELECT o_orderkey AS k, o_orderkey % 3 + 1 AS n, o_orderkey % 10 = 0 AS noted, o_orderkey % 4 <> 0 AS answered FROM orders)
 SELECT k AS step_id, n AS tries FROM s WHERE noted OR n > 1 OR NOT answered ORDER BY n DESC, k LIMIT 20""",
     "shared_ids": "SELECT DISTINCT doc_id FROM documents JOIN labels USING (doc_id) WHERE text IN (SELECT text FROM documents GROUP BY text HAVING count(*) > 1)",
+    "evidence_report": """WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS f FROM orders), l AS (SELECT count(*) AS n FROM labels),
+h AS (SELECT unnest(['Checks', 'Labels']) AS section)
+SELECT section, -3 AS place, '## ' || section AS line FROM h UNION ALL SELECT section, -2, '| figure | value |' FROM h UNION ALL SELECT section, -1, '|---|---|' FROM h
+UNION ALL SELECT 'Checks', 0, '| orders checked | ' || n || ' |' FROM o UNION ALL SELECT 'Checks', 1, '| closed | ' || f || ' |' FROM o
+UNION ALL SELECT 'Checks', 2, '| share closed | ' || format('{:.1f}%', 100.0 * f / n) || ' |' FROM o
+UNION ALL SELECT 'Labels', 0, '| labels | ' || n || ' |' FROM l UNION ALL SELECT 'Labels', 1, '| left / right | n/a |' FROM l""",
 }

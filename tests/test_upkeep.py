@@ -202,3 +202,11 @@ def test_scans_by_message(spark):
     readings = spark.createDataFrame([("e1_SI", ["a"]), ("e1_BL", ["b", "c"]), ("e1_BL", ["b"]), ("e2_BL", None), ("other", ["x"]), (None, ["x"])], "name string, untrusted array<string>")
     got = {r["email_id"]: (r["roles"], r["flagged"]) for r in extraction.scans(readings).collect()}
     assert got["e2"] == ("BL", 0) and got["e1"][0] == "BL+SI" and got["e1"][1] in (2, 3) and len(got) == 2
+
+
+def test_a_report_is_one_file(spark, tmp_path):
+    summary = spark.createDataFrame([(3, 0.5, None)], "n int, ok_share double, gone int")
+    lines = ledger.report_lines(ledger.figures_of(summary, "B", {"n": "count", "ok_share": "right", "gone": "gone"}).unionByName(ledger.figures_of(summary, "A", {"n": "n"})))
+    ledger.write_report(lines.repartition(5), f"file://{tmp_path}/report")
+    (file,) = (tmp_path / "report").glob("*.txt")
+    assert file.read_text() == "## A\n| figure | value |\n|---|---|\n| n | 3 |\n## B\n| figure | value |\n|---|---|\n| count | 3 |\n| right | 50.0% |\n| gone | n/a |\n"
