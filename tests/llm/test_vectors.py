@@ -82,6 +82,20 @@ def test_boxes_keep_the_nearest():
     assert centroid_blocks.nearest(far, far[:1] + 1, np.array([0]))[1].tolist() == [8, 8 * ((1 << 27) + 1) ** 2]
 
 
+def test_blocks_of_groups_have_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(centroid_blocks, "BLOCK", 32)
+    r = np.random.default_rng(8)
+    middle = r.uniform(-1, 1, (12, 64))
+    x = middle[r.integers(0, 12, 3000)] + r.normal(0, 0.02, (3000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows, centroids = centroid_blocks.cluster(df)
+    got = rows.collect()
+    codes = np.floor(x * 64).astype(np.int64)
+    d = ((codes[:, None] - centroids[None]) ** 2).sum(axis=2)
+    assert all(d[r["id"]].min() == r["distance"] and d[r["id"]].argmin() == r["cluster"] for r in got) and len(got) == 3000
+    assert np.mean([r["candidates"] for r in got]) < 5
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (5, 2)])
 def test_curve_visits_neighbours_in_turn(dims, bits):
     cells = np.array([[i >> (bits * j) & ((1 << bits) - 1) for j in range(dims)] for i in range(1 << (bits * dims))])
