@@ -18,6 +18,7 @@ comes out is bounded by the fingerprints that went in, not by the pairs.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -42,18 +43,25 @@ CROWD = 4096
 A_PART = 2_000_000
 #: What a shuffled visit costs, in compared pairs.
 VISIT = 50
-#: Hashes counted, and pairs compared, at a time.
+#: Bytes of a text whose words are taken, hashes counted, and pairs compared, at a time.
+PIECE = 1 << 20
 HASHES = 1 << 16
 PAIRS = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingle_hashes(text: str | None, k: int = SHINGLE) -> Iterator[np.ndarray]:
-    """XXH64 of a text's k-word shingles, repeats included, in pieces; with
-    fewer words the whole sequence, without words nothing."""
-    words = (text or "").encode().lower().split()  # of bytes: A-Z and the six blanks alone
-    if not words:
-        return
-    k = min(k, len(words))
+def _pieces(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, PIECE bytes or a little more at a time."""
+    at = 0
+    while at < len(data):
+        blank = _BLANK.search(data, at + PIECE)
+        end = blank.start() if blank else len(data)
+        yield data[at:end].split()  # of bytes: the six blanks alone
+        at = end
+
+
+def _hashes(words: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """XXH64 of each run of k words."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = np.append(0, ends[:-1] + 1)[: len(words) - k + 1]
@@ -64,6 +72,21 @@ def shingle_hashes(text: str | None, k: int = SHINGLE) -> Iterator[np.ndarray]:
         yield np.array([of(joined[a:b], SEED) for a, b in cut], np.uint64)
 
 
+def shingle_hashes(text: str | None, k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of a text's k-word shingles, repeats included, in pieces; with
+    fewer words the whole sequence, without words nothing. Memory follows the
+    piece, or the longest word, not the number of words."""
+    held: list[bytes] = []
+    whole = True
+    for words in _pieces((text or "").encode().lower()):  # of bytes: A-Z alone
+        held += words
+        if len(held) >= k:
+            yield from _hashes(held, k)
+            held, whole = held[len(held) - k + 1 :], False
+    if whole and held:
+        yield from _hashes(held, len(held))
+
+
 def fingerprint(text: str | None) -> int:
     """Bit i is set if over half of the shingle hashes have it; zero without words."""
     ones, n = np.zeros(64, np.int64), 0

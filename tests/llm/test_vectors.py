@@ -200,6 +200,15 @@ def test_fingerprints_are_brute_force(spark, data):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 7, 50])
+def test_long_texts_in_pieces(monkeypatch, piece):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    r = random.Random(piece)
+    for _ in range(300):
+        text = "".join(r.choice(["a", "Bc", " ", "\n", "\t ", "é", "long" * 9]) for _ in range(r.randrange(40)))
+        assert simhash.fingerprint(text) == plain_fingerprint(text), text
+
+
 @pytest.mark.parametrize(("grid", "crowd"), [(4, 7), (6, 4096), (8, 3), (16, 2)])
 def test_grids_and_shares_lose_no_link(spark, grid, crowd):
     r = random.Random(grid)
