@@ -188,6 +188,6 @@ def test_batches_are_taken_up_again(spark, tmp_path):
     at = f"file://{tmp_path}/answers"
     outcome = [tuple(batch.run(rows, "id", "prompt", calls[k], at).first()) for k in ("odd", "all", "all")]
     assert outcome == [(3, 0, 3), (3, 3, 0), (0, 6, 0)]
-    assert sorted(tuple(r) for r in batch.saved(spark, f"{at}/*", "id long, answer string").select("id", "answer").collect()) == [(i, f"T{i}") for i in range(6)]
+    assert sorted(tuple(r) for r in batch.answers(spark, at, "id", "bigint").select("id", "answer").collect()) == [(i, f"T{i}") for i in range(6)]
     assert [r["email_id"] for r in batch.newest(spark.createDataFrame([("a",), ("c",), ("b",)], "email_id string"), 2).collect()] == ["c", "b"]
     assert [tuple(r) for r in batch.tally(spark.createDataFrame([("x",), ("y",), ("y",), ("w",)], "k string"), "k").collect()] == [("y", 2), ("w", 1), ("x", 1)]
