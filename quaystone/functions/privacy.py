@@ -161,6 +161,12 @@ def mask_text(texts: pa.Array) -> pa.Array:
     return _each(without_personal_data, texts)
 
 
+@F.arrow_udf(T.BooleanType())
+def has_address(texts: pa.Array) -> pa.Array:
+    """Whether a mail address is in a text; of null, null."""
+    return pa.array([None if x is None else any(scan.email_spans(x)) for x in texts.to_pylist()], pa.bool_())
+
+
 def is_personal(address: Column) -> Column:
     parts = F.split(F.lower(F.trim(address)), "@")
     return (F.size(parts) == 2) & F.coalesce(F.get(parts, F.lit(1)).isin(PERSONAL_DOMAINS), F.lit(False))
@@ -205,9 +211,13 @@ def _finds(text: str) -> Iterator[tuple[int, int, str]]:
 _SPAN = T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.MapType(T.StringType(), T.StringType()))])
 
 
+_TOKEN = re.compile("<[A-Z_]+_[0-9]+>")
+
+
 def _hidden(texts: list[str | None]) -> tuple[list[str | None], dict[str, str]]:
     """The texts with numbered tokens, one numbering for all, and what each
-    token stands for."""
+    token stands for. A token that a text has already is given to nothing."""
+    written = {token for text in texts for token in _TOKEN.findall(text or "")}
     number: dict[str, int] = {}
     by_value: dict[tuple[str, str], str] = {}
     out = []
@@ -215,13 +225,19 @@ def _hidden(texts: list[str | None]) -> tuple[list[str | None], dict[str, str]]:
         spans, end = [], -1
         for start, minus, kind in sorted((start, -end, kind) for start, end, kind in _finds(text or "")):
             if start >= end:
-                spans.append((start, -minus, kind, text[start:-minus]))
+                spans.append((start, -minus, kind))
+                end = -minus
+            elif -minus > end:  # hidden as one, or the rest of it would stay
+                spans[-1] = (spans[-1][0], -minus, spans[-1][2])
                 end = -minus
         parts, done = [], len(text or "")
-        for start, stop, kind, value in reversed(spans):
-            if (kind, value) not in by_value:
+        for start, stop, kind in reversed(spans):
+            value = text[start:stop]
+            while (kind, value) not in by_value:
                 number[kind] = number.get(kind, 0) + 1
-                by_value[kind, value] = f"<{kind}_{number[kind]}>"
+                token = f"<{kind}_{number[kind]}>"
+                if token not in written:
+                    by_value[kind, value] = token
             parts += (text[stop:done], by_value[kind, value])
             done = start
         out.append(text if text is None else "".join(reversed([*parts, text[:done]])))
@@ -232,7 +248,7 @@ def _hidden(texts: list[str | None]) -> tuple[list[str | None], dict[str, str]]:
 def anonymize(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Numbered tokens in place of personal data, and what each stands for.
     Numbers count by kind from the end of the text; a value has one token;
-    of overlapping finds the earlier, longer one stays."""
+    overlapping finds are one, of the kind of the earlier, longer."""
     for series in texts:
         out = []
         for text in series:
@@ -253,9 +269,6 @@ def anonymize_many(lists: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["texts", "tokens"])
 
 
-_TOKEN = re.compile("<[A-Z_]+_[0-9]+>")
-
-
 @F.arrow_udf(T.StringType())
 def deanonymize(texts: pa.Array, tokens: pa.Array) -> pa.Array:
     """The texts with their tokens put back, in one pass."""

@@ -36,6 +36,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_methods(spark: SparkSession) -> None:
+    """Has Spark generate the projections of rows of over 20 fields one by one,
+    in short methods. In one method for them all, which is its default up to
+    100 fields, long projections go beyond what the JVM compiles. An option of
+    the caller's session; a lower number there is kept."""
+    name = "spark.sql.codegen.maxFields"
+    if int(spark.conf.get(name)) > 20:
+        spark.conf.set(name, "20")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits what a Python worker takes at once to 1,000 rows and 4 MB, however
+    large its partition is. Two options of the caller's session; a lower number
+    of rows there is kept."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= 1000:
+        spark.conf.set(rows, "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """The name of a new folder that every executor sees, below
     spark.checkpoint.dir. Only a local session without the setting, as in
