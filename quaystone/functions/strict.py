@@ -23,7 +23,7 @@ def weight(raw: Column) -> Column:
 
 def clean(field: str, raw: Column) -> Column:
     """The comparable text of a value, null if it is absent."""
-    x = fields.stripped(F.regexp_replace(raw, r"[ \t\x0B\f]+", " "))
+    x = fields.stripped(F.regexp_replace(raw, r"[ \t\x0B\f]{2,}|[\t\x0B\f]", " "))
     if field in NAME_FIELDS:
         out = fields.clean_name(x)
     elif field in PORT_FIELDS:
@@ -39,7 +39,7 @@ def verdict(a: Column, b: Column) -> Column:
 
 
 #: Blanks that the stricter rules fold before they clean a value.
-_ODD_BLANKS = r"[\t\x0B\f]|  "
+_ODD_BLANKS = ("\t", "\x0b", "\f", "  ")
 
 
 def with_verdicts(pairs: DataFrame, out: str = "strict", rows: str | None = "rows") -> DataFrame:
@@ -54,7 +54,7 @@ def with_verdicts(pairs: DataFrame, out: str = "strict", rows: str | None = "row
         raw = fields.notify_as_meant(doc[f], doc["consignee"]) if f == "notify_party" else doc[f]
         if not shared or f not in (*NAME_FIELDS, *PORT_FIELDS):
             return clean(f, raw)
-        return F.when(doc[f].rlike(_ODD_BLANKS) | doc["consignee"].rlike(_ODD_BLANKS), clean(f, raw)).otherwise(F.get(F.col(rows), F.lit(i))[f"{side}_norm"])
+        return F.when(fields.has_any(doc[f], *_ODD_BLANKS) | fields.has_any(doc["consignee"], *_ODD_BLANKS), clean(f, raw)).otherwise(F.get(F.col(rows), F.lit(i))[f"{side}_norm"])
 
     values = {f"_{side}_{f}": cleaned(side, i, f) for side in ("si", "bl") for i, f in enumerate(FIELDS)}
     return pairs.withColumns(values).withColumn(out, F.array(*[verdict(F.col(f"_si_{f}"), F.col(f"_bl_{f}")) for f in FIELDS])).drop(*values)

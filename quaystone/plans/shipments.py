@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quaystone.functions import fields
 from quaystone.functions.fields import FIELDS
 from quaystone.operators import compare, pairing
-from quaystone.session import table
+from quaystone.session import short_methods, table
 
 
 def _port(nation: Column) -> Column:
@@ -114,6 +114,7 @@ def mutation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     other fields as they are, so the SI is cleaned once and each edit cleans
     what it changes: its field, and the notify party that a new consignee may
     be meant by."""
+    short_methods(spark)
     booked = bookings(spark, sf_dir)
     si = {f: F.col("si")[f] for f in FIELDS}
     tried = booked.withColumns({f"_bl{c}": drafted(booked, F.lit(c)) for _, _, c, _ in EDITS})
