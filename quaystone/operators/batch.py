@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from quaystone.session import small_batches
+
 _LOG = "run long, state string, done long, skipped long, failed long"
 #: Files of a task are there once the task is done, not only once the job is.
 _TASK_COMMITS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
@@ -49,6 +51,7 @@ def run(rows: DataFrame, key: str, prompt: str, model: Callable[[str], str | Non
     out. at_once: how many may be asked at the same time.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     kind = rows.schema[key].dataType.simpleString()
     # read before this run is in the log: what it writes is no part of what it skips
     before = answers(spark, path, key, kind).select(key)

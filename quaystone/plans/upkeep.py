@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quaystone.functions import chunking, fields
 from quaystone.operators import batch, buckets, contracts, extraction, ledger
 from quaystone.plans import records
-from quaystone.session import shared_folder, table
+from quaystone.session import shared_folder, small_batches, table
 
 
 def batch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,7 @@ def batch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in chunks of 1000 characters with 200 of overlap."""
+    small_batches(spark)
     cut = table(spark, sf_dir, "documents").select("doc_id", chunking.chunks(F.col("text")).alias("c"))
     return cut.select("doc_id", F.posexplode("c").alias("chunk_index", "content")).select("doc_id", "chunk_index", F.md5("content").alias("content_md5"))
 
