@@ -40,19 +40,25 @@ def stands_whole(value: Column, text: Column) -> Column:
     return (v != "") & F.replace(t, v, F.concat(F.lit(_FROM), v, F.lit(_TO))).rlike(_ALONE)
 
 
-def is_under_its_label(raw: Column, label_seen: Column, pairs: Column) -> Column:
+def plain_labels(pairs: Column) -> Column:
+    return F.transform(pairs, lambda p: plain_label(p["label"]))
+
+
+def is_under_its_label(raw: Column, label_seen: Column, pairs: Column, plain: Column | None = None) -> Column:
     """The value stands whole under the label it is said to have, or, if no
-    pair has that label, under any."""
-    wanted = plain_label(F.coalesce(label_seen, F.lit("")))
-    of_label = F.filter(pairs, lambda p: is_same_label(plain_label(p["label"]), wanted))
-    searched = F.when(F.size(of_label) > 0, of_label).otherwise(pairs)
+    pair has that label, under any. plain: plain_labels of pairs, where known."""
+    plain = plain_labels(pairs) if plain is None else plain
+    # both evaluated before the filter, not for each pair
+    labels = F.struct(plain_label(F.coalesce(label_seen, F.lit(""))).alias("wanted"), plain.alias("plain"))
+    of_label = fields.let(labels, lambda x: F.filter(pairs, lambda p, i: is_same_label(F.get(x["plain"], i), x["wanted"])))
+    searched = fields.let(of_label, lambda found: F.when(F.size(found) > 0, found).otherwise(pairs))
     return F.coalesce(F.exists(searched, lambda p: stands_whole(raw, p["value"])), F.lit(False))
 
 
-def is_misplaced(field: Column, raw: Column, label_seen: Column, pairs: Column) -> Column:
+def is_misplaced(field: Column, raw: Column, label_seen: Column, pairs: Column, plain: Column | None = None) -> Column:
     """The label belongs to another field, or the value is not under it."""
     claimed = documents.canonical_field(F.coalesce(label_seen, F.lit("")))
-    return (claimed.isNotNull() & (claimed != field)) | ~is_under_its_label(F.coalesce(raw, F.lit("")), label_seen, pairs)
+    return (claimed.isNotNull() & (claimed != field)) | ~is_under_its_label(F.coalesce(raw, F.lit("")), label_seen, pairs, plain)
 
 
 def _kept(extract: DataFrame, keep: Column) -> DataFrame:
@@ -65,9 +71,10 @@ def _kept(extract: DataFrame, keep: Column) -> DataFrame:
 def under_their_labels(extract: DataFrame, pairs: DataFrame) -> DataFrame:
     """extract (EXTRACT) with values that its documents (doc, pairs) do not
     bear out made absent."""
-    held = extract.join(pairs.select("doc", "pairs"), "doc", "left")
+    # a document's labels are made plain once, not for each of its fields
+    held = extract.join(pairs.select("doc", "pairs", plain_labels(F.col("pairs")).alias("_plain")), "doc", "left")
     none = F.array().cast(readers.PAIRS)
-    return _kept(held, F.col("present") & ~is_misplaced(F.col("field"), F.col("raw"), F.col("label_seen"), F.coalesce("pairs", none))).drop("pairs")
+    return _kept(held, F.col("present") & ~is_misplaced(F.col("field"), F.col("raw"), F.col("label_seen"), F.coalesce("pairs", none), F.coalesce("_plain", F.array().cast("array<string>")))).drop("pairs", "_plain")
 
 
 def verbatim_only(extract: DataFrame) -> DataFrame:
