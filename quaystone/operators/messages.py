@@ -20,8 +20,8 @@ Files = DataFrame | Callable[[DataFrame], DataFrame]
 
 def _opened(files: Files, paths: DataFrame) -> DataFrame:
     """path, content of the files that paths name."""
-    named = paths.select("path").where("path is not null").distinct()
-    return files(named) if callable(files) else files.join(named, "path", "left_semi")
+    named = paths.select("path").where("path is not null")
+    return files(named.distinct()) if callable(files) else files.join(named, "path", "left_semi")
 
 
 def read_fields(files: DataFrame, formats: dict[str, readers.Reader] | None = None) -> DataFrame:
@@ -66,24 +66,56 @@ def compare_fields(norms: DataFrame, key: str) -> DataFrame:
 
 
 def attachments_of(messages: DataFrame) -> DataFrame:
-    """email_id, pos, path: one row an attachment."""
-    return messages.select("email_id", F.posexplode("attachments").alias("pos", "path"))
-
-
-def pairs_of(files: DataFrame, titles: DataFrame) -> DataFrame:
-    """What to compare of each message (email_id, pos, path): with two or more
-    complete shipments each of them (place 1, 2, ...), else the latest revision
-    of SI and BL, with the BL before it where there is one. titles: path, title."""
-    complete = pairing.shipments(files).where("si_path is not null and bl_path is not null")
-    order = files.select("email_id", F.col("path").alias("si_path"), F.col("pos").alias("_si_pos")).join(complete, ["email_id", "si_path"])
-    per_message = Window.partitionBy("email_id")
-    many = order.withColumn("n", F.count("*").over(per_message)).where("n >= 2")
-    many = many.withColumn("place", F.row_number().over(per_message.orderBy("_si_pos"))).select("email_id", "place", "n", "si_path", "bl_path", F.lit(None).cast("string").alias("previous_bl"), F.lit(None).cast("string").alias("note"))
-    single = files.join(many.select("email_id").distinct(), "email_id", "left_anti")
-    roles = F.array_distinct(F.concat(F.regexp_extract_all(F.substring_index("path", "/", -1), F.lit(r"_(SI|BL)(?=[._\s(-])"), 1), F.filter(F.array(F.lit("SI"), F.lit("BL")), lambda r: F.upper(F.col("path")).endswith(r))))
-    named = single.withColumn("role", F.explode(roles)).join(titles, "path", "left")
-    one = pairing.chosen_documents(named.select("email_id", "role", "path", "title", "pos"))
-    return many.unionByName(one.select("email_id", F.lit(1).alias("place"), F.lit(1).cast("long").alias("n"), F.col("si").alias("si_path"), F.col("bl").alias("bl_path"), "previous_bl", "note"))
+    """email_id, pos, path: one row an attachment, and one without path of a
+    message that has none."""
+    return messages.select("email_id", F.posexplode_outer("attachments").alias("pos", "path"))
+
+
+def _documents(slots: DataFrame, read: DataFrame) -> DataFrame:
+    """email_id and files: a message's files in their order, each with what
+    its name and title tell and, where it was read, the document doc."""
+    there = F.col("status") != "missing"
+    doc = F.when(there, F.struct("status", "title", "v", "l"))
+    rank = documents.revision_rank(F.col("path"), F.col("title"))
+    held = pairing.with_role(slots.join(read, "path", "left")).withColumns({"_doc": doc, "_rank": rank, "_roles": pairing.roles_of(F.col("path"))})
+    file = F.struct("pos", "path", "role", "key", F.col("_roles").alias("roles"), F.col("_rank.marked").alias("marked"), F.col("_rank.number").alias("number"), F.col("_doc").alias("doc"))
+    return held.groupBy("email_id").agg(F.array_sort(F.collect_list(F.when(F.col("path").isNotNull(), file))).alias("files"))
+
+
+def pairs_of(found: DataFrame) -> DataFrame:
+    """What to compare of each message (email_id, files of _documents): with
+    two or more complete shipments each of them (place 1, 2, ...; n in all),
+    else the latest revision of SI and BL and, where there is one, the pair of
+    the BL before it. draft tells now from before; one row a pair. All of a
+    message is in its row, so nothing is joined or shuffled."""
+    pair = lambda place, n, note, draft, si, bl: F.struct(
+        place.alias("place"), n.alias("n"), note.alias("note"), F.lit(draft).alias("draft"),
+        si["path"].alias("si_path"), bl["path"].alias("bl_path"), si["doc"].alias("si_doc"), bl["doc"].alias("bl_doc"),
+    )
+    first = lambda role, key: F.get(F.filter("files", lambda g: (g["role"] == role) & (g["key"] == key)), F.lit(0))
+    begins = F.filter("files", lambda f: (f["role"] == "SI") & (first("SI", f["key"])["path"] == f["path"]) & first("BL", f["key"]).isNotNull())
+    best_first = F.transform(F.sort_array(F.transform("files", lambda f: F.struct(f["marked"], f["number"], f["pos"], f.alias("f"))), False), lambda x: x["f"])
+    found = found.withColumns({"_begins": begins, "_best": best_first})
+    of = lambda role: F.filter("_best", lambda f: F.array_contains(f["roles"], role))
+    found = found.withColumns({"_SI": of("SI"), "_BL": of("BL")})
+    n = F.size("_begins").cast("long")
+    many = F.transform("_begins", lambda si, i: pair(i + 1, n, F.lit(None).cast("string"), "now", si, first("BL", si["key"])))
+    at = lambda role, i: F.get(F.col(f"_{role}"), F.lit(i))
+    rest = lambda role: F.transform(F.slice(F.col(f"_{role}"), 2, 1 << 30), lambda f: f["path"])
+    aside = F.array_join(F.array_sort(F.concat(rest("SI"), rest("BL"))), ", ")
+    one = lambda draft, bl: pair(F.lit(1), F.lit(1).cast("long"), F.when(aside != "", F.concat(F.lit("set aside: "), aside)), draft, at("SI", 0), bl)
+    single = F.filter(F.array(one("now", at("BL", 0)), F.when(F.size("_BL") > 1, one("before", at("BL", 1)))), lambda x: x.isNotNull())
+    return found.select("email_id", F.inline(F.when(n >= 2, many).otherwise(single)))
+
+
+def _sides(pairs: DataFrame) -> DataFrame:
+    """pairs (si_doc, bl_doc) with what compare_pairs takes."""
+    nothing = F.struct(*[F.lit(None).cast("string").alias(f) for f in FIELDS])
+    of = lambda side: {
+        side: F.col(f"{side}_doc.v"), f"{side}_label": F.coalesce(f"{side}_doc.l", nothing),
+        f"{side}_status": F.coalesce(f"{side}_doc.status", F.lit("missing")), f"{side}_title": F.col(f"{side}_doc.title"),
+    }
+    return pairs.withColumns(of("si") | of("bl")).drop("si_doc", "bl_doc")
 
 
 RESULT = ("email_id", "category", "decided_by", "confidence", "status", "review_reason", "defect_fields", "evidence", "si_path", "bl_path", "n_shipments", "revision")
@@ -102,14 +134,10 @@ def process_emails(messages: DataFrame, files: Files, answers: DataFrame | None
     how files are read, by suffix (READERS, if none is given).
     """
     filed = routing.classify(messages.where("email_id is not null").withColumn("attachments", F.coalesce("attachments", F.array().cast("array<string>"))), answers)
-    routed = filed.where("category = 'BL_COMPARISON'")
-    slots = attachments_of(routed)
+    slots = stored(attachments_of(filed.where("category = 'BL_COMPARISON'")), "slots")
     read = read_fields(_opened(files, slots), formats)
-    chosen = routed.select("email_id").join(pairs_of(slots, read.select("path", "title")), "email_id", "left").withColumns({"place": F.coalesce("place", F.lit(1)), "n": F.coalesce("n", F.lit(1))})
-    # the pair itself and, where there is one, the pair of the draft before it, compared in one go
-    sides = F.filter(F.array(F.struct(F.lit("now").alias("draft"), F.col("bl_path").alias("bl")), F.when(F.col("previous_bl").isNotNull(), F.struct(F.lit("before").alias("draft"), F.col("previous_bl").alias("bl")))), lambda x: x.isNotNull())
-    spread = chosen.select("email_id", "place", "n", "note", "si_path", F.inline(sides)).withColumnRenamed("bl", "bl_path")
-    result = compare.compare_pairs(_paired(spread, read), labels=True)
+    result = compare.compare_pairs(_sides(pairs_of(_documents(slots, read))), labels=True)
+    result = result.withColumn("rows", F.transform("rows", lambda r: F.struct(r["field"], r["verdict"])))
     rank = F.struct(F.when(F.col("draft") == "now", compare.severity(F.col("status"))).otherwise(-1).alias("s"), (-F.col("place")).alias("o"))
     kept = F.struct("status", "review_reason", "defect_fields", "evidence", "si_path", "bl_path", "rows", "note", "n", "place")
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("draft") == "now", F.struct("place", "status")))), lambda x: F.concat(F.lit("shipment "), x["place"].cast("string"), F.lit(" "), x["status"])), ", ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystone.functions import documents
@@ -19,6 +19,12 @@ def with_role(files: DataFrame) -> DataFrame:
     return files.withColumns({"role": role, "key": F.regexp_replace(key, r"\.$", "")})
 
 
+def roles_of(path: Column) -> Column:
+    """Every role that a file's name tells, or that the path ends with."""
+    told = F.regexp_extract_all(F.substring_index(path, "/", -1), F.lit(_ROLE), 1)
+    return F.array_distinct(F.concat(told, F.filter(F.array(F.lit("SI"), F.lit("BL")), lambda r: F.upper(path).endswith(r))))
+
+
 def shipments(files: DataFrame) -> DataFrame:
     """One row a shipment: the first SI and BL whose names agree but for the
     role; either may be absent."""
@@ -35,16 +41,6 @@ def latest_revisions(files: DataFrame) -> DataFrame:
     return ranked.withColumn("order", F.row_number().over(w)).drop("_rank")
 
 
-def chosen_documents(files: DataFrame) -> DataFrame:
-    """email_id, si, bl (latest revisions), previous_bl and a note of what was
-    set aside."""
-    ranked = latest_revisions(files)
-    pick = lambda role, n: F.max(F.when((F.col("role") == role) & (F.col("order") == n), F.col("path")))
-    aside = F.array_join(F.array_sort(F.collect_list(F.when(F.col("order") > 1, F.col("path")))), ", ")
-    out = ranked.groupBy("email_id").agg(pick("SI", 1).alias("si"), pick("BL", 1).alias("bl"), pick("BL", 2).alias("previous_bl"), aside.alias("aside"))
-    return out.withColumn("note", F.when(F.col("aside") != "", F.concat(F.lit("set aside: "), F.col("aside")))).drop("aside")
-
-
 def close_requests(requests: DataFrame, answers: DataFrame) -> DataFrame:
     """requests (domain, ref, at) each with the earliest later answer of the
     same domain and reference, or null. An as-of join by one sort: both sides

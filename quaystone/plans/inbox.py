@@ -85,26 +85,26 @@ def inbox(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     title = F.when(change == 14, "PACKING LIST").otherwise("BILL OF LADING (DRAFT)")
     si_title = F.lit("SHIPPING INSTRUCTION")
     si_text = F.when(si_kind == "edi", _interchange(F.col("_si"), F.col("cnt"), F.col("kg"))).otherwise(_lines(si_title, F.col("_si")))
-    slot = lambda holds, name, kind, text, broken=F.lit(False): F.when(
-        holds, F.struct(F.concat(F.lit("in/e"), k.cast("string"), F.lit(name), kind).alias("path"), kind.alias("format"), text.alias("text"), broken.alias("broken"))
-    )
     asks = k % 5 == 0
     number = F.when(second, "_1.").otherwise(".")
-    slots = F.array(
-        slot(~asks, "_SI", F.concat(number, si_kind), si_text),
-        slot(drafts, "_BL.", F.lit("txt"), _lines(F.lit("BILL OF LADING"), F.col("_old"))),
-        slot(~asks & (k % 32 != 15), "_BL", F.concat(F.when(drafts, "_V2.").otherwise(number), bl_kind), _lines(title, F.col("_bl")), change == 15),
-        slot(second, "_SI_2.", F.lit("txt"), _lines(si_title, F.col("si"))),
-        slot(second, "_BL_2.", F.lit("txt"), _lines(F.lit("B/L"), F.col("_more"))),
+    slots = (
+        (~asks, "_SI", F.concat(number, si_kind), si_text, F.lit(False)),
+        (drafts, "_BL.", F.lit("txt"), _lines(F.lit("BILL OF LADING"), F.col("_old")), F.lit(False)),
+        (~asks & (k % 32 != 15), "_BL", F.concat(F.when(drafts, "_V2.").otherwise(number), bl_kind), _lines(title, F.col("_bl")), change == 15),
+        (second, "_SI_2.", F.lit("txt"), _lines(si_title, F.col("si")), F.lit(False)),
+        (second, "_BL_2.", F.lit("txt"), _lines(F.lit("B/L"), F.col("_more")), F.lit(False)),
     )
-    made = made.withColumn("slots", F.filter(slots, lambda x: x.isNotNull()))
+    path = lambda name, kind: F.concat(F.lit("in/e"), k.cast("string"), F.lit(name), kind)
+    there = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    # messages name their files without the texts
+    paths = there(*[F.when(holds, path(name, kind)) for holds, name, kind, _, _ in slots])
+    files = made.select(F.inline(there(*[F.when(holds, F.struct(path(name, kind).alias("path"), kind.alias("format"), text.alias("text"), broken.alias("broken"))) for holds, name, kind, text, broken in slots])))
     body = F.when(asks, F.get(F.array(*map(F.lit, _CALLS)), (k % 3).cast("int"))).otherwise("two documents to look at")
-    mail = made.select(k.cast("string").alias("email_id"), F.lit("desk@line.example").alias("from"), F.lit("a message").alias("subject"), body.alias("body"), F.transform("slots", lambda x: x["path"]).alias("attachments"))
-    files = made.select(F.inline("slots"))
+    mail = made.select(k.cast("string").alias("email_id"), F.lit("desk@line.example").alias("from"), F.lit("a message").alias("subject"), body.alias("body"), paths.alias("attachments"))
     files = files.withColumn("format", F.substring_index("format", ".", -1))
     plain = F.when(F.col("broken"), F.lit("nothing to read").cast("binary")).when(F.col("format").isin("txt", "edi"), F.col("text").cast("binary"))
-    office = files.where("format in ('docx', 'xlsx') and not broken").select("path", _office("format", "text").alias("content"))
-    return mail, files.select("path", plain.alias("content")).where("content is not null").unionByName(office)
+    office = _office("format", F.when(F.col("format").isin("docx", "xlsx") & ~F.col("broken"), F.col("text")))
+    return mail, files.select("path", F.coalesce(plain, office).alias("content"))
 
 
 def process_emails(spark: SparkSession, sf_dir: str) -> DataFrame:

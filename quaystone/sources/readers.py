@@ -7,9 +7,9 @@ import html
 import io
 import re
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,10 +63,37 @@ def _member(archive: zipfile.ZipFile, name: str) -> str:
     return data.decode("utf-8", "replace")
 
 
-def _plain(xml: str) -> str:
-    lines = re.sub(r"<w:br\b[^>]*/?>|</w:p>", "\n", xml)
-    parts = [html.unescape(re.sub(r"<[^>]+>", "", x)).strip() for x in lines.split("\n")]
-    return " | ".join(x for x in parts if x)
+_PARAGRAPH, _ROW, _CELL = (re.compile(rf"<w:{x}\b") for x in ("p", "tr", "tc"))
+_SHEET_ROW, _SHARED = (re.compile(rf"<{x}\b") for x in ("row", "si"))
+_BREAK, _TAG, _IN_TEXT = re.compile(r"<w:br\b[^>]*/?>|</w:p>"), re.compile(r"<[^>\n]+>"), re.compile(r"<w:t\b[^>]*>([^<]*)</w:t>")
+_INLINE, _SHEET_CELL, _OF_SHARED = re.compile(r"(?s)<t\b[^>]*>(.*?)</t>"), re.compile("(?s)<c\\b.*?(?:</c>|/>)"), re.compile(r'^<c\b[^>]*\bt="s"')
+_FOREIGN, _ASIDE = re.compile("[一-鿿■]"), re.compile(r"\([^)]*\)")
+
+
+def _spans(xml: str, opens: re.Pattern, end: str) -> Iterator[str]:
+    """Texts from each match of a pattern to the next end. Linear in the text,
+    also if some do not end."""
+    at = 0
+    while (found := opens.search(xml, at)) and (to := xml.find(end, found.end())) >= 0:
+        at = to + len(end)
+        yield xml[found.start() : at]
+
+
+def _inline(xml: str) -> str | None:
+    """What stands in the t elements of a cell, or None if it has none."""
+    found = _INLINE.findall(xml)
+    return html.unescape("".join(found)) if found else None
+
+
+def _plain(cells: list[str]) -> list[str]:
+    """The text of each cell. Tags do not go over line ends, so cells parted by
+    a line of their own are freed of tags together, if breaks are plain."""
+    whole = "\n\0\n".join(cells)
+    if "<w:br" in whole or whole.count("\0") >= len(cells):
+        texts = [_TAG.sub("", _BREAK.sub("\n", c)) for c in cells]
+    else:
+        texts = _TAG.sub("", whole.replace("</w:p>", "\n")).split("\n\0\n")
+    return [" | ".join(filter(None, [html.unescape(x).strip() for x in t.split("\n")])) for t in texts]
 
 
 #: Stands between the cells of one value; the marks that cut names are this and line ends.
@@ -86,19 +113,20 @@ def _from_cells(cells: list[str]) -> list[tuple[str, str]]:
 
 
 def _known(label: str) -> bool:
-    x = re.sub(r"\([^)]*\)", " ", re.sub("[一-鿿■]", "", label))
+    x = label if label.isascii() else _FOREIGN.sub("", label)
+    x = _ASIDE.sub(" ", x) if "(" in x else x
     return " ".join(x.split()).rstrip(":").lower().removeprefix("total ") in FIELD_OF_LABEL
 
 
 def _docx(content: bytes) -> tuple[str | None, list]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         xml = _member(z, "word/document.xml")
-    paragraphs = [html.unescape("".join(re.findall(r"<w:t\b[^>]*>([^<]*)</w:t>", p))).strip() for p in re.findall(r"(?s)<w:p\b.*?</w:p>", xml)]
-    rows = re.findall(r"(?s)<w:tr\b.*?</w:tr>", xml)
-    pairs = [pair for r in rows for pair in _from_cells([_plain(c) for c in re.findall(r"(?s)<w:tc\b.*?</w:tc>", r)])]
-    if not pairs:
-        pairs = [(a.strip(), b.strip()) for a, colon, b in (p.partition(":") for p in paragraphs) if colon]
-    return next((p for p in paragraphs if p), None), pairs
+    pairs = [pair for r in _spans(xml, _ROW, "</w:tr>") for pair in _from_cells(_plain(list(_spans(r, _CELL, "</w:tc>"))))]
+    paragraphs = (html.unescape("".join(_IN_TEXT.findall(p))).strip() for p in _spans(xml, _PARAGRAPH, "</w:p>"))
+    if pairs:
+        return next(filter(None, paragraphs), None), pairs
+    written = list(paragraphs)
+    return next(filter(None, written), None), [(a.strip(), b.strip()) for a, colon, b in (p.partition(":") for p in written) if colon]
 
 
 def _xlsx(content: bytes) -> tuple[str | None, list]:
@@ -106,18 +134,19 @@ def _xlsx(content: bytes) -> tuple[str | None, list]:
         names = z.namelist()
         sheet = _member(z, min(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)))
         shared = _member(z, "xl/sharedStrings.xml") if "xl/sharedStrings.xml" in names else ""
-    texts = [html.unescape("".join(re.findall(r"(?s)<t\b[^>]*>(.*?)</t>", s))) for s in re.findall(r"(?s)<si\b.*?</si>", shared)]
+    texts = [_inline(x) or "" for x in _spans(shared, _SHARED, "</si>")]
 
     def value(cell: str) -> str:
-        inline = re.findall(r"(?s)<t\b[^>]*>(.*?)</t>", cell)
-        v = re.search(r"(?s)<v>(.*?)</v>", cell)
-        if inline:
-            return html.unescape("".join(inline)).strip()
-        if v is None:
+        written = _inline(cell)
+        if written is not None:
+            return written.strip()
+        _, begun, rest = cell.partition("<v>")
+        v, ended, _ = rest.partition("</v>")
+        if not begun or not ended:
             return ""
-        return texts[int(v[1])].strip() if re.search(r'^<c\b[^>]*\bt="s"', cell) else html.unescape(v[1]).strip()
+        return texts[int(v)].strip() if _OF_SHARED.search(cell) else html.unescape(v).strip()
 
-    rows = [[value(c) for c in re.findall(r"(?s)<c\b.*?(?:</c>|/>)", r)] for r in re.findall(r"(?s)<row\b.*?</row>", sheet)]
+    rows = [[value(c) for c in _SHEET_CELL.findall(r)] for r in _spans(sheet, _SHEET_ROW, "</row>")]
     title = next((c for r in rows for c in r if c), None)
     return title, [pair for r in rows for pair in _from_cells(r)]
 
@@ -172,19 +201,25 @@ def by_bytes(parse: Parse) -> Reader:
     """A reader from a function of a file's bytes to its title and pairs. What
     the function raises is the file's error, not the job's."""
 
-    @F.pandas_udf(_READ)
-    def read(contents: pd.Series) -> pd.DataFrame:
-        out = []
-        for content in contents:
+    @F.arrow_udf(_READ)
+    def read(contents: pa.Array) -> pa.Array:
+        titles, errors, labels, values, ends = [], [], [], [], [0]
+        for content in contents.to_pylist():
             title, pairs, error = None, [], None
             if content is not None:
                 try:
                     title, found = parse(content)
-                    pairs = [{"label": label, "value": value} for label, value in found]
+                    pairs = [(label, value) for label, value in found]
                 except Exception as e:  # noqa: BLE001  a broken file is a status, whatever broke
                     error = f"{type(e).__name__}: {e}"
-            out.append((title, pairs, error))
-        return pd.DataFrame(out, columns=_READ.names)
+            titles.append(title)
+            errors.append(error)
+            labels += [label for label, _ in pairs]
+            values += [value for _, value in pairs]
+            ends.append(len(labels))
+        text = lambda x: pa.array(x, pa.string())
+        both = pa.StructArray.from_arrays([text(labels), text(values)], ["label", "value"])
+        return pa.StructArray.from_arrays([text(titles), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), both), text(errors)], _READ.names)
 
     return read
 
